@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, urlrules
+from . import chat, licenses, minhash, mixing, repetition, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition.judge_repeats(repetition.measure_repeats(table(spark, sf_dir, "documents")))
+    return judged.drop("spans")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     thousands, hundreds = F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100)
@@ -24,6 +33,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """url, bad: the number in a page's path is the doc_id of its article, which labels judges."""
     pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract(F.coalesce("url", F.lit("")), "/([0-9]+)", 1).try_cast("long").alias("doc_id"))
@@ -43,8 +56,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_repetition": op2_repetition,
     "op3_license_scan": op3_license_scan,
     "op5_source_mix": op5_source_mix,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op10_chat_format": op10_chat_format,
 }
