@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, minhash, mixing, repetition, toxicity, urlrules
+from . import chat, licenses, minhash, mixing, repetition, tokenfiles, toxicity, urlrules
+
+#: Where the public tokenizers' files are; the same path on all executors.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(table(spark, sf_dir, "pages"), labelled_pages(spark, sf_dir))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), f"{folder}/byte_bpe_50k.json")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -62,6 +69,7 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
+    "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
 }
 ORACLES = {"op5_source_mix": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
