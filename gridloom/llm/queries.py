@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, minhash, mixing, repetition, tokenfiles, toxicity, urlrules
+from . import chat, hnsw, licenses, minhash, mixing, repetition, tokenfiles, toxicity, urlrules
 
 #: Where the public tokenizers' files are; the same path on all executors.
 TOKENIZERS = "/opt/tokenizers"
@@ -31,6 +31,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.select("doc_id", "text", path.alias("path")))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,10 +70,11 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_repetition": op2_repetition,
     "op3_license_scan": op3_license_scan,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES = {"op5_source_mix": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
+ORACLES = {"op4_embedding_dedup": hnsw.ORACLE, "op5_source_mix": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
