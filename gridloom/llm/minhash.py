@@ -8,9 +8,11 @@
    agreeing, a pair is dropped once the posterior chance that its similarity
    reaches the threshold is below miss. Survivors are verified on full sets.
 4. Buckets whose members are not yet in one component are compared in full,
-   in blocks of bounded size: members outside of the largest component against
-   all, keeping only pairs of different components that pass the same test.
-   So no link that could join two components is lost, whatever the bucket size.
+   in cells of bounded size: members outside of the largest component against
+   all others. Those that pass the same test with one of another component
+   bring their sets to a cell, which verifies pairs until its components are
+   joined. So no link that joins components is lost, whatever the bucket size,
+   and no task hands on more links than it has members.
 5. Components of the verified links, spread to all copies.
 
 At similarity 0.8, 32 bands of 5 rows miss a pair with chance 3e-6.
@@ -31,6 +33,7 @@ from .textcore import Words, binary_column, blocks, matrix, mix, shingle_sets, u
 
 BANDS, ROWS, BATCH = 32, 5, 32
 SIDE = 256
+FILTER_BITS = 1 << 25
 
 
 def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -40,13 +43,12 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
     def run(batches):
         seeds = mix(np.arange(1, 2 * k + 1, dtype=np.uint64))
         a, b = (seeds[:k] | np.uint64(1)).astype(np.uint32)[:, None], seeds[k:].astype(np.uint32)[:, None]
-        salt = mix(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 40))
         for batch in blocks(batches):
-            ids, sizes, keys, sigs, band_keys = batch.column("doc_id"), [], [], [], []
+            ids, sizes, keys, sigs, filed = batch.column("doc_id"), [], [], [], []
             for s in shingle_sets(Words(*utf8(batch.column("text")), lower=True), words):
                 sizes.append(len(s))
                 if not len(s):
-                    keys.append(None), sigs.append(None), band_keys.append(None)
+                    keys.append(None), sigs.append(None), filed.append(None)
                     continue
                 x = (s >> np.uint64(32)).astype(np.uint32)
                 sig = np.full(k, 0xFFFFFFFF, np.uint32)
@@ -54,12 +56,9 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
                     np.minimum(sig, (a * x[at : at + 2048] + b).min(axis=1), out=sig)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sigs.append(sig.tobytes())
-                joint = salt.copy()
-                for column in sig.reshape(bands, rows).T:
-                    joint = mix(joint ^ column.astype(np.uint64))
-                band_keys.append(joint.view(np.int64))
-            lengths = np.array([0 if v is None else bands for v in band_keys])
-            flat = np.concatenate([np.zeros(0, np.int64), *[v for v in band_keys if v is not None]])
+                filed.append(band_keys(sig[None], bands, rows)[0])
+            lengths = np.array([0 if v is None else bands for v in filed])
+            flat = np.concatenate([np.zeros(0, np.int64), *[v for v in filed if v is not None]])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes, pa.int64()), binary_column(keys), binary_column(sigs), lists],
@@ -69,6 +68,14 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Bucket of each band of each signature."""
+    joint = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 40)), (len(sig), bands))
+    for column in np.moveaxis(sig.reshape(len(sig), bands, rows), 2, 0):
+        joint = mix(joint ^ column.astype(np.uint64))
+    return joint.view(np.int64)
+
+
 def least_agreeing(k: int, threshold: float, miss: float, batch: int = BATCH) -> list[tuple[int, int]]:
     """(n, fewest agreeing hashes with which a pair goes on) after each batch, under a uniform prior of similarity."""
     s = (np.arange(20000) + 0.5) / 20000
@@ -113,41 +120,63 @@ def prune(pairs: DataFrame, sigs: DataFrame, k: int, bounds) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full shingle sets."""
+def shingled(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc_id, shingles of the wanted documents (and a few others), without a shuffle of texts.
+
+    The wanted ids go to the scan as a bitmap of hashes, whose size is fixed.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), FILTER_BITS)
+    rows = (
+        wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    )
+    bitmap = np.zeros(FILTER_BITS, bool)
+    for row in rows:
+        span = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
+        start = (row["k"] - 1) * len(span)
+        bitmap[start : start + len(span)] |= span[: FILTER_BITS - start]
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def sets(batches):
-        for batch in blocks(batches):
-            found = shingle_sets(Words(*utf8(batch.column("text")), lower=True), words)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), binary_column([s.tobytes() for s in found])], ["doc_id", "shingles"]
-            )
+        held = np.unpackbits(shared.value, count=FILTER_BITS).astype(bool)
+        for batch in batches:
+            some = batch.filter(pa.array(held[(batch.column("bit").to_numpy() - 1) % FILTER_BITS]))
+            for part in blocks(iter([some])):
+                found = shingle_sets(Words(*utf8(part.column("text")), lower=True), words)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), binary_column([s.tobytes() for s in found])], ["doc_id", "shingles"])
+
+    texts = docs.where("doc_id is not null").select("doc_id", "text", bit.alias("bit"))
+    return materialize(texts.mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union of their full shingle sets."""
 
     def run(batches):
         for batch in batches:
-            mask = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                mask.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    shingled = materialize(texts.mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
-    left = pairs.join(shingled.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(shingled.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array([similar(*s, percent) for s in zip(x, y, strict=True)], pa.bool_()))
+
+    sets = shingled(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def residual_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, k: int, bounds) -> DataFrame:
-    """Pairs of different components inside buckets, found in blocks of about SIDE members a side.
+def cells(members: DataFrame, labels: DataFrame, side: int) -> DataFrame:
+    """Members (bucket, doc_id, hub) of buckets with more than one component, dealt to cells.
 
-    members has (bucket, doc_id, hub, n) of buckets with two members or more.
+    A cell (bucket, i, j) has about side members each of two kinds: left ones,
+    which are outside of the bucket's largest component, and any. All pairs of
+    different components are together in some cell.
     """
-    named = members.where("n > 2").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    named = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     named = named.select("bucket", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
     parts = named.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     mixed = (
@@ -158,34 +187,75 @@ def residual_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame, k: in
     sides = named.join(mixed, "bucket").select(
         "bucket", "doc_id", "hub", "component",
         (F.col("component") != F.col("main")).alias("minor"),
-        F.ceil((F.col("n") - F.col("most")) / SIDE).cast("int").alias("nl"),
-        F.ceil(F.col("n") / SIDE).cast("int").alias("na"),
+        F.ceil((F.col("n") - F.col("most")) / side).cast("int").alias("nl"),
+        F.ceil(F.col("n") / side).cast("int").alias("na"),
         F.xxhash64("doc_id").alias("h"),
     )
     one = sides.select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod("h", "na").cast("int").alias("j"), F.lit(False).alias("left"))
     two = sides.where("minor").select("*", F.pmod("h", "nl").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(True).alias("left"))
-    rows = one.union(two).join(sigs.select("doc_id", "sig"), "doc_id")
-    cells = rows.groupBy("bucket", "i", "j", "hub").agg(F.collect_list(F.struct("doc_id", "component", "left", "sig")).alias("m"))
+    return one.union(two).select("bucket", "i", "j", "hub", "doc_id", "component", "left")
+
+
+def _by_cell(batch: pa.RecordBatch, k: int):
+    """bucket, hub, ids, components, left flags, signatures and shingles (if there) of each row's members."""
+    lists = batch.column("m")
+    flat = lists.flatten()
+    edges = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    ids, parts, left = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "left"))
+    sig = matrix(flat.field("sig"), np.uint32, k)
+    sets = flat.field("shingles") if flat.type.get_field_index("shingles") >= 0 else None
+    for n, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        some = None if sets is None else [np.frombuffer(v.as_buffer(), np.uint64) for v in sets[lo:hi]]
+        yield batch.column("bucket")[n].as_py(), batch.column("hub")[n].as_py(), ids[lo:hi], parts[lo:hi], left[lo:hi], sig[lo:hi], some
+
+
+def close_members(dealt: DataFrame, sigs: DataFrame, k: int, bounds) -> DataFrame:
+    """Members (bucket, doc_id, hub) that pass the sequential test with one of another component in a cell of their bucket."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("m")
-            flat = lists.flatten()
-            edges = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            ids, parts, left = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False)) for c in ("doc_id", "component", "left"))
-            sig = matrix(flat.field("sig"), np.uint32, k)
-            hubs = batch.column("hub").to_numpy()
-            for hub, lo, hi in zip(hubs, edges[:-1], edges[1:], strict=True):
-                rows, cols = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(~left[lo:hi])
-                for r in rows:
+            for bucket, hub, ids, parts, left, sig, _ in _by_cell(batch, k):
+                cols, found = np.flatnonzero(~left), np.zeros(len(ids), bool)
+                for r in np.flatnonzero(left):
                     other = cols[(parts[cols] != parts[r]) & (ids[cols] != hub)] if ids[r] != hub else cols[:0]
                     if len(other):
-                        kept = other[bayes_mask(np.broadcast_to(sig[r], (len(other), k)), sig[other], bounds)]
-                        if len(kept):
-                            pair = np.sort(np.stack([np.full(len(kept), ids[r]), ids[kept]]), axis=0)
-                            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+                        passed = other[bayes_mask(np.broadcast_to(sig[r], (len(other), k)), sig[other], bounds)]
+                        found[passed] = True
+                        found[r] |= len(passed) > 0
+                n = int(found.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int64()), pa.array(ids[found]), pa.array([hub] * n, pa.int64())], ["bucket", "doc_id", "hub"])
+
+    grouped = dealt.join(sigs, "doc_id").groupBy("bucket", "i", "j", "hub").agg(F.collect_list(F.struct("doc_id", "component", "left", "sig")).alias("m"))
+    return grouped.select("bucket", "hub", "m").mapInArrow(run, "bucket long, doc_id long, hub long").distinct()
 
-    return cells.select("hub", "m").mapInArrow(run, "a long, b long").distinct()
+
+def joining_links(dealt: DataFrame, sigs: DataFrame, sets: DataFrame, bands: int, rows: int, bounds, percent: int) -> DataFrame:
+    """Verified links (a, b) that join different components, enough for all joins of each cell.
+
+    A pair counts in the bucket of the first band that it shares. Once two
+    components of a cell are joined, other pairs of theirs need no test.
+    """
+    k = bands * rows
+
+    def run(batches):
+        for batch in batches:
+            for bucket, _, ids, parts, left, sig, shingles in _by_cell(batch, k):
+                keys = band_keys(sig, bands, rows)
+                parts, cols, out = parts.copy(), np.flatnonzero(~left), []
+                for r in np.flatnonzero(left):
+                    other = cols[parts[cols] != parts[r]]
+                    same = keys[other] == keys[r]
+                    other = other[same.any(axis=1) & (keys[r][same.argmax(axis=1)] == bucket)]
+                    other = other[bayes_mask(np.broadcast_to(sig[r], (len(other), k)), sig[other], bounds)]
+                    for c in other[np.argsort(-(sig[other] == sig[r]).sum(axis=1))]:
+                        if parts[c] != parts[r] and similar(shingles[r], shingles[c], percent):
+                            out.append(sorted((int(ids[r]), int(ids[c]))))
+                            parts[parts == parts[c]] = parts[r]
+                yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in out], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+    full = dealt.join(sigs, "doc_id").join(sets, "doc_id")
+    grouped = full.groupBy("bucket", "i", "j", "hub").agg(F.collect_list(F.struct("doc_id", "component", "left", "sig", "shingles")).alias("m"))
+    return grouped.select("bucket", "hub", "m").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -212,11 +282,15 @@ def near_duplicates(
     first = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     survivors = materialize(prune(first, sigs, k, bounds), "survivors")
     links = materialize(verify(survivors, docs, words, percent), "links")
+    twice = signed.where("doc_id is not null and set_key is not null").groupBy("doc_id").agg(F.count_distinct("set_key").alias("k"))
+    again = full.join(twice.where("k > 1").select("doc_id"), "doc_id", "left_semi").join(twins, "set_key")
+    links = links.union(again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     labels = connected_components(links)
-    rest = materialize(residual_pairs(members, labels, sigs, k, bounds), "residual")
-    if rest.limit(1).count():
-        more = materialize(verify(rest, docs, words, percent), "links")
-        labels = connected_components(links.union(more))
+    close = materialize(close_members(cells(members.where("n > 2"), labels, SIDE), sigs, k, bounds), "close")
+    if close.limit(1).count():
+        sets = shingled(docs, close.select("doc_id"), words)
+        more = joining_links(cells(close, labels, SIDE), sigs, sets, bands, rows, bounds, percent)
+        labels = connected_components(links.union(materialize(more, "links")))
     spread = twins.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component")
     )

@@ -77,19 +77,22 @@ class Words:
         self.solid = solid
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        values = mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
-        base = 0x2545F4914F6CDD1D
-        power = np.full(n + 1, base, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[self.data] * power[:n], out=sums[1:])
-        back = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        found = (sums[self.ends] - sums[self.starts]) * back[self.starts]
-        return mix(found + (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(self.data, self.starts, self.ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n = len(data)
+    values = mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
+    base = 0x2545F4914F6CDD1D
+    power = np.full(n + 1, base, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values[data] * power[:n], out=sums[1:])
+    back = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    np.multiply.accumulate(back, out=back)
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
