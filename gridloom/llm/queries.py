@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hnsw, licenses, minhash, mixing, repetition, tokenfiles, toxicity, urlrules
+from . import chat, hnsw, licenses, minhash, mixing, repetition, segment, tokenfiles, toxicity, urlrules
 
 #: Where the public tokenizers' files are; the same path on all executors.
 TOKENIZERS = "/opt/tokenizers"
@@ -55,6 +55,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(table(spark, sf_dir, "pages"), labelled_pages(spark, sf_dir))
 
 
+def op8_gumbel_segments(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return segment.digest(segment.sample_segmentations(docs, f"{folder}/piece_bpe_32k.model", k=2, with_ids=False))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), f"{folder}/byte_bpe_50k.json")
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
+    "op8_gumbel_segments": op8_gumbel_segments,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
 }

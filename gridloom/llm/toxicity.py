@@ -91,16 +91,19 @@ def _shared_probability(kinds: np.ndarray) -> np.ndarray:
 class KneserNey:
     """Log ratios, first class over second, of all keys and contexts that the texts hold."""
 
-    def __init__(self, texts: list[list[str]]):
+    def __init__(self, texts: list[pa.Array]):
         found = []
-        for rows in texts:
-            words, place, shown = _distinct_words(*utf8(pa.array(list(dict.fromkeys(rows)), pa.string())))
-            keys, bounds = _letter_keys(words, shown)
-            doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-            once = np.unique(doc * len(shown) + place) % max(len(shown), 1)
-            often = np.repeat(np.bincount(once, minlength=len(shown)), np.diff(bounds))
-            grams, where = np.unique(keys, return_inverse=True)
-            found.append((grams, np.bincount(where, often, len(grams))))
+        for column in texts:
+            grams, often = np.zeros(0, np.uint64), np.zeros(0)
+            for part in blocks(iter([pa.RecordBatch.from_arrays([column.unique()], ["text"])])):
+                words, place, shown = _distinct_words(*utf8(part.column("text")))
+                keys, bounds = _letter_keys(words, shown)
+                doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+                once = np.unique(doc * len(shown) + place) % max(len(shown), 1)
+                times = np.repeat(np.bincount(once, minlength=len(shown)), np.diff(bounds))
+                both, where = np.unique(np.concatenate([grams, keys]), return_inverse=True)
+                grams, often = both, np.bincount(where, np.concatenate([often, times]), len(both))
+            found.append((grams, often))
         self.keys = np.unique(np.concatenate([g for g, _ in found]))
         shared = _shared_probability(self.keys)
         self.contexts, where = np.unique(self.keys >> np.uint64(8), return_inverse=True)
@@ -116,8 +119,12 @@ class KneserNey:
         self.ratio = np.append(np.log(told[0]) - np.log(told[1]), 0.0)
         self.context_ratio = np.append(np.log(backoff[0]) - np.log(backoff[1]), 0.0)
 
-    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Evidence for the first class in each document; 0 without words."""
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """Evidence for the first class in each text; 0 without words."""
+        batches = iter([pa.RecordBatch.from_arrays([column], ["text"])])
+        return np.concatenate([np.zeros(0), *[self._evidence(*utf8(part.column("text"))) for part in blocks(batches)]])
+
+    def _evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         words, place, shown = _distinct_words(data, offsets)
         if not len(shown):
             return np.zeros(len(offsets) - 1)
@@ -152,8 +159,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     return float(w[0] / scale), float(w[1])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> list:
-    """Rows (toxic, fold, text): at most max_docs of each class and fold, the first by hash of the id."""
+def _sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> pa.Table:
+    """Rows (toxic, fold, text): at most max_docs of each class, the first by hash of the id."""
     rows = (
         labels.where("toxic in (0, 1) and doc_id is not null")
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"), split_of(F.col("doc_id")).alias("fold"))
@@ -165,14 +172,11 @@ def _sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> list:
     for toxic in (0, 1):
         some = rows.where(F.col("toxic") == toxic).orderBy("h").limit(max_docs)
         picked = some if picked is None else picked.union(some)
-    return (
-        docs.select("doc_id", "text").where("text is not null")
-        .join(F.broadcast(picked.drop("h")), "doc_id")
-        .select("doc_id", "toxic", "fold", "text").orderBy("doc_id", "text").collect()
-    )
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    return texts.orderBy("h", "text").select("toxic", "fold", F.col("text").cast("string").alias("text")).toArrow()
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 12000) -> tuple[KneserNey, float, float]:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> tuple[KneserNey, float, float]:
     """The models, slope and intercept, from rows whose crc32(doc_id) mod 4 is not 2.
 
     Counts are made of remainders 0 and 1; remainder 3 fits the curve, its
@@ -182,17 +186,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 12000) -> tuple[Knes
         labels.where("toxic in (0, 1)").where(split_of(F.col("doc_id")) != 2).groupBy(F.col("toxic").cast("int").alias("t")).count().collect()
     )
     rows = _sample(docs, labels, max_docs)
-    model = KneserNey([[r["text"] for r in rows if r["toxic"] == c and r["fold"] != 3] for c in (1, 0)])
-    held = [r for r in rows if r["fold"] == 3]
-    x = model.evidence(*utf8(pa.array([r["text"] for r in held], pa.string())))
-    y = np.array([r["toxic"] for r in held], float)
+    toxic, fold = (rows[c].to_numpy() for c in ("toxic", "fold"))
+    texts = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
+    chosen = lambda mask: texts.filter(pa.array(mask)) if rows.num_rows else texts
+    model = KneserNey([chosen((toxic == c) & (fold != 3)) for c in (1, 0)])
+    x, y = model.evidence(chosen(fold == 3)), toxic[fold == 3].astype(float)
     slope, intercept = fit_logistic(x, y)
     if 0 < y.sum() < len(y):
         intercept += np.log(max(shares.get(1, 0), 1) / max(shares.get(0, 0), 1)) - np.log(y.sum() / (len(y) - y.sum()))
     return model, slope, float(intercept)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 12000, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every row of docs(doc_id, text).
 
     Null and empty texts have evidence 0. A null doc_id is scored and not held
@@ -206,7 +211,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 12000, th
     def run(batches):
         known = shared.value
         for batch in blocks(batches):
-            x = known.evidence(*utf8(batch.column("text")))
+            x = known.evidence(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x)], ["doc_id", "evidence"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, evidence double")
