@@ -297,3 +297,16 @@ def near_duplicates(
     named = signed.select("doc_id", "n_shingles", "set_key").join(spread, "set_key", "left")
     rows_of = named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return rows_of.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each component of near-duplicates, the one with the smallest doc_id, and all columns.
+
+    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    left = docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.limit(1).count():
+        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return left

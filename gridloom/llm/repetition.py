@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Words, blocks, byte_set, gram_hashes, mix, utf8
+from .textcore import Words, add_column, byte_set, free_name, gram_hashes, mix, utf8
 
 BASE = 3
 SYMBOLS = b"#*$%&|<>"
-SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "covered_words long, covered_chars long, longest_repeat long, spans array<struct<start:long,end:long>>"
+MEASURES = (
+    "n_words:long, word_chars:long, n_symbols:long, n_dup_lines:long, n_repeat_words:long, covered_words:long, "
+    "covered_chars:long, longest_repeat:long, spans:array<struct<start:long,end:long>>"
 )
+NUMBERS = [f.partition(":")[0] for f in MEASURES.split(", ")[:-1]]
 
 
 def repeat_lengths(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -121,8 +122,55 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def add_measures(docs: DataFrame, column: str, min_words: int = 8) -> DataFrame:
+    """All columns of docs, and column: a struct of MEASURES."""
+
+    def measure(batch: pa.RecordBatch) -> pa.Array:
+        data, offsets = utf8(batch.column("text"))
+        words = Words(data, offsets)
+        first = words.first
+        lead = (data & 0xC0) != 0x80
+        chars = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(lead, out=chars[1:])
+        word_len = chars[words.ends] - chars[words.starts]
+        lengths = repeat_lengths(words.hashes(), first)
+        inside = covered(lengths, min_words)
+        raw = data.tobytes()
+        top = np.zeros(len(first) - 1, np.int64)
+        has = np.flatnonzero(np.diff(first))
+        if len(has):
+            top[has] = np.maximum.reduceat(lengths, first[:-1][has])
+        spans, counts = [], np.zeros(len(first), np.int64)
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        begin = inside.copy()
+        finish = inside.copy()
+        if len(inside):
+            joined = inside[1:] & inside[:-1] & (doc[1:] == doc[:-1])
+            begin[1:] &= ~joined
+            finish[:-1] &= ~joined
+        at = np.flatnonzero(begin)
+        origin = chars[offsets[:-1]]
+        spans = pa.StructArray.from_arrays(
+            [
+                pa.array(chars[words.starts[at]] - origin[doc[at]], pa.int64()),
+                pa.array(chars[words.ends[np.flatnonzero(finish)]] - origin[doc[at]], pa.int64()),
+            ],
+            ["start", "end"],
+        )
+        np.cumsum(np.bincount(doc[at], minlength=len(first) - 1), out=counts[1:])
+        cols = [
+            np.diff(first), _sums(word_len, first), _sums(byte_set(SYMBOLS)[data], offsets),
+            np.array([_dup_lines(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]),
+            _sums(covered(lengths, 3), first), _sums(inside, first), _sums(word_len * inside, first), top,
+        ]
+        lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), spans)
+        return pa.StructArray.from_arrays([*[pa.array(c, pa.int64()) for c in cols], lists], [f.partition(":")[0] for f in MEASURES.split(", ")])
+
+    return add_column(docs, column, f"struct<{MEASURES}>", measure)
+
+
 def measure_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """SCHEMA's columns for every row of docs(doc_id, text).
+    """doc_id and MEASURES for every row of docs(doc_id, text).
 
     covered_words and covered_chars count words, and code points of words, in
     repeats of at least min_words words; longest_repeat counts the words of the
@@ -130,56 +178,24 @@ def measure_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
     as empty and has zeros. Repeated rows are measured each; other columns are
     ignored; an empty table gives no rows.
     """
-
-    def run(batches):
-        for batch in blocks(batches):
-            data, offsets = utf8(batch.column("text"))
-            words = Words(data, offsets)
-            first = words.first
-            lead = (data & 0xC0) != 0x80
-            chars = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(lead, out=chars[1:])
-            word_len = chars[words.ends] - chars[words.starts]
-            lengths = repeat_lengths(words.hashes(), first)
-            inside = covered(lengths, min_words)
-            raw = data.tobytes()
-            top = np.zeros(len(first) - 1, np.int64)
-            has = np.flatnonzero(np.diff(first))
-            if len(has):
-                top[has] = np.maximum.reduceat(lengths, first[:-1][has])
-            spans, counts = [], np.zeros(len(first), np.int64)
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            begin = inside.copy()
-            finish = inside.copy()
-            if len(inside):
-                joined = inside[1:] & inside[:-1] & (doc[1:] == doc[:-1])
-                begin[1:] &= ~joined
-                finish[:-1] &= ~joined
-            at = np.flatnonzero(begin)
-            origin = chars[offsets[:-1]]
-            spans = pa.StructArray.from_arrays(
-                [
-                    pa.array(chars[words.starts[at]] - origin[doc[at]], pa.int64()),
-                    pa.array(chars[words.ends[np.flatnonzero(finish)]] - origin[doc[at]], pa.int64()),
-                ],
-                ["start", "end"],
-            )
-            np.cumsum(np.bincount(doc[at], minlength=len(first) - 1), out=counts[1:])
-            cols = [
-                np.diff(first), _sums(word_len, first), _sums(byte_set(SYMBOLS)[data], offsets),
-                np.array([_dup_lines(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]),
-                _sums(covered(lengths, 3), first), _sums(inside, first), _sums(word_len * inside, first), top,
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols], pa.ListArray.from_arrays(pa.array(counts, pa.int32()), spans)],
-                [f.split()[0] for f in SCHEMA.split(", ")],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
-
-
-def judge_repeats(measured: DataFrame, max_covered: float = 0.3, max_repeat: int = 100) -> DataFrame:
-    """Adds base_failed and kept: kept unless base_failed, over max_covered of the words' characters repeat, or one repeat is longer than max_repeat words."""
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    verdict = (F.col("covered_chars") <= max_covered * F.col("word_chars")) & (F.col("longest_repeat") <= max_repeat)
-    return measured.withColumn("base_failed", base).withColumn("kept", ~base & verdict)
+    return add_measures(docs.select("doc_id", "text"), "_m", min_words).select("doc_id", "_m.*")
+
+
+def judge_repeats(
+    measured: DataFrame, max_covered: float = 0.3, max_repeat: int = 100, prefix: str = "", verdict: str = "kept"
+) -> DataFrame:
+    """Adds base_failed and the verdict: kept unless base_failed, over max_covered of the words' characters repeat, or one repeat is longer than max_repeat words."""
+    words, repeated, chars, covered_, longest = (
+        F.col(prefix + c) for c in ("n_words", "n_repeat_words", "word_chars", "covered_chars", "longest_repeat")
+    )
+    base = (words < 50) | (100 * repeated > 50 * words)
+    kept = ~base & (covered_ <= max_covered * chars) & (longest <= max_repeat)
+    return measured.withColumn(prefix + "base_failed", base).withColumn(verdict, kept)
+
+
+def drop_repetitive(docs: DataFrame, min_words: int = 8, **limits) -> DataFrame:
+    """The rows of docs that judge_repeats keeps, with all their columns."""
+    name, kept = free_name(docs, "_m"), free_name(docs, "_kept")
+    measured = add_measures(docs, name, min_words)
+    judged = judge_repeats(measured.select("*", *[F.col(f"{name}.{c}").alias(f"{name}_{c}") for c in NUMBERS]), prefix=f"{name}_", verdict=kept, **limits)
+    return judged.where(F.col(kept)).select(*docs.columns)

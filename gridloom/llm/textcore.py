@@ -8,11 +8,13 @@ have equal hashes, and two different ones collide with a chance near 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 3 << 20
 
@@ -121,6 +123,24 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores put before it as make it new to df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def add_column(docs: DataFrame, name: str, kind: str, measure: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """All columns of docs, and a new one that measure makes of blocks of rows."""
+
+    def run(batches):
+        for batch in blocks(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, measure(batch)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(kind))]))
+
+
 def binary_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 

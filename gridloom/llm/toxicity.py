@@ -10,9 +10,10 @@ where v' is v without its first byte and P the Kneser-Ney model of the next
 lower order over continuation counts of both classes. A word counts once for
 each different text that has it, so copies and lists don't look like habits. Where a class lacks a
 rare expression, the shared counts speak for it and the ratio stays near one.
-A text's evidence is the sum of log ratios over its bytes over the square root
-of their number: sums of chance deviations grow like that root, so texts of
-all lengths have the same noise. A logistic curve, fitted on training rows that
+A word's log ratio counts by what it has over MARGIN, as ordinary words differ
+by less between samples of one kind of text. A text's evidence is the sum of
+that over the square root of its number of bytes: sums of chance deviations
+grow like that root, so texts of all lengths have the same noise. A logistic curve, fitted on training rows that
 the counts have not seen, maps evidence to a score.
 
 The models are fitted on a bounded sample: of each class the rows that come
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Words, blocks, utf8
+from .textcore import Words, add_column, blocks, free_name, utf8
 
 D = 0.75
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 ORDER = 6
+MARGIN = 2.5
 BEGIN, END = 1, 2
 
 
@@ -133,7 +135,7 @@ class KneserNey:
         ratio = self.ratio[at]
         new = np.flatnonzero(at == len(self.keys))
         ratio[new] = self.context_ratio[_lookup(self.contexts, keys[new] >> np.uint64(8))]
-        by_word = np.add.reduceat(ratio, bounds[:-1])[place]
+        by_word = np.maximum(np.add.reduceat(ratio, bounds[:-1]) - MARGIN, 0)[place]
         size = np.diff(bounds)[place]
         sums, sizes = (np.append(0.0, np.cumsum(v)) for v in (by_word, size))
         first = words.first
@@ -197,6 +199,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> tuple[Knese
     return model, slope, float(intercept)
 
 
+def add_score(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 8000) -> DataFrame:
+    """All columns of docs, and column: struct(score, evidence)."""
+    model, slope, intercept = fit(docs, labels, max_docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batch: pa.RecordBatch) -> pa.Array:
+        x = shared.value.evidence(batch.column("text"))
+        score = 1 / (1 + np.exp(-(x * slope + intercept)))
+        return pa.StructArray.from_arrays([pa.array(score), pa.array(x)], ["score", "evidence"])
+
+    return add_column(docs, column, "struct<score:double,evidence:double>", measure)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every row of docs(doc_id, text).
 
@@ -204,19 +219,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, thr
     out. Repeated rows are scored each. Without labels of both classes every
     score is the base rate. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    model, slope, intercept = fit(docs, labels, max_docs)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        known = shared.value
-        for batch in blocks(batches):
-            x = known.evidence(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x)], ["doc_id", "evidence"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, evidence double")
-    score = 1 / (1 + F.exp(-(F.col("evidence") * slope + intercept)))
+    scored = add_score(docs.select("doc_id", "text"), labels, "_t", max_docs)
     return scored.select(
-        "doc_id", F.coalesce(split_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), score.alias("score"),
-        (score >= threshold).cast("int").alias("predicted"), "evidence",
+        "doc_id", F.coalesce(split_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "_t.score",
+        (F.col("_t.score") >= threshold).cast("int").alias("predicted"), "_t.evidence",
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns."""
+    name = free_name(docs, "_t")
+    return add_score(docs, labels, name, max_docs).where(F.col(f"{name}.score") < threshold).drop(name)
