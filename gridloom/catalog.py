@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import metric_queries, relational_queries, series_queries, text_queries  # noqa: F401
+from .plans.registry import QUERIES, SQL
+
 FLAGSHIP = "flagship"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
