@@ -202,14 +202,14 @@ def override_steps(T):
     return M.override_steps(stops(T).where("cause = 'error'").withColumnRenamed("cause", "code"))
 
 
-@query("downtime_causes", f"""WITH {READ}, d AS (SELECT turbine, step, greatest(0, least(3600, sum(value)::BIGINT * 3)) AS total_s FROM e GROUP BY 1, 2),
-m AS (SELECT turbine, step, coalesce(sum(value) FILTER (cause = 'click'), 0)::BIGINT * 2 AS a, coalesce(sum(value) FILTER (cause = 'view'), 0)::BIGINT AS b FROM e GROUP BY 1, 2)
+@query("downtime_causes", f"""WITH {READ}, d AS (SELECT turbine, step, greatest(0, least(3600, floor(sum(value) + 1e-6)::BIGINT * 3)) AS total_s FROM e GROUP BY 1, 2),
+m AS (SELECT turbine, step, coalesce(floor(sum(value) FILTER (cause = 'click') + 1e-6), 0)::BIGINT * 2 AS a, coalesce(floor(sum(value) FILTER (cause = 'view') + 1e-6), 0)::BIGINT AS b FROM e GROUP BY 1, 2)
 SELECT turbine, step, total_s, least(least(a, total_s), total_s) AS technical, least(least(b, total_s), total_s) AS environmental,
 greatest(0, total_s - least(a, total_s) - least(b, total_s)) AS unknown FROM d JOIN m USING (turbine, step)""")
 def downtime_causes(T):
     e = raw(T)
-    down = e.groupBy("turbine", "step").agg((F.round(F.sum("value")).cast("long") * 3).alias("downtime_s"))
-    part = lambda c: F.coalesce(F.round(F.sum(F.when(F.col("cause") == c, F.col("value")))).cast("long"), F.lit(0))
+    down = e.groupBy("turbine", "step").agg((F.floor(F.sum("value") + 1e-6) * 3).alias("downtime_s"))
+    part = lambda c: F.coalesce(F.floor(F.sum(F.when(F.col("cause") == c, F.col("value"))) + 1e-6), F.lit(0))
     timers = e.groupBy("turbine", "step").agg((part("click") * 2).alias("a"), part("view").alias("b"))
     out = M.downtime_steps(down, timers, {"technical": ["a"], "environmental": ["b"]}, step=HOUR)
     return out.select("turbine", "step", "total_s", "technical", "environmental", "unknown")
@@ -249,7 +249,7 @@ def asof_forward(T):
     return J.asof_forward(readings(T).select("turbine", "step"), faults(T), ["turbine"], "step", "start", "next_fault", 172800)
 
 
-@query("hours_since_last", f"WITH {READ}, {FAULTS} SELECT g.turbine, g.step, round(least((g.step - f.start) / 3600, 72), 6) AS hours FROM g ASOF LEFT JOIN f ON g.turbine = f.turbine AND g.step >= f.start")
+@query("hours_since_last", f"WITH {READ}, {FAULTS} SELECT g.turbine, g.step, CASE WHEN f.start IS NOT NULL THEN round(least((g.step - f.start) / 3600, 72), 6) END AS hours FROM g ASOF LEFT JOIN f ON g.turbine = f.turbine AND g.step >= f.start")
 def hours_since(T):
     x = J.asof_backward(readings(T).select("turbine", "step"), faults(T), ["turbine"], "step", "start", "at")
     hours = F.when(F.col("at").isNotNull(), F.least((F.col("step") - F.col("at")) / 3600, F.lit(72.0)))
@@ -287,8 +287,8 @@ def event_sets(T):
 
 @query("opening_messages", f"""WITH {READ}, {FAULTS}, v AS (SELECT DISTINCT turbine, start FROM f), m AS (SELECT turbine, t AS at, cause AS message FROM e WHERE cause <> 'error')
 SELECT v.turbine, v.start, coalesce(
- (SELECT min((at, message)).message FROM m WHERE m.turbine = v.turbine AND at >= start AND at < start + 600),
- (SELECT max((at, message)).message FROM m WHERE m.turbine = v.turbine AND at < start)) AS opening FROM v""")
+ (SELECT (min({'at': at, 'message': message})).message FROM m WHERE m.turbine = v.turbine AND at >= start AND at < start + 600),
+ (SELECT (max({'at': at, 'message': message})).message FROM m WHERE m.turbine = v.turbine AND at < start)) AS opening FROM v""")
 def opening(T):
     e = raw(T).where("cause <> 'error'").select("turbine", F.col("t").alias("at"), F.col("cause").alias("message"))
     return J.opening_message(faults(T).distinct(), e, ["turbine"])
