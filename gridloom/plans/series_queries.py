@@ -285,10 +285,10 @@ def event_sets(T):
     return a.agg(F.count("*").alias("events")).join(F.broadcast(exact)).join(F.broadcast(touched))
 
 
-@query("opening_messages", f"""WITH {READ}, {FAULTS}, v AS (SELECT DISTINCT turbine, start FROM f), m AS (SELECT turbine, t AS at, cause AS message FROM e WHERE cause <> 'error')
+@query("opening_messages", f"""WITH {READ}, {FAULTS}, v AS (SELECT DISTINCT turbine, start FROM f), m AS (SELECT turbine, t AS q, cause AS message FROM e WHERE cause <> 'error')
 SELECT v.turbine, v.start, coalesce(
- (SELECT (min({'at': at, 'message': message})).message FROM m WHERE m.turbine = v.turbine AND at >= start AND at < start + 600),
- (SELECT (max({'at': at, 'message': message})).message FROM m WHERE m.turbine = v.turbine AND at < start)) AS opening FROM v""")
+ (SELECT min(lpad(q::VARCHAR, 12, '0') || message)[13:] FROM m WHERE m.turbine = v.turbine AND q >= start AND q < start + 600),
+ (SELECT max(lpad(q::VARCHAR, 12, '0') || message)[13:] FROM m WHERE m.turbine = v.turbine AND q < start)) AS opening FROM v""")
 def opening(T):
     e = raw(T).where("cause <> 'error'").select("turbine", F.col("t").alias("at"), F.col("cause").alias("message"))
     return J.opening_message(faults(T).distinct(), e, ["turbine"])
