@@ -136,7 +136,8 @@ def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
         lambda i: F.least(F.col("_size"), F.col("_taken") - (i - 1) * F.col("_size")),
     )
     rows = joined.withColumn("_words", F.explode(parts))
-    cut = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _words, '}'), 0)")
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")
     text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
