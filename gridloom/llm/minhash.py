@@ -295,7 +295,8 @@ def near_duplicates(
         "set_key", F.coalesce("component", "rep").alias("component")
     )
     named = signed.select("doc_id", "n_shingles", "set_key").join(spread, "set_key", "left")
-    rows_of = named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    rows_of = named.select("doc_id", "n_shingles", component.alias("component_id"))
     return rows_of.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
