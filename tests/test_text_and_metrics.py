@@ -133,3 +133,31 @@ def test_entry_point_queries_have_names_for_their_sql():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_decisions():
+    from gridloom.operators import decisions as D
+
+    sure, loose = D.Interval(0.1, 0.4), D.Interval(0.1, 0.4, discarded=0.2)
+    assert [D.position(sure, x) for x in (0.05, 0.2, 0.5)] == ["clears", "contains", "below"] and D.position(loose, 0.05) == "contains"
+    assert D.all_positive([sure, sure]) == (True, 0.1) and not D.all_positive([sure, loose])[0]
+    assert D.supported([sure], [0.2, 0.3, 0.4], 0.0, 0.25, 0.0) == "supported" and D.supported([sure], [0.1], 0.2, 0.2, 0.5) == "refuted"
+    assert D.gate(loose, 1, "damage") == "untrusted" and D.gate(sure, 0.3, "damage") == "damage" and D.gate(sure, 0.5, "damage") == "pass"
+    assert [D.move(*x, 5) for x in ((0, 0), (0, 3), (3, 6), (6, 3), (6, 7))] == ["absent", "appears", "rises", "falls", "stays"]
+    assert D.disjoint({"a": (0, 3), "b": (3, 5)}) and not D.disjoint({"a": (0, 4), "b": (3, 5)})
+
+
+def test_token_arrays(spark):
+    from gridloom.operators import tokens as N
+
+    df = spark.createDataFrame([([1, 7, 5, 8, 1, 7, 8],), ([7, 7, 8, 8],), ([8, 7],), ([],)], "t array<int>")
+    spans = [r["s"] for r in df.select(N.message_spans(F.col("t"), 7, 8).alias("s")).collect()]
+    assert [(p["a"], p["b"]) for p in spans[0]] == [(1, 3), (5, 6)] and spans[1] is None and spans[2] is None and spans[3] == []
+    assert df.limit(1).select(N.drop_spans(F.col("t"), N.message_spans(F.col("t"), 7, 8)).alias("x")).first()["x"] == [1, 1]
+
+
+def test_mixture_schedule_keeps_shares():
+    from gridloom.operators.samplers import mixture_schedule
+
+    drawn = mixture_schedule({"a": 0.5, "b": 0.25, "c": 0.25}, 8)
+    assert drawn[0] == "a" and (drawn.count("a"), drawn.count("b"), drawn.count("c")) == (4, 2, 2)
