@@ -83,4 +83,10 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
 }
-ORACLES = {"op4_embedding_dedup": hnsw.ORACLE, "op5_source_mix": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
+ORACLES = {
+    "op1_minhash_dedup": minhash.ORACLE,
+    "op3_license_scan": licenses.oracle(),
+    "op4_embedding_dedup": hnsw.ORACLE,
+    "op5_source_mix": mixing.ORACLE,
+    "op10_chat_format": chat.ORACLE,
+}

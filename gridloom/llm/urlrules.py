@@ -58,7 +58,7 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, max_tokens: int = 4, min_count: int = 10
+    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, max_tokens: int = 4, min_count: int = 10
 ) -> DataFrame:
     """items (sorted array), confidence, support of rules items -> bad, from rows (url, bad boolean).
 
