@@ -97,3 +97,43 @@ def tail_windows(steps: DataFrame, keys: list[str], context: int) -> DataFrame:
 
 def tiles(tokens: Column, context: int) -> Column:
     return F.when(tokens >= context, F.sequence(F.lit(0), tokens - context, F.lit(context))).otherwise(F.array().cast("array<bigint>"))
+
+
+def tail_cuts(low: float, high: float, q_low: float, q_high: float, bins: int) -> list[float]:
+    """Equal-width cuts between each extreme and its tail quantile, bins a side."""
+    left = [low + (q_low - low) * k / bins for k in range(1, bins + 1)]
+    right = [q_high + (high - q_high) * k / bins for k in range(bins)]
+    return sorted({*left, *right})
+
+
+def merge_outward(cuts: Sequence[float], counts: Sequence[int], floor: int) -> list[float]:
+    """Drops cuts so that outer bins hold at least floor rows; counts has one entry per bin, one more than cuts."""
+    cuts, counts = list(cuts), list(counts)
+    while cuts and counts[0] < floor:
+        counts[1] += counts.pop(0)
+        cuts.pop(0)
+    while cuts and counts[-1] < floor:
+        counts[-2] += counts.pop()
+        cuts.pop()
+    return cuts
+
+
+def fit_channel(df: DataFrame, value: str, bins: int, tail: float = 0.005, tail_bins: int = 0, floor: int = 1) -> list[float]:
+    """Interior edges of one channel: masses get bins of their own, tails fixed widths, the middle equal counts.
+
+    Spark counts and ranks; what is left for the driver is a list of at most
+    bins edges.
+    """
+    masses = [r[value] for r in point_masses(df, value, bins).collect()]
+    stats = df.where(F.col(value).isNotNull()).agg(
+        F.min(value), F.max(value), F.percentile(value, F.lit(tail)), F.percentile(value, F.lit(1 - tail))
+    ).first()
+    if stats[0] is None:
+        return []
+    outer = tail_cuts(stats[0], stats[1], stats[2], stats[3], tail_bins) if tail_bins else []
+    middle = df.where(F.col(value).between(stats[2], stats[3]) & (~F.col(value).isin(*masses) if masses else F.lit(True)))
+    room = max(2, bins - len(masses) - len(outer))
+    found = fit_edges(middle, value, room).first()
+    edges = sorted({*(found["edges"] if found else []), *outer, *masses})
+    counts = dict(df.where(F.col(value).isNotNull()).groupBy(bin_of(F.col(value), F.array(*[F.lit(float(e)) for e in edges])).alias("b")).count().collect())
+    return merge_outward(edges, [counts.get(b, 0) for b in range(len(edges) + 1)], floor)

@@ -161,3 +161,11 @@ def test_mixture_schedule_keeps_shares():
 
     drawn = mixture_schedule({"a": 0.5, "b": 0.25, "c": 0.25}, 8)
     assert drawn[0] == "a" and (drawn.count("a"), drawn.count("b"), drawn.count("c")) == (4, 2, 2)
+
+
+def test_channel_edges_with_masses_and_tails(spark):
+    values = [0.0] * 50 + [k / 10 for k in range(1, 151)]
+    edges = binning.fit_channel(spark.createDataFrame([(v,) for v in values], "v double"), "v", 10, tail=0.05, tail_bins=2, floor=3)
+    assert edges == sorted(set(edges)) and len(edges) < 14
+    assert binning.merge_outward([1.0, 2.0, 3.0], [1, 1, 5, 9], 3) == [3.0]
+    assert binning.merge_outward([1.0, 2.0, 3.0], [4, 5, 2, 0], 3) == [1.0]
