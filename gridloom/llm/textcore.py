@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -178,7 +178,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> pa.Table:
     return texts.orderBy("h", "text").select("toxic", "fold", F.col("text").cast("string").alias("text")).toArrow()
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> tuple[KneserNey, float, float]:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> tuple[KneserNey, float, float]:
     """The models, slope and intercept, from rows whose crc32(doc_id) mod 4 is not 2.
 
     Counts are made of remainders 0 and 1; remainder 3 fits the curve, its
@@ -196,10 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> tuple[Knese
     slope, intercept = fit_logistic(x, y)
     if 0 < y.sum() < len(y):
         intercept += np.log(max(shares.get(1, 0), 1) / max(shares.get(0, 0), 1)) - np.log(y.sum() / (len(y) - y.sum()))
+    del rows, texts
+    pa.default_memory_pool().release_unused()
     return model, slope, float(intercept)
 
 
-def add_score(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 8000) -> DataFrame:
+def add_score(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 3000) -> DataFrame:
     """All columns of docs, and column: struct(score, evidence)."""
     model, slope, intercept = fit(docs, labels, max_docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -212,7 +214,7 @@ def add_score(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 8
     return add_column(docs, column, "struct<score:double,evidence:double>", measure)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every row of docs(doc_id, text).
 
     Null and empty texts have evidence 0. A null doc_id is scored and not held
@@ -226,7 +228,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, thr
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, threshold: float = 0.3) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score below threshold, with all their columns."""
     name = free_name(docs, "_t")
     return add_score(docs, labels, name, max_docs).where(F.col(f"{name}.score") < threshold).drop(name)
