@@ -10,6 +10,11 @@ BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2
 BLANK = f"[{BLANKS}]+"
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f names it and wherever the optimizer puts it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def null_nan(x: Column) -> Column:
     """NaN is a missing number."""
     return F.when(~F.isnan(x), x)
@@ -81,8 +86,7 @@ def repeated_line_ratio(x: Column) -> Column:
         twin = F.filter(rows, lambda r: F.coalesce(r["a"] == r["b"], F.lit(False)) | F.coalesce(r["a"] == r["c"], F.lit(False)))
         return F.when(n > 1, F.size(twin) / n).otherwise(F.lit(0.0))
 
-    # bound by a lambda, so the lines are made once
-    return F.transform(F.array(lines), share)[0]
+    return once(lines, share)
 
 
 def hash_position(seed: str, text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import BLANK, alphabetic_ratio, hash_position, repeated_line_ratio, split_by_fractions, strip
+from ..functions.scalars import BLANK, alphabetic_ratio, hash_position, once, repeated_line_ratio, split_by_fractions, strip
 
 TAG = r"<!--[\s\S]*?-->|</?[A-Za-z][^<>]*>"
 LOOSE_TAG = r"<[^>]*>"
@@ -67,11 +67,12 @@ def boilerplate_counts(x: Column, rules: Mapping[str, str]) -> dict[str, Column]
 
 def filter_reason(x: Column, least: int, most: int, letters: float, repeats: float) -> Column:
     """The first rule that fails, else null."""
-    return (
-        F.when(F.char_length(x) < least, "min_chars")
-        .when(F.char_length(x) > most, "max_chars")
-        .when(alphabetic_ratio(x) < letters, "alpha_ratio")
-        .when(repeated_line_ratio(x) > repeats, "repeated_lines")
+    return once(
+        x,
+        lambda t: F.when(F.char_length(t) < least, "min_chars")
+        .when(F.char_length(t) > most, "max_chars")
+        .when(alphabetic_ratio(t) < letters, "alpha_ratio")
+        .when(repeated_line_ratio(t) > repeats, "repeated_lines"),
     )
 
 
