@@ -35,7 +35,7 @@ from .textcore import blocks, mix, span_hashes, utf8
 SPACE = 32
 SURE = -200.0
 ALPHA = 0.3
-BLOCK = 3 << 19
+BLOCK = 1 << 20
 
 
 class Vocabulary:
