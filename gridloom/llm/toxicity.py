@@ -10,11 +10,14 @@ where v' is v without its first byte and P the Kneser-Ney model of the next
 lower order over continuation counts of both classes. A word counts once for
 each different text that has it, so copies and lists don't look like habits. Where a class lacks a
 rare expression, the shared counts speak for it and the ratio stays near one.
-A word's log ratio counts by what it has over MARGIN, as ordinary words differ
-by less between samples of one kind of text. A text's evidence is the sum of
-that over the square root of its number of bytes: sums of chance deviations
-grow like that root, so texts of all lengths have the same noise. A logistic curve, fitted on training rows that
-the counts have not seen, maps evidence to a score.
+Of a toxic text's words a share of INSULTS is the first class's and the others
+are the second's, so a word with log ratio r counts by log(1 - INSULTS +
+INSULTS * exp(r)): ordinary words speak against the class, within bounds. A
+passage's evidence is the sum over its words and a text's that of its strongest
+passage, all of which have PASSAGE words (a shorter text is one). A text without
+insults has no stronger passages for being long, and one insulting passage isn't
+outvoted by the rest. A logistic curve, fitted on training rows that the counts
+have not seen, maps the signed root of the evidence to a score.
 
 The models are fitted on a bounded sample: of each class the rows that come
 first by a hash of their id, at most max_docs of them. The scores cover all rows.
@@ -32,7 +35,8 @@ from .textcore import Words, add_column, blocks, free_name, utf8
 D = 0.75
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 ORDER = 6
-MARGIN = 2.5
+INSULTS = 0.03
+PASSAGE = 64
 BEGIN, END = 1, 2
 
 
@@ -135,11 +139,22 @@ class KneserNey:
         ratio = self.ratio[at]
         new = np.flatnonzero(at == len(self.keys))
         ratio[new] = self.context_ratio[_lookup(self.contexts, keys[new] >> np.uint64(8))]
-        by_word = np.maximum(np.add.reduceat(ratio, bounds[:-1]) - MARGIN, 0)[place]
-        size = np.diff(bounds)[place]
-        sums, sizes = (np.append(0.0, np.cumsum(v)) for v in (by_word, size))
-        first = words.first
-        return (sums[first[1:]] - sums[first[:-1]]) / np.sqrt(np.maximum(sizes[first[1:]] - sizes[first[:-1]], 1))
+        by_word = np.log1p(INSULTS * np.expm1(np.minimum(np.add.reduceat(ratio, bounds[:-1]), 500)))[place]
+        return strongest_passages(by_word, words.first)
+
+
+def strongest_passages(by_word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Signed root of the greatest sum of PASSAGE adjacent words of each text, of all words of a shorter one; 0 without words."""
+    sums = np.append(0.0, np.cumsum(by_word))
+    begin, end = first[:-1], first[1:]
+    best = sums[end] - sums[begin]
+    long = np.flatnonzero(end - begin > PASSAGE)
+    if len(long):
+        passages = sums[PASSAGE:] - sums[:-PASSAGE]
+        # to the last passage that begins in the text and ends in it, then on to the next text's first
+        bounds = np.stack([begin[long], end[long] - PASSAGE + 1], axis=1).ravel()
+        best[long] = np.maximum.reduceat(np.append(passages, -np.inf), bounds)[::2]
+    return np.sign(best) * np.sqrt(np.abs(best))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[float, float]:

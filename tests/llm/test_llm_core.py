@@ -149,6 +149,34 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(none) == 3
 
 
+def test_toxicity_of_very_long_texts(spark):
+    filler = [a + b + c for a in ("th", "er", "on", "li") for b in ("an", "in", "or", "u") for c in ("ed", "es", "ing", "o")]
+    rare = lambda: "".join(RNG.choice("aeioustrnl") for _ in range(7))
+    ordinary = lambda n: [RNG.choice(filler) if RNG.random() < 0.9 else rare() for _ in range(n)]
+    rows, labels = [], []
+    for i in range(1200):
+        words = ordinary(RNG.randint(30, 120))
+        toxic = int(i % 5 == 0)
+        for _ in range(toxic * 5):
+            words[RNG.randrange(len(words))] = RNG.choice(["vile", "scumbag", "rotten"]) + RNG.choice(["", "s", "ly"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    rows += [(9000 + k, " ".join(ordinary(7500))) for k in range(8)]
+    rows += [(9100 + k, " ".join(ordinary(3000) + ["vile", "scumbags", "rottenly", "scumbag", "viles"] + ordinary(3000))) for k in range(8)]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs_frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert sum(got[9000 + k] for k in range(8)) == 0 and sum(got[9100 + k] for k in range(8)) == 8
+
+
+def test_strongest_passages_match_brute_force():
+    first = np.array([0, 0, 3, 70, 134, 400, 400])
+    by_word = np.random.default_rng(3).normal(size=400)
+    got = toxicity.strongest_passages(by_word, first)
+    for a, b, x in zip(first[:-1], first[1:], got, strict=True):
+        width = min(b - a, toxicity.PASSAGE)
+        want = max(by_word[k : k + width].sum() for k in range(a, b - width + 1))
+        assert abs(x - math.copysign(math.sqrt(abs(want)), want)) < 1e-9
+
+
 def test_license_lines_and_inheritance(spark):
     rows = [
         (1, "a/b/x", "some words\nReleased under the MIT License.\n" + "more words of text " * 9),
