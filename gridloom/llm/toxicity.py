@@ -19,17 +19,21 @@ insults has no stronger passages for being long, and one insulting passage isn't
 outvoted by the rest. A logistic curve, fitted on training rows that the counts
 have not seen, maps the signed root of the evidence to a score.
 
-The models are fitted on a bounded sample: of each class the rows that come
-first by a hash of their id, at most max_docs of them. The scores cover all rows.
+The counts of a class are those of all its labelled rows but the held-out ones
+and the curve's, the continuation counts those of all texts; both are
+aggregates of the executors. Only the curve is fitted on a bounded sample: of
+each class the rows of one fold that come first by a hash of their id, at most
+max_docs of them. The scores cover all rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .textcore import Words, add_column, blocks, free_name, utf8
 
 D = 0.75
@@ -38,6 +42,7 @@ ORDER = 6
 INSULTS = 0.03
 PASSAGE = 64
 BEGIN, END = 1, 2
+HELD_GRAMS = 1 << 20
 
 
 def split_of(doc_id: Column) -> Column:
@@ -80,50 +85,96 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return at
 
 
-def _shared_probability(kinds: np.ndarray) -> np.ndarray:
-    """P(b | v') of each distinct key, by continuation counts of all lower orders."""
-    p = np.full(len(kinds), 1 / 256)
-    for order in range(1, ORDER):
-        longer = np.unique(kinds & np.uint64((1 << 8 * (order + 1)) - 1))
-        grams, count = np.unique(longer & np.uint64((1 << 8 * order) - 1), return_counts=True)
-        contexts, where = np.unique(grams >> np.uint64(8), return_inverse=True)
-        total, variety = np.bincount(where, count), np.bincount(where)
-        own = kinds & np.uint64((1 << 8 * order) - 1)
-        g, c = np.searchsorted(grams, own), np.searchsorted(contexts, own >> np.uint64(8))
-        p = np.maximum(count[g] - D, 0) / total[c] + D * variety[c] / total[c] * p
+def _block_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct letter grams of a block of texts, and how often its words have them; a word counts once a text."""
+    words, place, shown = _distinct_words(*utf8(column))
+    if not len(shown):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, bounds = _letter_keys(words, shown)
+    doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    once = np.unique(doc * len(shown) + place) % len(shown)
+    times = np.repeat(np.bincount(once, minlength=len(shown)), np.diff(bounds))
+    grams, where = np.unique(keys, return_inverse=True)
+    return grams, np.bincount(where, times).astype(np.int64)
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """gram, toxic, ordinary: the distinct letter grams of texts(toxic, text), and how often each class has them. A null class only shows grams."""
+
+    def run(batches):
+        held = {c: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for c in (1, 0, -1)}
+
+        def rows():
+            for c, (grams, often) in held.items():
+                none = np.zeros(len(grams), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams.astype(np.int64)), pa.array(often if c == 1 else none), pa.array(often if c == 0 else none)], ["gram", "toxic", "ordinary"]
+                )
+                held[c] = (grams[:0], often[:0])
+
+        for part in blocks(batches):
+            toxic = part.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)
+            for c in held:
+                if (toxic == c).any():
+                    found = _block_grams(part.column("text").filter(pa.array(toxic == c)))
+                    grams, where = np.unique(np.concatenate([held[c][0], found[0]]), return_inverse=True)
+                    held[c] = grams, np.bincount(where, np.concatenate([held[c][1], found[1]]), len(grams)).astype(np.int64)
+            if sum(len(grams) for grams, _ in held.values()) > HELD_GRAMS:
+                yield from rows()
+        yield from rows()
+
+    rows = texts.select("toxic", "text").mapInArrow(run, "gram long, toxic long, ordinary long")
+    return rows.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def _last(order: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
+
+
+def shared_probability(grams: DataFrame) -> DataFrame:
+    """gram, p: P(b | v') of the distinct grams without their first byte, by continuation counts of all lower orders."""
+    levels, longer = [], grams
+    for order in range(ORDER - 1, 0, -1):
+        longer = longer.groupBy(_last(order).alias("gram")).agg(F.count("*").alias("n"))
+        levels.append(longer)
+    context = Window.partitionBy("context")
+    p = None
+    for order, level in enumerate(reversed(levels), 1):
+        level = level.withColumn("context", F.shiftright("gram", 8)).select(
+            "gram", "n", F.sum("n").over(context).alias("total"), F.count("*").over(context).alias("variety"), _last(order - 1).alias("lower")
+        )
+        level = level.withColumn("rest", F.lit(1 / 256)) if p is None else level.join(p.select(F.col("gram").alias("lower"), F.col("p").alias("rest")), "lower")
+        told = F.greatest(F.col("n") - D, F.lit(0.0)) / F.col("total") + D * F.col("variety") / F.col("total") * F.col("rest")
+        p = level.select("gram", told.alias("p"))
     return p
 
 
+def log_ratios(grams: DataFrame) -> DataFrame:
+    """gram, ratio, context_ratio of the grams(gram, toxic, ordinary) that a class has; of all others the ratio is their context's."""
+    shared = shared_probability(grams).withColumnRenamed("gram", "lower")
+    context = Window.partitionBy("context")
+    rows = grams.where("toxic + ordinary > 0").withColumn("context", F.shiftright("gram", 8)).withColumn("lower", _last(ORDER - 1))
+    for c in ("toxic", "ordinary"):
+        rows = rows.withColumn(f"{c}_total", F.sum(c).over(context)).withColumn(f"{c}_kinds", F.count(F.when(F.col(c) > 0, 1)).over(context))
+        rows = rows.withColumn(f"{c}_rest", F.when(F.col(f"{c}_total") > 0, D * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(1.0))
+    rows = rows.join(shared, "lower")
+    told = lambda c: F.greatest(F.col(c) - D, F.lit(0.0)) / F.greatest(F.col(f"{c}_total"), F.lit(1)) + F.col(f"{c}_rest") * F.col("p")
+    return rows.select(
+        "gram", (F.log(told("toxic")) - F.log(told("ordinary"))).alias("ratio"), (F.log("toxic_rest") - F.log("ordinary_rest")).alias("context_ratio")
+    )
+
+
 class KneserNey:
-    """Log ratios, first class over second, of all keys and contexts that the texts hold."""
-
-    def __init__(self, texts: list[pa.Array]):
-        found = []
-        for column in texts:
-            grams, often = np.zeros(0, np.uint64), np.zeros(0)
-            for part in blocks(iter([pa.RecordBatch.from_arrays([column.unique()], ["text"])])):
-                words, place, shown = _distinct_words(*utf8(part.column("text")))
-                keys, bounds = _letter_keys(words, shown)
-                doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-                once = np.unique(doc * len(shown) + place) % max(len(shown), 1)
-                times = np.repeat(np.bincount(once, minlength=len(shown)), np.diff(bounds))
-                both, where = np.unique(np.concatenate([grams, keys]), return_inverse=True)
-                grams, often = both, np.bincount(where, np.concatenate([often, times]), len(both))
-            found.append((grams, often))
-        self.keys = np.unique(np.concatenate([g for g, _ in found]))
-        shared = _shared_probability(self.keys)
-        self.contexts, where = np.unique(self.keys >> np.uint64(8), return_inverse=True)
-        told, backoff = [], []
-        for grams, often in found:
-            n = np.zeros(len(self.keys))
-            n[np.searchsorted(self.keys, grams)] = often
-            total = np.bincount(where, n, len(self.contexts))
-            kinds = np.bincount(where, n > 0, len(self.contexts))
-            rest = np.where(total > 0, D * kinds / np.maximum(total, 1), 1.0)
-            backoff.append(rest)
-            told.append(np.maximum(n - D, 0) / np.maximum(total, 1)[where] + rest[where] * shared)
-        self.ratio = np.append(np.log(told[0]) - np.log(told[1]), 0.0)
-        self.context_ratio = np.append(np.log(backoff[0]) - np.log(backoff[1]), 0.0)
+    """Log ratios, first class over second, of the keys and contexts that the classes hold."""
+
+    def __init__(self, rows: pa.Table):
+        """Of the rows that log_ratios gives."""
+        gram, ratio, context_ratio = (rows.column(c).to_numpy() for c in ("gram", "ratio", "context_ratio"))
+        order = np.argsort(gram)
+        self.keys = gram[order].astype(np.uint64)
+        self.contexts, at = np.unique(self.keys >> np.uint64(8), return_index=True)
+        self.ratio = np.append(ratio[order], 0.0)
+        self.context_ratio = np.append(context_ratio[order][at], 0.0)
 
     def evidence(self, column: pa.Array) -> np.ndarray:
         """Evidence for the first class in each text; 0 without words."""
@@ -176,50 +227,49 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     return float(w[0] / scale), float(w[1])
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> pa.Table:
-    """Rows (toxic, fold, text): at most max_docs of each class, the first by hash of the id."""
+def training_rows(labels: DataFrame, max_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, toxic) of the rows that are counted, and of those that fit the curve: at most max_docs of a class, the first by hash of the id."""
     rows = (
         labels.where("toxic in (0, 1) and doc_id is not null")
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"), split_of(F.col("doc_id")).alias("fold"))
         .where("fold <> 2")
         .dropDuplicates(["doc_id"])
-        .withColumn("h", F.xxhash64("doc_id"))
     )
     picked = None
     for toxic in (0, 1):
-        some = rows.where(F.col("toxic") == toxic).orderBy("h").limit(max_docs)
+        some = rows.where((F.col("toxic") == toxic) & (F.col("fold") == 3)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         picked = some if picked is None else picked.union(some)
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    return texts.orderBy("h", "text").select("toxic", "fold", F.col("text").cast("string").alias("text")).toArrow()
+    curve = materialize(picked.select("doc_id", "toxic"), "toxicity-curve")
+    return rows.join(F.broadcast(curve.select("doc_id")), "doc_id", "left_anti").select("doc_id", "toxic"), curve
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> tuple[KneserNey, float, float]:
-    """The models, slope and intercept, from rows whose crc32(doc_id) mod 4 is not 2.
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000):
+    """The broadcast model, slope and intercept, from rows whose crc32(doc_id) mod 4 is not 2.
 
-    Counts are made of remainders 0 and 1; remainder 3 fits the curve, its
-    classes weighted back to their shares among all labels.
+    The curve is fitted on rows of remainder 3, its classes weighted back to
+    their shares among all labels; all other rows are counted.
     """
     shares = dict(
         labels.where("toxic in (0, 1)").where(split_of(F.col("doc_id")) != 2).groupBy(F.col("toxic").cast("int").alias("t")).count().collect()
     )
-    rows = _sample(docs, labels, max_docs)
-    toxic, fold = (rows[c].to_numpy() for c in ("toxic", "fold"))
-    texts = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    chosen = lambda mask: texts.filter(pa.array(mask)) if rows.num_rows else texts
-    model = KneserNey([chosen((toxic == c) & (fold != 3)) for c in (1, 0)])
-    x, y = model.evidence(chosen(fold == 3)), toxic[fold == 3].astype(float)
+    counted, curve = training_rows(labels, max_docs)
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    classed = texts.join(counted, "doc_id").select("toxic", "text").distinct()
+    grams = materialize(count_grams(classed.union(texts.select(F.lit(None).cast("int").alias("toxic"), "text"))), "toxicity-grams")
+    model = docs.sparkSession.sparkContext.broadcast(KneserNey(log_ratios(grams).toArrow()))
+    pa.default_memory_pool().release_unused()
+    chosen = texts.join(F.broadcast(curve), "doc_id")
+    rows = add_column(chosen, "x", "double", lambda batch: pa.array(model.value.evidence(batch.column("text")))).select("toxic", "x").toArrow()
+    x, y = (rows.column(c).to_numpy().astype(float) for c in ("x", "toxic"))
     slope, intercept = fit_logistic(x, y)
     if 0 < y.sum() < len(y):
         intercept += np.log(max(shares.get(1, 0), 1) / max(shares.get(0, 0), 1)) - np.log(y.sum() / (len(y) - y.sum()))
-    del rows, texts
-    pa.default_memory_pool().release_unused()
     return model, slope, float(intercept)
 
 
 def add_score(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 3000) -> DataFrame:
     """All columns of docs, and column: struct(score, evidence)."""
-    model, slope, intercept = fit(docs, labels, max_docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, slope, intercept = fit(docs, labels, max_docs)
 
     def measure(batch: pa.RecordBatch) -> pa.Array:
         x = shared.value.evidence(batch.column("text"))

@@ -167,6 +167,40 @@ def test_toxicity_of_very_long_texts(spark):
     assert sum(got[9000 + k] for k in range(8)) == 0 and sum(got[9100 + k] for k in range(8)) == 8
 
 
+def test_toxicity_counts_grow_with_the_input(spark):
+    """Words of rows beyond max_docs count, and the shared counts are those of all texts."""
+    rows = [(i, f"common words {'zq' if i % 2 else 'kj'}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x") for i in range(1300)]
+    df, labels = docs_frame(spark, [*rows, (5000, "unlabelled")]), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, max_docs=20)[0].value
+    counted, curve = toxicity.training_rows(labels, 20)
+    assert curve.count() == 40 and counted.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in rows) - 40
+    of = {r["doc_id"]: r["toxic"] for r in counted.collect()}
+    texts = {c: {t for i, t in rows if of.get(i) == c} for c in (1, 0)}
+
+    def grams(word):
+        spelt = "\1" + word + "\2"
+        return [spelt[max(0, k - 5) : k + 1] for k in range(1, len(spelt))]
+    n = {c: Counter(g for t in texts[c] for w in set(t.split()) for g in grams(w)) for c in texts}
+    everything = {g for _, t in [*rows, (0, "unlabelled")] for w in t.split() for g in grams(w)}
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        longer = {y[-len(g) - 1 :] for y in everything}
+        same = Counter(x[-len(g) :] for x in longer if len(x) >= len(g) and x[-len(g) : -1] == g[:-1])
+        total = sum(same.values())
+        return max(same[g] - 0.75, 0) / total + 0.75 * len(same) / total * p(g[1:])
+
+    g = "common"
+    told = []
+    for c in (1, 0):
+        same = {x: k for x, k in n[c].items() if len(x) == 6 and x[:-1] == g[:-1]}
+        total = sum(same.values())
+        told.append(max(same[g] - 0.75, 0) / total + 0.75 * len(same) / total * p(g[1:]))
+    at = int(np.searchsorted(model.keys, int.from_bytes(g.encode(), "big")))
+    assert model.keys[at] == int.from_bytes(g.encode(), "big") and abs(model.ratio[at] - math.log(told[0] / told[1])) < 1e-9
+
+
 def test_strongest_passages_match_brute_force():
     first = np.array([0, 0, 3, 70, 134, 400, 400])
     by_word = np.random.default_rng(3).normal(size=400)
