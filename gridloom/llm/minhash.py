@@ -125,7 +125,7 @@ def shingled(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     The wanted ids go to the scan as a bitmap of hashes, whose size is fixed.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), FILTER_BITS)
+    bit = F.pmod(F.xxhash64("doc_id"), FILTER_BITS) + 1  # bitmap buckets start at 1
     rows = (
         wanted.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     )

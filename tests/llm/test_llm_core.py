@@ -85,6 +85,15 @@ def test_near_duplicates_odd_tables(spark):
     assert minhash.drop_near_duplicates(df).where("doc_id is not null").count() == 1
 
 
+def test_shingles_of_a_document_whose_hash_is_zero(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FILTER_BITS", 1 << 15)
+    ids = spark.range(400000).where("pmod(xxhash64(id), 32768) in (0, 1, 32767)").select(F.col("id").alias("doc_id"))
+    docs = ids.withColumn("text", F.concat(F.lit("a b c d "), F.col("doc_id").cast("string")))
+    hit = ids.where("pmod(xxhash64(doc_id), 32768) = 0")
+    want = {r["doc_id"] for r in hit.collect()}
+    assert want and {r["doc_id"] for r in minhash.shingled(docs, hit, 4).collect()} == want
+
+
 def test_posterior_bounds_grow_and_keep_true_links():
     bounds = minhash.least_agreeing(160, 0.8, 1e-6)
     assert [n for n, _ in bounds] == [32, 64, 96, 128, 160] and all(m < n * 0.8 for n, m in bounds)
