@@ -3,16 +3,19 @@
 1. Shingle sets are hashed to signatures. Documents with equal sets share a
    key and one of them, the one with the smallest id, stands for all.
 2. Bands of the signatures put representatives in buckets. Each member is
-   compared to its bucket's hub (the smallest id) only, never all to all.
+   compared to its bucket's hub (the smallest id), and where that leaves
+   several components, to the member with the most links so far.
 3. Candidates are compared batch by batch of their signatures. With m of n
    agreeing, a pair is dropped once the posterior chance that its similarity
    reaches the threshold is below miss. Survivors are verified on full sets.
-4. Buckets whose members are not yet in one component are compared in full,
-   in cells of bounded size: members outside of the largest component against
-   all others. Those that pass the same test with one of another component
-   bring their sets to a cell, which verifies pairs until its components are
-   joined. So no link that joins components is lost, whatever the bucket size,
-   and no task hands on more links than it has members.
+4. What stays open is compared in cells: members outside of their bucket's
+   largest component against all others of it. Those that pass the same test
+   bring their sets to a cell, which verifies all pairs at once by products of
+   0-1 matrices and hands on a spanning forest of the links, so no task emits
+   more links than it has members. A bucket of at most SIDE members is one
+   cell. Buckets with more than SIDE members outside of their main component
+   are filed again by longer bands, which split what is not similar enough; only
+   what that leaves crowded is dealt to several cells.
 5. Components of the verified links, spread to all copies.
 
 At similarity 0.8, 32 bands of 5 rows miss a pair with chance 3e-6.
@@ -29,20 +32,38 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import materialize
-from .textcore import Words, binary_column, blocks, matrix, mix, shingle_sets, utf8
+from .textcore import Words, binary_column, blocks, free_name, give_back, matrix, mix, shingle_sets, utf8
 
 BANDS, ROWS, BATCH = 32, 5, 32
-SIDE = 256
+#: Members of a side of a cell that compares signatures, and shingles of one that compares sets.
+SIDE, SET_SIDE = 1024, 1 << 19
+#: Bands and rows of the second filing: a pair at 0.8 is missed with chance 1e-5, one at 0.7 shares a band with chance 0.014 instead of 0.17.
+LONG = (162, 12)
 FILTER_BITS = 1 << 25
 
 
+def hash_family(k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Factors (odd) and summands of k hash functions."""
+    seeds = mix(np.arange(1, 2 * k + 1, dtype=np.uint64) + np.uint64(salt))
+    return (seeds[:k] | np.uint64(1)).astype(np.uint32)[:, None], seeds[k:].astype(np.uint32)[:, None]
+
+
+def least_hashes(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Smallest value of each hash function over a set."""
+    a, b = family
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    sig = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 2048):
+        np.minimum(sig, (a * x[at : at + 2048] + b).min(axis=1), out=sig)
+    return sig
+
+
 def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set_key, sig, bands of every row; the last three null for empty sets."""
     k = bands * rows
 
     def run(batches):
-        seeds = mix(np.arange(1, 2 * k + 1, dtype=np.uint64))
-        a, b = (seeds[:k] | np.uint64(1)).astype(np.uint32)[:, None], seeds[k:].astype(np.uint32)[:, None]
+        family = hash_family(k)
         for batch in blocks(batches):
             ids, sizes, keys, sigs, filed = batch.column("doc_id"), [], [], [], []
             for s in shingle_sets(Words(*utf8(batch.column("text")), lower=True), words):
@@ -50,10 +71,7 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
                 if not len(s):
                     keys.append(None), sigs.append(None), filed.append(None)
                     continue
-                x = (s >> np.uint64(32)).astype(np.uint32)
-                sig = np.full(k, 0xFFFFFFFF, np.uint32)
-                for at in range(0, len(x), 2048):
-                    np.minimum(sig, (a * x[at : at + 2048] + b).min(axis=1), out=sig)
+                sig = least_hashes(s, family)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sigs.append(sig.tobytes())
                 filed.append(band_keys(sig[None], bands, rows)[0])
@@ -105,11 +123,10 @@ def bayes_mask(x: np.ndarray, y: np.ndarray, bounds: list[tuple[int, int]]) -> n
     return mask
 
 
-def prune(pairs: DataFrame, sigs: DataFrame, k: int, bounds) -> DataFrame:
-    """The pairs (a, b) that pass the sequential test on their signatures."""
-    joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(
-        sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b"
-    )
+def prune(pairs: DataFrame, heads: DataFrame, k: int, bounds, percent: int) -> DataFrame:
+    """The pairs (a, b) whose set sizes allow a link and whose signatures pass the sequential test."""
+    sides = [heads.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batches):
         for batch in batches:
@@ -169,97 +186,190 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def cells(members: DataFrame, labels: DataFrame, side: int) -> DataFrame:
-    """Members (bucket, doc_id, hub) of buckets with more than one component, dealt to cells.
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, doc_id, weight) of buckets with more than one component, with component, n, minors and minor.
 
-    A cell (bucket, i, j) has about side members each of two kinds: left ones,
-    which are outside of the bucket's largest component, and any. All pairs of
-    different components are together in some cell.
+    Minor members are outside of their bucket's heaviest component; n is the weight of all, minors that of the minor ones.
     """
     named = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    named = named.select("bucket", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
-    parts = named.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    named = named.select("bucket", "doc_id", "weight", F.coalesce("component", "doc_id").alias("component"))
+    parts = named.groupBy("bucket", "component").agg(F.sum("weight").alias("c"))
     mixed = (
         parts.groupBy("bucket")
         .agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("kinds"))
         .where("kinds > 1")
     )
-    sides = named.join(mixed, "bucket").select(
-        "bucket", "doc_id", "hub", "component",
-        (F.col("component") != F.col("main")).alias("minor"),
-        F.ceil((F.col("n") - F.col("most")) / side).cast("int").alias("nl"),
+    return named.join(mixed, "bucket").select(
+        "bucket", "doc_id", "weight", "component", "n", (F.col("n") - F.col("most")).alias("minors"), (F.col("component") != F.col("main")).alias("minor")
+    )
+
+
+def cells(open_: DataFrame, side: int) -> DataFrame:
+    """Members of unsettled() dealt to cells (bucket, i, j), with left and right flags.
+
+    A bucket that weighs at most side is one cell, where each member stands
+    once. Of a heavier one a cell has members of about the weight side of two
+    kinds: left ones, which are minor, and right ones, which are any. A minor
+    member meets each member of its bucket in one cell.
+    """
+    sides = open_.select(
+        "bucket", "doc_id", "component", "minor",
+        F.when(F.col("n") <= side, 1).otherwise(F.ceil(F.col("minors") / side)).cast("int").alias("nl"),
         F.ceil(F.col("n") / side).cast("int").alias("na"),
         F.xxhash64("doc_id").alias("h"),
-    )
-    one = sides.select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod("h", "na").cast("int").alias("j"), F.lit(False).alias("left"))
-    two = sides.where("minor").select("*", F.pmod("h", "nl").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(True).alias("left"))
-    return one.union(two).select("bucket", "i", "j", "hub", "doc_id", "component", "left")
+    )
+    only = sides.where("na = 1").select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "component", F.col("minor").alias("left"), F.lit(True).alias("right"))
+    many = sides.where("na > 1")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    right = many.select("bucket", upto("nl").alias("i"), F.pmod("h", "na").cast("int").alias("j"), "doc_id", "component", F.lit(False).alias("left"), F.lit(True).alias("right"))
+    left = many.where("minor").select("bucket", F.pmod("h", "nl").cast("int").alias("i"), upto("na").alias("j"), "doc_id", "component", F.lit(True).alias("left"), F.lit(False).alias("right"))
+    return only.union(right).union(left)
 
 
-def _by_cell(batch: pa.RecordBatch, k: int):
-    """bucket, hub, ids, components, left flags, signatures and shingles (if there) of each row's members."""
+def _by_cell(batch: pa.RecordBatch):
+    """Fields of each row's members, and places of the left and right ones."""
     lists = batch.column("m")
     flat = lists.flatten()
     edges = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-    ids, parts, left = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "left"))
-    sig = matrix(flat.field("sig"), np.uint32, k)
-    sets = flat.field("shingles") if flat.type.get_field_index("shingles") >= 0 else None
+    ids, parts, left, right = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "left", "right"))
     for n, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        some = None if sets is None else [np.frombuffer(v.as_buffer(), np.uint64) for v in sets[lo:hi]]
-        yield batch.column("bucket")[n].as_py(), batch.column("hub")[n].as_py(), ids[lo:hi], parts[lo:hi], left[lo:hi], sig[lo:hi], some
+        yield batch.column("bucket")[n].as_py(), flat.slice(lo, hi - lo), ids[lo:hi], parts[lo:hi], np.flatnonzero(left[lo:hi]), np.flatnonzero(right[lo:hi])
 
 
-def close_members(dealt: DataFrame, sigs: DataFrame, k: int, bounds) -> DataFrame:
-    """Members (bucket, doc_id, hub) that pass the sequential test with one of another component in a cell of their bucket."""
+def close_members(dealt: DataFrame, heads: DataFrame, k: int, bounds) -> DataFrame:
+    """Members (bucket, doc_id, weight: their shingles) that pass the sequential test with one of another component in a cell of their bucket."""
 
     def run(batches):
         for batch in batches:
-            for bucket, hub, ids, parts, left, sig, _ in _by_cell(batch, k):
-                cols, found = np.flatnonzero(~left), np.zeros(len(ids), bool)
-                for r in np.flatnonzero(left):
-                    other = cols[(parts[cols] != parts[r]) & (ids[cols] != hub)] if ids[r] != hub else cols[:0]
-                    if len(other):
-                        passed = other[bayes_mask(np.broadcast_to(sig[r], (len(other), k)), sig[other], bounds)]
-                        found[passed] = True
-                        found[r] |= len(passed) > 0
-                n = int(found.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int64()), pa.array(ids[found]), pa.array([hub] * n, pa.int64())], ["bucket", "doc_id", "hub"])
-
-    grouped = dealt.join(sigs, "doc_id").groupBy("bucket", "i", "j", "hub").agg(F.collect_list(F.struct("doc_id", "component", "left", "sig")).alias("m"))
-    return grouped.select("bucket", "hub", "m").mapInArrow(run, "bucket long, doc_id long, hub long").distinct()
-
-
-def joining_links(dealt: DataFrame, sigs: DataFrame, sets: DataFrame, bands: int, rows: int, bounds, percent: int) -> DataFrame:
-    """Verified links (a, b) that join different components, enough for all joins of each cell.
-
-    A pair counts in the bucket of the first band that it shares. Once two
-    components of a cell are joined, other pairs of theirs need no test.
-    """
-    k = bands * rows
+            for bucket, flat, ids, parts, left, right in _by_cell(batch):
+                sig, found = matrix(flat.field("sig"), np.uint32, k), np.zeros(len(ids), bool)
+                for r in left:
+                    other = right[parts[right] != parts[r]]
+                    passed = other[bayes_mask(np.broadcast_to(sig[r], (len(other), k)), sig[other], bounds)]
+                    found[passed] = True
+                    found[r] |= len(passed) > 0
+                n, weight = int(found.sum()), flat.field("n_shingles").filter(pa.array(found))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int64()), pa.array(ids[found]), weight], ["bucket", "doc_id", "weight"])
+        give_back()
+
+    members = F.collect_list(F.struct("doc_id", "component", "left", "right", "n_shingles", "sig"))
+    grouped = dealt.join(heads.select("doc_id", "n_shingles", "sig"), "doc_id").groupBy("bucket", "i", "j").agg(members.alias("m"))
+    return grouped.select("bucket", "m").mapInArrow(run, "bucket long, doc_id long, weight long").distinct()
+
+
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: products of blocks of the 0-1 matrices of their common elements."""
+    flat = [np.concatenate([np.zeros(0, np.uint64), *s]) for s in (left, right)]
+    rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    common = np.intersect1d(*flat)
+    found = []
+    for values, row in zip(flat, rows, strict=True):
+        at = np.minimum(np.searchsorted(common, values), max(len(common) - 1, 0))
+        keep = common[at] == values if len(common) else np.zeros(len(values), bool)
+        order = np.argsort(at[keep], kind="stable")
+        found.append((at[keep][order], row[keep][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, len(common), width):
+        blocks_ = []
+        for (at, row), size in zip(found, out.shape, strict=True):
+            lo, hi = np.searchsorted(at, [begin, begin + width])
+            block = np.zeros((size, width), np.float32)
+            block[row[lo:hi], at[lo:hi] - begin] = 1
+            blocks_.append(block)
+        out += blocks_[0] @ blocks_[1].T
+    return out.astype(np.int64)
+
+
+def joining_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components: a spanning forest of all links of full sets in each cell."""
 
     def run(batches):
         for batch in batches:
-            for bucket, _, ids, parts, left, sig, shingles in _by_cell(batch, k):
-                keys = band_keys(sig, bands, rows)
-                parts, cols, out = parts.copy(), np.flatnonzero(~left), []
-                for r in np.flatnonzero(left):
-                    other = cols[parts[cols] != parts[r]]
-                    same = keys[other] == keys[r]
-                    other = other[same.any(axis=1) & (keys[r][same.argmax(axis=1)] == bucket)]
-                    other = other[bayes_mask(np.broadcast_to(sig[r], (len(other), k)), sig[other], bounds)]
-                    for c in other[np.argsort(-(sig[other] == sig[r]).sum(axis=1))]:
-                        if parts[c] != parts[r] and similar(shingles[r], shingles[c], percent):
-                            out.append(sorted((int(ids[r]), int(ids[c]))))
-                            parts[parts == parts[c]] = parts[r]
+            for _, flat, ids, parts, left, right in _by_cell(batch):
+                shingles = [np.frombuffer(v.as_buffer(), np.uint64) for v in flat.field("shingles")]
+                both = shared_sizes([shingles[x] for x in left], [shingles[x] for x in right])
+                size = np.array([len(x) for x in shingles])
+                linked = 100 * both >= percent * (size[left][:, None] + size[right][None] - both)
+                r, c = np.nonzero(linked & (parts[left][:, None] != parts[right][None]))
+                parts, out = parts.copy(), []
+                for x, y in zip(left[r].tolist(), right[c].tolist(), strict=True):
+                    if parts[x] != parts[y]:
+                        out.append(sorted((int(ids[x]), int(ids[y]))))
+                        parts[parts == parts[y]] = parts[x]
                 yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in out], pa.int64()) for n in (0, 1)], ["a", "b"])
+        give_back()
+
+    members = F.collect_list(F.struct("doc_id", "component", "left", "right", "shingles"))
+    grouped = dealt.join(sets, "doc_id").groupBy("bucket", "i", "j").agg(members.alias("m"))
+    return grouped.select("bucket", "m").mapInArrow(run, "a long, b long").distinct()
+
 
-    full = dealt.join(sigs, "doc_id").join(sets, "doc_id")
-    grouped = full.groupBy("bucket", "i", "j", "hub").agg(F.collect_list(F.struct("doc_id", "component", "left", "sig", "shingles")).alias("m"))
-    return grouped.select("bucket", "hub", "m").mapInArrow(run, "a long, b long").distinct()
+def long_bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """bucket, doc_id: documents of sets(doc_id, shingles) filed under bands of more hashes, which fewer pairs share by chance."""
+    k = bands * rows
+
+    def run(batches):
+        family = hash_family(k, 1 << 50)
+        for batch in batches:
+            for doc_id, held in zip(batch.column("doc_id"), batch.column("shingles"), strict=True):
+                keys = band_keys(least_hashes(np.frombuffer(held.as_buffer(), np.uint64), family)[None], bands, rows)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([doc_id.as_py()] * bands, pa.int64())], ["bucket", "doc_id"])
+        give_back()
+
+    return sets.where(F.length("shingles") > 0).mapInArrow(run, "bucket long, doc_id long")
+
+
+class Linker:
+    """Links of the representatives heads(doc_id, n_shingles, sig), found bucket by bucket; labels are the components so far."""
+
+    def __init__(self, docs: DataFrame, heads: DataFrame, links: DataFrame, words: int, percent: int, k: int, miss: float):
+        self.docs, self.heads, self.words, self.percent, self.k = docs, heads, words, percent, k
+        self.bounds = least_agreeing(k, percent / 100, miss)
+        self.links, self.labels = links, None
+
+    def add(self, links: DataFrame) -> None:
+        """Takes in links(a, b)."""
+        links = materialize(links, "links")
+        if self.labels is None or links.limit(1).count():
+            self.links = self.links.union(links)
+            self.labels = materialize(connected_components(self.links), "labels")
+
+    def to_hubs(self, pairs: DataFrame) -> None:
+        survivors = materialize(prune(pairs, self.heads, self.k, self.bounds, self.percent), "survivors")
+        self.add(verify(survivors, self.docs, self.words, self.percent))
+
+    def least_hubs(self, filed: DataFrame) -> DataFrame:
+        """Compares members of filed(bucket, doc_id) to the least of their bucket; returns the members of buckets of several."""
+        buckets = filed.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+        members = materialize(filed.join(buckets, "bucket").select("bucket", "doc_id", "hub", "n"), "members")
+        self.to_hubs(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+        return members.where("n > 2").select("bucket", "doc_id", F.lit(1).alias("weight"))
+
+    def linked_hubs(self, members: DataFrame) -> None:
+        """Compares members of unsettled buckets to the one with the most links so far: the original of a group of near copies, mostly."""
+        ends = self.links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
+        open_ = materialize(unsettled(members, self.labels).join(ends, "doc_id").select("bucket", "doc_id", "component", "degree"), "ranked")
+        hubs = open_.groupBy("bucket").agg(F.max(F.struct("degree", "doc_id", "component")).alias("h"))
+        hubs = hubs.select("bucket", F.col("h.doc_id").alias("hub"), F.col("h.component").alias("own"))
+        met = unsettled(members, self.labels).join(hubs, "bucket").where("component <> own")
+        self.to_hubs(met.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
+
+    def settle(self, members: DataFrame, side: int, long: tuple[int, int] | None) -> None:
+        """Compares in cells what the hubs have left open; crowded buckets are filed again by longer bands first."""
+        open_ = materialize(unsettled(members, self.labels), "open")
+        if long and open_.where(F.col("minors") > side).limit(1).count():
+            crowded = open_.where(F.col("minors") > side).select("doc_id").distinct()
+            again = materialize(long_bands(shingled(self.docs, crowded, self.words).join(self.heads.select("doc_id"), "doc_id", "left_semi"), *long), "members")
+            open_ = open_.where(F.col("minors") <= side)
+            self.settle(self.least_hubs(again), side, None)
+        close = materialize(close_members(cells(open_, side), self.heads, self.k, self.bounds), "close")
+        if close.limit(1).count():
+            sets = shingled(self.docs, close.select("doc_id"), self.words)
+            self.add(joining_links(cells(unsettled(close, self.labels), SET_SIDE), sets, self.percent))
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6, side: int = SIDE, long: tuple[int, int] = LONG
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
 
@@ -269,28 +379,19 @@ def near_duplicates(
     links of all of them. Other columns are ignored. An empty table gives no rows.
     """
     k = bands * rows
-    bounds = least_agreeing(k, percent / 100, miss)
     signed = materialize(signatures(docs, words, bands, rows), "signatures")
     full = signed.where("set_key is not null and doc_id is not null")
     twins = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "twins")
     heads = full.join(twins.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    heads = materialize(heads.select("doc_id", "sig", "bands"), "heads")
-    sigs = heads.select("doc_id", "sig")
-    filed = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = filed.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(filed.join(buckets, "bucket").select("bucket", "doc_id", "hub", "n"), "members")
-    first = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    survivors = materialize(prune(first, sigs, k, bounds), "survivors")
-    links = materialize(verify(survivors, docs, words, percent), "links")
-    twice = signed.where("doc_id is not null and set_key is not null").groupBy("doc_id").agg(F.count_distinct("set_key").alias("k"))
+    heads = materialize(heads.select("doc_id", "n_shingles", "sig", "bands"), "heads")
+    twice = full.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k"))
     again = full.join(twice.where("k > 1").select("doc_id"), "doc_id", "left_semi").join(twins, "set_key")
-    links = links.union(again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    labels = connected_components(links)
-    close = materialize(close_members(cells(members.where("n > 2"), labels, SIDE), sigs, k, bounds), "close")
-    if close.limit(1).count():
-        sets = shingled(docs, close.select("doc_id"), words)
-        more = joining_links(cells(close, labels, SIDE), sigs, sets, bands, rows, bounds, percent)
-        labels = connected_components(links.union(materialize(more, "links")))
+    again = materialize(again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "links")
+    linker = Linker(docs, heads, again, words, percent, k, miss)
+    members = linker.least_hubs(heads.select(F.explode("bands").alias("bucket"), "doc_id"))
+    linker.linked_hubs(members)
+    linker.settle(members, side, long)
+    labels = linker.labels
     spread = twins.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component")
     )
@@ -303,14 +404,19 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component of near-duplicates, the one with the smallest doc_id, and all columns.
 
-    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id stay.
+    Of rows that repeat a kept doc_id one stays, the least by a hash of the
+    whole row. Rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    gone, key, mark, least = (free_name(docs, n) for n in ("_gone", "_key", "_mark", "_least"))
+    found = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(found, F.col("doc_id") == F.col(gone), "left_anti").withColumn(mark, F.xxhash64(*docs.columns))
+    repeated = left.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(gone), F.min(mark).alias(least)).where(F.col(gone) > 1)
+    repeated = materialize(repeated.select(key, least), "repeated")
     if repeated.limit(1).count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+        left = left.join(repeated, F.col("doc_id") == F.col(key), "left")
+        first = left.where(F.col(mark) == F.col(least)).dropDuplicates(["doc_id"])
+        left = left.where(F.col(least).isNull()).unionByName(first)
+    return left.select(*docs.columns)
 
 
 #: All pairs that share a shingle, on the whole table.

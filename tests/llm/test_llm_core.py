@@ -76,6 +76,39 @@ def test_large_bucket_leftovers_are_joined(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("side", [2, 1024])
+def test_crowded_buckets_lose_no_join(spark, side):
+    """Groups of copies at similarity 0.7 and 0.85 and a chain: with a small side, buckets are filed again and dealt to several cells."""
+    words = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(60):
+        copy = list(words)
+        for k in RNG.sample(range(80), 4 if i % 2 else 2):
+            copy[k] = f"n{i}.{k}"
+        rows.append((i, " ".join(copy)))
+    rows = [(i + 3, t) for i, t in rows] + [(1, " ".join(words)), (200, " ".join(words[:40])), (201, " ".join(words[40:]))]
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components_of(sets, edges)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_frame(spark, rows), words=3, side=side).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_shared_sizes_match_set_intersections():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 90, size=n).astype(np.uint64)) for n in (0, 1, 5, 40, 60, 80, 90)]
+    got = minhash.shared_sizes(sets[:4], sets[2:], width=7)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:4]]
+    assert minhash.shared_sizes(sets[:1], sets[:2]).tolist() == [[0, 0]] and minhash.shared_sizes([], sets).shape == (0, 7)
+
+
+def test_one_of_repeated_rows_stays_whatever_their_order(spark):
+    rows = [(1, "one two three four five six", "a"), (1, "another text of seven words in all", "b"), (2, "one two three four five six", "c"), (None, "x", "d")]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string, _gone string")
+    told = [sorted(map(tuple, minhash.drop_near_duplicates(frame(r)).collect()), key=str) for r in (rows, rows[::-1])]
+    assert told[0] == told[1] and len(told[0]) == 2
+
+
 def test_near_duplicates_odd_tables(spark):
     assert minhash.near_duplicates(docs_frame(spark, [])).count() == 0
     text = " ".join(map(str, range(50)))
