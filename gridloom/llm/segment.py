@@ -35,7 +35,9 @@ from .textcore import blocks, mix, span_hashes, utf8
 SPACE = 32
 SURE = -200.0
 ALPHA = 0.3
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Vocabularies of this worker by model file.
+_HELD: dict[str, Vocabulary] = {}
 
 
 class Vocabulary:
@@ -79,7 +81,6 @@ class Vocabulary:
         self.log_p[held] = alpha * (self.log_p[held] - np.log(np.exp(self.log_p[held]).sum()))
         self.bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.at = np.concatenate([[0], np.cumsum([len(p) for p in self.pieces])])
-        self.single = {self.pieces[i] for i in np.flatnonzero(usable) if len(self.pieces[i].decode()) == 1}
         joined = np.zeros(256, bool)
         edges: dict[tuple[int, int], int] = {}
         self.piece_of = [-1]
@@ -109,6 +110,13 @@ class Vocabulary:
                 slot = (slot + 1) % (1 << self.bits)
             self.slot_key[slot], self.slot_node[slot] = key, to
 
+    @classmethod
+    def of_worker(cls, model_file: str) -> Vocabulary:
+        """One vocabulary for the life of a Python worker."""
+        if model_file not in _HELD:
+            _HELD[model_file] = cls(model_file)
+        return _HELD[model_file]
+
     def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """Next trie nodes; -1 where there is none."""
         key = nodes.astype(np.int64) * 256 + letters
@@ -371,10 +379,7 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 2, seed: int
     )
 
     def run(batches):
-        kept = sentencepiece.__dict__.setdefault("_vocabularies", {})
-        if model_file not in kept:
-            kept[model_file] = Vocabulary(model_file)
-        vocabulary = kept[model_file]
+        vocabulary = Vocabulary.of_worker(model_file)
         for batch in blocks(batches, limit=BLOCK):
             data, offsets = utf8(batch.column("text"))
             keys = batch.column("doc_id")
@@ -432,7 +437,7 @@ def decoded(tokens: DataFrame, model_file: str) -> DataFrame:
     """doc_id, text from rows (doc_id, ids); null ids count as empty."""
 
     def run(batches):
-        vocabulary = Vocabulary(model_file)
+        vocabulary = Vocabulary.of_worker(model_file)
         for batch in batches:
             lists = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
             ids = lists.flatten().to_numpy(zero_copy_only=False)

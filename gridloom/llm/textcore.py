@@ -8,6 +8,7 @@ have equal hashes, and two different ones collide with a chance near 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 3 << 19
+BLOCK_BYTES = 1 << 19
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Python workers outlive their tasks, and executors share one limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,7 +43,7 @@ def byte_set(chars: bytes) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has at most limit bytes in column, or one row."""
+    """Batches cut so that each has at most limit bytes in column, or one row; memory is given back after the last."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -45,6 +54,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
