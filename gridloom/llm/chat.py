@@ -7,12 +7,16 @@ r"""Chat formatting with a grammar that reads its own output back.
 A turn is written verbatim if parsing it alone gives the same role and text
 back, and escaped otherwise. Escaping maps `\` to `\\`, `<` to `\l`, `#` to
 `\h`, `:` to `\c` and line feed to `\n` in both role and text, so an escaped
-turn holds none of the marks. All expressions are Spark SQL functions.
+turn holds none of the marks. The loss mask is a list of spans of code points of
+the formatted text: the bodies of the assistant's turns. What it covers is read
+by cutting the text there; the mark before a body says whether to unescape it.
+All expressions are Spark SQL functions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "### ", " </turn>\n"
@@ -71,14 +75,16 @@ def parse(formatted: Column) -> Column:
     return F.transform(lines, parse_turn)
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id and formatted, a row per conversation, from rows (conv_id, turn, role, text).
+def format_conversations(turns: DataFrame, trained: str = "assistant") -> DataFrame:
+    """conv_id, formatted and loss_spans, a row per conversation, from rows (conv_id, turn, role, text).
 
     Turns stand by turn number, then role, then text, nulls first; repeated
     rows are kept. A null role or text counts as empty, a null conv_id is a
     conversation of its own. Turns are rendered and checked one by one before
     they are gathered, so only finished strings of one conversation meet.
-    Columns of other names are ignored. An empty table gives no rows.
+    loss_spans are the places (start, end; code points from 0) of the bodies of
+    turns whose role is trained, empty ones too. Columns of other names are
+    ignored. An empty table gives no rows.
     """
     clean = turns.select(
         "conv_id",
@@ -94,43 +100,55 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         & (back[0]["role"] == F.col("role"))
         & (back[0]["text"] == F.col("text"))
     )
-    line = F.when(faithful, plain).otherwise(render(F.col("role"), F.col("text"), escaped=True))
-    rendered = clean.select("conv_id", F.struct("turn", "role", "text", line.alias("line")).alias("t"))
-    return (
-        rendered.groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list("t")).alias("ts"))
-        .select("conv_id", F.array_join(F.transform("ts", lambda t: t["line"]), "").alias("formatted"), "ts")
-        .select(
-            "conv_id",
-            F.when(
-                F.transform(parse(F.col("formatted")), lambda p: F.struct(p["role"], p["text"]))
-                == F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))),
-                F.col("formatted"),
-            )
-            .otherwise(F.raise_error(F.lit("a rendered conversation did not parse back to its turns")))
-            .alias("formatted"),
-        )
+    rendered = clean.withColumn("line", F.when(faithful, plain).otherwise(render(F.col("role"), F.col("text"), escaped=True)))
+    body = F.when(faithful, F.col("text")).otherwise(escape(F.col("text")))
+    before = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("line")).over(before), F.lit(0))
+    placed = rendered.select("conv_id", "turn", "role", "text", at.alias("at"), F.length("line").alias("size"), F.length(body).alias("body"), "line")
+    end = F.col("at") + F.col("size") - len(CLOSE)
+    span = F.struct((end - F.col("body")).alias("start"), end.alias("end"))
+    one = placed.select("conv_id", F.struct("turn", "role", "text", "at", span.alias("span"), "line").alias("t"))
+    gathered = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    whole = gathered.select("conv_id", F.array_join(F.transform("ts", lambda t: t["line"]), "").alias("formatted"), "ts")
+    same = F.transform(parse(F.col("formatted")), lambda p: F.struct(p["role"], p["text"])) == F.transform(
+        "ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+    )
+    return whole.select(
+        "conv_id",
+        F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a rendered conversation did not parse back to its turns"))).alias("formatted"),
+        F.transform(F.filter("ts", lambda t: t["role"] == trained), lambda t: t["span"]).alias("loss_spans"),
     )
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
-    """conv_id and turns (array of role, text, ok), parsed from formatted."""
-    return formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
+    """conv_id, formatted, loss_spans and turns (array of role, text, ok), parsed from formatted.
+
+    A null or empty formatted has no turns; rows that repeat are read each;
+    text behind the last whole turn is left out.
+    """
+    return formatted.select("conv_id", "formatted", "loss_spans", F.coalesce(parse(F.col("formatted")), F.array().cast("array<struct<role:string,text:string,ok:boolean>>")).alias("turns"))
+
+
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask in order: cut from the formatted text, unescaped where the turn is escaped."""
 
+    def cut(s: Column) -> Column:
+        body = F.substring(formatted, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))
+        return F.when(F.substring(formatted, s["start"].cast("int") - 2, F.lit(1)) == "\\", unescape(body)).otherwise(body)
 
-def loss_text(turns: Column, role: str = "assistant") -> Column:
-    """All text under the loss mask: what the assistant says, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == role), lambda t: t["text"]), "")
+    return F.array_join(F.transform(spans, cut), "")
 
 
 def digest(parsed: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each row of read_conversations(); no rows give none."""
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return parsed.select(
+    rows = parsed.select("conv_id", "formatted", "turns", F.inline(F.array(F.struct(loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")))))
+    return rows.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss_text(F.col("turns"))).cast("long").alias("loss_chars"),
-        F.sha2(loss_text(F.col("turns")).cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

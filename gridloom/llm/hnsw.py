@@ -4,10 +4,10 @@ Distinct vectors are dealt to shards by hash; each shard's graph is built in one
 task, layer by layer, points joining in batches that are at most as large as
 what is there. Every vector then queries every shard: a beam search down the
 layers, then a flood over the found links' neighbours, so a vector has all its
-links however many they are. A share of the queries is compared to brute force
-in each task; while recall is short, the beam is doubled and the task's block
-searched again. Links are confirmed by cosine in double precision. A task
-returns counts of links and a spanning forest of those it found, never all
+links however many they are. In each task and shard some queries are compared to
+brute force; while recall is short, the beam is doubled and the task's queries
+searched again. Links are confirmed by cosine in double precision. Of the links
+of a slice of queries a task keeps the counts and a spanning forest, never all
 pairs; the forests' union has the components of the links.
 
 Exact copies of a vector enter once, with their number.
@@ -17,21 +17,25 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import materialize, scratch_path
+from .textcore import give_back
 
 NEIGHBORS = 12
 LAYER_SHARE = 16
 SHARD_ROWS = 32768
 LEAST_SHARDS = 6
 QUERY_ROWS = 8192
-SLICE = 256
+SLICE = 128
+AUDITS = 4
 
 
 def _order_hash(ids: np.ndarray) -> np.ndarray:
@@ -101,6 +105,8 @@ class Layer:
         to = mine.ravel()
         source = np.repeat(batch, mine.shape[1])[to >= 0]
         to = to[to >= 0]
+        if not len(to):
+            return  # a layer's only point so far
         hosts = np.unique(to)
         old = self.lists[hosts]
         to = np.concatenate([to, np.repeat(hosts, old.shape[1])[old.ravel() >= 0]])
@@ -211,7 +217,7 @@ class Layer:
 
 
 class Graph:
-    """A shard's vectors, their ids and numbers of copies, and layers."""
+    """A shard's points: their ids, numbers of copies and vectors, and layers."""
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, layers: list | None = None, beam: int = 32):
         self.ids, self.copies, self.vectors = ids, copies, vectors
@@ -239,36 +245,85 @@ class Graph:
     def loads(cls, data: bytes) -> Graph:
         return cls(*pickle.loads(data))
 
-    def links(self, ids: np.ndarray, vectors: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, place) of all found pairs of other ids with cosine at least threshold in double precision."""
-        double = vectors.astype(np.float64)
-        norm = np.linalg.norm(double, axis=1)
-        unit = (double / norm[:, None]).astype(np.float32)
-        outs = []
-        for a in range(0, len(ids), SLICE):
-            _, _, row, place = self.base.search(unit[a : a + SLICE], beam, threshold - 1e-4)
-            outs.append(self._confirmed(ids, double, norm, row + a, place, threshold))
-        return tuple(np.concatenate(c) for c in zip(*outs, strict=True))
-
-    def exact(self, ids, vectors, threshold):
+    def links(self, queries: Queries, threshold: float, beam: int):
+        """(query, place) of found pairs of other ids with cosine at least threshold in double precision, a slice of queries at a time."""
+        for a in range(0, len(queries.ids), SLICE):
+            _, _, row, place = self.base.search(queries.unit[a : a + SLICE], beam, threshold - 1e-4)
+            yield self._confirmed(queries, row + a, place, threshold)
+
+    def exact(self, queries: Queries, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """The same by brute force."""
-        double = vectors.astype(np.float64)
-        norm = np.linalg.norm(double, axis=1)
-        sims = (double / norm[:, None]).astype(np.float32) @ self.unit.T
-        row, place = np.nonzero(sims >= threshold - 1e-4)
-        return self._confirmed(ids, double, norm, row, place, threshold)
-
-    def _confirmed(self, ids, double, norm, row, place, threshold):
-        other = ids[row] != self.ids[place]
+        row, place = np.nonzero(queries.unit @ self.unit.T >= threshold - 1e-4)
+        return self._confirmed(queries, row, place, threshold)
+
+    def _confirmed(self, queries: Queries, row: np.ndarray, place: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        other = queries.ids[row] != self.ids[place]
         row, place = row[other], place[other]
         value = np.zeros(len(row))
         for a in range(0, len(row), 65536):
             r, p = row[a : a + 65536], place[a : a + 65536]
             mine = self.vectors[p].astype(np.float64)
-            value[a : a + 65536] = np.einsum("nd,nd->n", double[r], mine) / (norm[r] * np.linalg.norm(mine, axis=1))
+            value[a : a + 65536] = np.einsum("nd,nd->n", queries.double[r], mine) / (queries.norm[r] * np.linalg.norm(mine, axis=1))
         keep = value >= threshold
         return row[keep], place[keep]
 
+    def audited_links(self, queries: Queries, threshold: float, beam: int, audited: int, recall: float) -> Found:
+        """Links of all queries, with the beam doubled until those of audited ones are found to the share recall.
+
+        The audited queries are the first by hash; where they have no link at
+        all, later ones are taken until some have, at most AUDITS times.
+        """
+        order = np.argsort(_order_hash(queries.ids))
+        checked, truth = order[:0], np.zeros(0, np.int64)
+        for _ in range(AUDITS):
+            more = order[len(checked) : len(checked) + audited]
+            row, place = self.exact(queries.take(more), threshold)
+            truth = np.concatenate([truth, more[row].astype(np.int64) * len(self.ids) + place])
+            checked = np.concatenate([checked, more])
+            if len(truth) or len(checked) == len(order):
+                break
+        while True:
+            found = Found(queries, self)
+            hits = 0
+            for row, place in self.links(queries, threshold, beam):
+                hits += int(np.isin(truth, row.astype(np.int64) * len(self.ids) + place).sum())
+                found.add(row, place)
+            if beam >= len(self.ids) or hits >= recall * len(truth):
+                found.audit = np.array([len(truth), hits])
+                return found
+            beam *= 2
+
+
+class Queries:
+    """Ids, vectors in double precision with their norms, and unit vectors."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.double = ids, vectors.astype(np.float64)
+        self.norm = np.linalg.norm(self.double, axis=1)
+        self.unit = (self.double / self.norm[:, None]).astype(np.float32)
+
+    def take(self, rows: np.ndarray) -> Queries:
+        return Queries(self.ids[rows], self.double[rows])
+
+
+class Found:
+    """What is kept of the links of queries in a shard: their counts, a spanning forest, and the audit (true links, found ones)."""
+
+    def __init__(self, queries: Queries, graph: Graph):
+        self.queries, self.graph = queries, graph
+        self.count = np.zeros(len(queries.ids), np.int64)
+        self.node, self.root = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.audit = np.zeros(2, np.int64)
+
+    def add(self, row: np.ndarray, place: np.ndarray) -> None:
+        if len(row):
+            self.count += np.bincount(row, self.graph.copies[place], len(self.count)).astype(np.int64)
+            self.join(self.queries.ids[row], self.graph.ids[place])
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        node, root = forest(np.concatenate([self.node, a]), np.concatenate([self.root, b]))
+        self.node, self.root = node[node != root], root[node != root]
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node reachable) with the components of edges a-b."""
@@ -292,68 +347,69 @@ def _stack(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def search_links(points: DataFrame, threshold: float, shards: int, beam: int = 24, audited: int = 16, recall: float = 0.999) -> DataFrame:
-    """Rows (id, links, null) and (id, null, other): counts of linked vectors, copies included, and forest edges.
+def search_links(points: DataFrame, threshold: float, shards: int, beam: int = 24, audited: int = 32, recall: float = 0.999) -> DataFrame:
+    """Rows (id, links, other, true, hits) from points(id, copies, v): counts of linked vectors, copies included (other null), forest
+    edges (links null), and audits (id null): the true links of audited queries and those found.
 
-    points has (id, copies, v). One in audited queries is checked by brute force.
+    A graph is a file of its own in the shared folder; a task holds some of the
+    queries and one graph at a time. In each graph it checks audited queries by
+    brute force.
     """
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
+    folder = scratch_path(points.sparkSession, "graphs")
 
     def build(table: pa.Table) -> pa.Table:
         graph = Graph(table["id"].to_numpy(), table["copies"].to_numpy(), _stack(table["v"]))
-        return pa.table({"shard": table["shard"][:1], "graph": pa.array([graph.dumps()], pa.large_binary()).cast(pa.binary())})
-
-    graphs = materialize(dealt.groupBy("shard").applyInArrow(build, "shard int, graph binary"), "graphs")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({c: pa.array([], pa.int64()) for c in ("id", "links", "other")})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        graph = Graph.loads(left["graph"][0].as_py())
-        ids, vectors = right["id"].to_numpy(), _stack(right["v"])
-        check = np.flatnonzero(_order_hash(ids) % np.uint64(audited) == 0)
-        truth = [np.zeros(0, np.int64)]
-        for a in range(0, len(check), SLICE):
-            some = check[a : a + SLICE]
-            row, place = graph.exact(ids[some], vectors[some], threshold)
-            truth.append(some[row].astype(np.int64) * len(graph.ids) + place)
-        truth = np.concatenate(truth)
-        width = beam
-        while True:
-            row, place = graph.links(ids, vectors, threshold, width)
-            if width >= len(graph.ids) or np.isin(truth, row.astype(np.int64) * len(graph.ids) + place).sum() >= recall * len(truth):
-                break
-            width *= 2
-        if not len(row):
-            return empty
-        count = np.bincount(row, graph.copies[place], len(ids)).astype(np.int64)
-        some = np.flatnonzero(count)
-        node, root = forest(ids[row], graph.ids[place])
-        keep = node != root
-        none = pa.nulls(len(some), pa.int64())
-        return pa.concat_tables(
-            [
-                pa.table({"id": pa.array(ids[some]), "links": pa.array(count[some]), "other": none}),
-                pa.table({"id": pa.array(node[keep]), "links": pa.nulls(int(keep.sum()), pa.int64()), "other": pa.array(root[keep])}),
-            ]
-        )
-
-    parts = max(1, math.ceil(points.count() / QUERY_ROWS))
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int")
-    queries = points.select("id", "v", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    sent = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return sent.groupBy("shard", "part").cogroup(queries.groupBy("shard", "part")).applyInArrow(run, "id long, links long, other long")
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root)
+        path = f"{root}/{table['shard'][0].as_py():06d}-{uuid.uuid4().hex}"  # a task that runs again leaves another file; only named ones are read
+        with fs.open_output_stream(path) as out:
+            out.write(graph.dumps())
+        return pa.table({"shard": table["shard"][:1], "path": pa.array([path])})
 
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
+    graphs = materialize(dealt.groupBy("shard").applyInArrow(build, "shard int, path string"), "graphs")
+    paths = [r["path"] for r in graphs.collect()]  # a name for each SHARD_ROWS vectors
 
-def link_embeddings(vectors: DataFrame, threshold: float = 0.9, shards: int | None = None, **search) -> DataFrame:
+    def run(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not tables:
+            return
+        table = pa.concat_tables(tables)
+        queries = Queries(table["id"].to_numpy(), _stack(table["v"]))
+        fs, _ = pafs.FileSystem.from_uri(folder)
+        total, whole = np.zeros(len(queries.ids), np.int64), Found(queries, None)
+        for path in paths:
+            with fs.open_input_file(path) as file:
+                found = Graph.loads(file.read()).audited_links(queries, threshold, beam, audited, recall)
+            total += found.count
+            whole.join(found.node, found.root)
+            whole.audit += found.audit
+        some = np.flatnonzero(total)
+        rows = ((queries.ids[some], total[some], None, None, None), (whole.node, None, whole.root, None, None), (None, None, None, *whole.audit[:, None]))
+        for columns in rows:
+            size = next(len(c) for c in columns if c is not None)
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["id", "links", "other", "true", "hits"])
+        give_back()
+
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    parts = max(2 * cores, math.ceil(points.count() / QUERY_ROWS))
+    return points.select("id", "v").repartition(parts, "id").mapInArrow(run, "id long, links long, other long, true long, hits long")
+
+
+def link_embeddings(vectors: DataFrame, threshold: float = 0.9, shards: int | None = None, with_recall: bool = False, **search) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors(vec_id, embedding).
 
+    with_recall adds audit_recall: the share of the audited queries' true links
+    that the search has found, of the whole table, null if they have none.
     Vectors that are null, empty or zero, or hold a null or a non-finite
     component, link with nothing; so do vectors of different lengths with each
     other, which are searched apart by length. A row with a null vec_id links
     with nothing, has a null component and is kept. Rows that repeat a vec_id
     with the same vector count once; with different vectors, each links by
     itself. Other columns are ignored. An empty table gives no rows.
+
+    Points are known by a 64-bit hash of id and vector; two of them are taken
+    for one with a chance near 2**-64.
     """
     exact = vectors.schema["embedding"].dataType.elementType.simpleString()
     v = F.col("embedding") if exact in ("float", "double") else F.col("embedding").cast("array<double>")
@@ -362,8 +418,8 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, shards: int | No
     usable = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("key", F.when(usable, F.xxhash64("v")))
     good = rows.where("key is not null")
-    points = good.groupBy("key", "v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"))
-    points = materialize(points.select("key", "v", "id", "copies"), "points")
+    points = good.groupBy("key", "v").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("copies"))
+    points = materialize(points.select("key", "v", "vec_id", "copies", F.xxhash64("vec_id", "v").alias("id")), "points")
     sizes = points.groupBy(F.size("v").alias("d")).count().collect()
     found = None
     for size in sizes:
@@ -373,17 +429,24 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, shards: int | No
         found = got if found is None else found.union(got)
     if found is None:
         out = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        recall = None
     else:
         found = materialize(found, "links")
         counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
-        labels = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        labels = materialize(connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))), "labels")
+        labels = labels.select(F.col("node").alias("id"), F.col("component").alias("label"))
+        least = points.select("id", "vec_id").join(labels, "id").groupBy("label").agg(F.min("vec_id").alias("component"))
         told = (
-            points.join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-            .select("key", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+            points.join(counts, "id", "left").join(labels.join(least, "label"), "id", "left")
+            .select("key", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("c"))
         )
         both = rows.join(told.withColumnsRenamed({"key": "_key", "v": "_v"}), (F.col("key") == F.col("_key")) & (F.col("v") == F.col("_v")), "left")
         out = both.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        recall = found.agg((F.sum("hits") / F.sum("true")).alias("audit_recall"))
+    out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    if not with_recall:
+        return out
+    return out.crossJoin(F.broadcast(recall)) if recall is not None else out.withColumn("audit_recall", F.lit(None).cast("double"))
 
 
 ORACLE = """

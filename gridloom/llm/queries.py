@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from . import chat, hnsw, licenses, minhash, mixing, repetition, segment, tokenfiles, toxicity, urlrules
 
-#: Where the public tokenizers' files are; the same path on all executors.
-TOKENIZERS = "/opt/tokenizers"
+def tokenizer_file(name: str, folder: str | None = None) -> str:
+    """Path of a public tokenizer's file, the same on all executors: in folder, or where its package has it."""
+    if folder is None:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return f"{folder}/{name}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +26,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition.judge_repeats(repetition.measure_repeats(table(spark, sf_dir, "documents")))
-    return judged.drop("spans")
+    return judged.drop("spans", "n_maximal")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,18 +60,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(table(spark, sf_dir, "pages"), labelled_pages(spark, sf_dir))
 
 
-def op8_gumbel_segments(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+def op8_gumbel_segments(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return segment.digest(segment.sample_segmentations(docs, f"{folder}/piece_bpe_32k.model", k=2, with_ids=False))
+    return segment.digest(segment.sample_segmentations(docs, tokenizer_file("piece_bpe_32k.model", folder), k=2, with_ids=False))
 
 
-def op9_token_files(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
-    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), f"{folder}/byte_bpe_50k.json")
+def op9_token_files(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json", folder))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit(r"\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
+    )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digest(chat.read_conversations(chat.format_conversations(turns)))
 
@@ -85,6 +92,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_minhash_dedup": minhash.ORACLE,
+    "op2_repetition": repetition.ORACLE,
     "op3_license_scan": licenses.oracle(),
     "op4_embedding_dedup": hnsw.ORACLE,
     "op5_source_mix": mixing.ORACLE,

@@ -3,11 +3,19 @@
 A block of documents is sorted at once by prefix doubling: a suffix's rank
 after step k orders it by its first BASE * 2**k words, and only suffixes that
 share their rank are sorted again. Ranks start from (document, BASE words), so
-no suffix equals one of another document. Suffixes that begin like no other are in no
-repeat of BASE words and stay out, but for those that follow a repeated start. Descending through the kept ranks gives the
-longest common prefix of neighbours, and so of each suffix the longest prefix
-found elsewhere in its document. Where that can't be extended to the left, it
-is a maximal repeat; the union of all from min_words words on is covered.
+no suffix equals one of another document. Suffixes that begin like no other are
+in no repeat of BASE words and stay out, but for those that follow a repeated
+start. Descending through the kept ranks gives the longest common prefix (LCP)
+of neighbours.
+
+An LCP interval is a run of neighbouring suffixes that share a prefix which no
+neighbour outside has; its suffixes begin all occurrences of one repeat, and
+the repeat can't be extended to the right. The value of the deepest interval
+that holds a suffix is the larger LCP with its two neighbours: the longest
+repeat that begins there. An occurrence of it is maximal if no repeat that
+begins one word earlier covers it, that is, if it can't be extended to the left
+either. The union of the maximal occurrences of at least min_words words is
+covered.
 """
 
 from __future__ import annotations
@@ -23,13 +31,13 @@ BASE = 3
 SYMBOLS = b"#*$%&|<>"
 MEASURES = (
     "n_words:long, word_chars:long, n_symbols:long, n_dup_lines:long, n_repeat_words:long, covered_words:long, "
-    "covered_chars:long, longest_repeat:long, spans:array<struct<start:long,end:long>>"
+    "covered_chars:long, longest_repeat:long, n_maximal:long, spans:array<struct<start:long,end:long>>"
 )
 NUMBERS = [f.partition(":")[0] for f in MEASURES.split(", ")[:-1]]
 
 
 def repeat_lengths(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each word position, the most words from there on that stand elsewhere in the document too; 0 if under BASE."""
+    """For each word position, the value of its suffix's deepest LCP interval: the most words from there on that stand elsewhere in the document too; 0 if under BASE."""
     n = len(hashes)
     longest = np.zeros(n, np.int64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -100,9 +108,15 @@ def _group_starts(fresh: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
 
 
+def maximal(lengths: np.ndarray) -> np.ndarray:
+    """Whether the longest repeat from each position on can't be extended to the left; a document's last positions have 0, so none reaches over from the one before."""
+    before = np.concatenate([[0], lengths[:-1]])
+    return (lengths > 0) & (before != lengths + 1)
+
+
 def covered(lengths: np.ndarray, least: int) -> np.ndarray:
-    """Words inside a repeat of at least least words."""
-    at = np.flatnonzero(lengths >= least)
+    """Words inside a maximal repeat of at least least words."""
+    at = np.flatnonzero((lengths >= least) & maximal(lengths))
     change = np.zeros(len(lengths) + 1, np.int64)
     np.add.at(change, at, 1)
     np.subtract.at(change, at + lengths[at], 1)
@@ -162,6 +176,7 @@ def add_measures(docs: DataFrame, column: str, min_words: int = 8) -> DataFrame:
             np.diff(first), _sums(word_len, first), _sums(byte_set(SYMBOLS)[data], offsets),
             np.array([_dup_lines(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]),
             _sums(covered(lengths, 3), first), _sums(inside, first), _sums(word_len * inside, first), top,
+            _sums((lengths >= min_words) & maximal(lengths), first),
         ]
         lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), spans)
         return pa.StructArray.from_arrays([*[pa.array(c, pa.int64()) for c in cols], lists], [f.partition(":")[0] for f in MEASURES.split(", ")])
@@ -174,7 +189,8 @@ def measure_repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
     covered_words and covered_chars count words, and code points of words, in
     repeats of at least min_words words; longest_repeat counts the words of the
-    longest repeat; spans are code point ranges of the union. A null text counts
+    longest repeat, 0 if it has under three; n_maximal counts the maximal
+    occurrences in the union; spans are its code point ranges. A null text counts
     as empty and has zeros. Repeated rows are measured each; other columns are
     ignored; an empty table gives no rows.
     """
@@ -199,3 +215,27 @@ def drop_repetitive(docs: DataFrame, min_words: int = 8, **limits) -> DataFrame:
     measured = add_measures(docs, name, min_words)
     judged = judge_repeats(measured.select("*", *[F.col(f"{name}.{c}").alias(f"{name}_{c}") for c in NUMBERS]), prefix=f"{name}_", verdict=kept, **limits)
     return judged.where(F.col(kept)).select(*docs.columns)
+
+
+#: Repeats by joining equal three-word windows of a text: pairs of occurrences at one distance make runs, and a run of r windows is a repeat of r + 2 words.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM x),
+r AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+p AS (SELECT a.doc_id, a.i, b.i - a.i AS gap FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gap ORDER BY i) AS island FROM p),
+s AS (SELECT doc_id, gap, min(i) AS i, count(*) + 2 AS n FROM k GROUP BY doc_id, gap, island),
+c3 AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS at FROM r),
+c8 AS (SELECT DISTINCT doc_id, unnest(list_concat(range(i, i + n), range(i + gap, i + gap + n))) AS at FROM s WHERE n >= 8),
+m AS (SELECT doc_id, max(n) AS longest FROM s GROUP BY 1),
+n3 AS (SELECT doc_id, count(*) AS n FROM c3 GROUP BY 1),
+n8 AS (SELECT c8.doc_id, count(*) AS n, sum(length(w[c8.at])) AS chars FROM c8 JOIN d USING (doc_id) GROUP BY 1),
+e AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')))::BIGINT - len(list_distinct(list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]'))))::BIGINT AS n_dup_lines,
+  coalesce(n3.n, 0)::BIGINT AS n_repeat_words, coalesce(n8.n, 0)::BIGINT AS covered_words, coalesce(n8.chars, 0)::BIGINT AS covered_chars, coalesce(m.longest, 0)::BIGINT AS longest_repeat
+  FROM d LEFT JOIN n3 USING (doc_id) LEFT JOIN n8 USING (doc_id) LEFT JOIN m USING (doc_id))
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_chars <= 0.3 * word_chars AND longest_repeat <= 100 AS kept FROM e
+"""

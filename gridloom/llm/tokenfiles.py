@@ -36,6 +36,8 @@ from .textcore import blocks
 SKIPPABLE, SEEK_TABLE, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 17
 CACHE_WORDS = 1_000_000
+#: Encoders of this worker by tokenizer file and setting.
+_HELD: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 def _edgy(piece: str) -> bool:
@@ -57,16 +59,16 @@ class ChunkEncoder:
         self.clear()
 
     @classmethod
-    def of_worker(cls, tokenizer_file: str) -> ChunkEncoder:
+    def of_worker(cls, tokenizer_file: str, special_as_text: bool = False) -> ChunkEncoder:
         """One encoder for the life of a Python worker, so tasks find what earlier ones remembered."""
-        import tokenizers
+        key = (tokenizer_file, special_as_text)
+        if key not in _HELD:
+            import tokenizers
 
-        kept = tokenizers.__dict__.setdefault("_chunk_encoders", {})
-        if tokenizer_file not in kept:
             tokenizer = tokenizers.Tokenizer.from_file(tokenizer_file)
-            tokenizer.encode_special_tokens = True
-            kept[tokenizer_file] = cls(tokenizer)
-        return kept[tokenizer_file]
+            tokenizer.encode_special_tokens = special_as_text
+            _HELD[key] = cls(tokenizer)
+        return _HELD[key]
 
     def clear(self):
         self.place: dict[str, int] = {}
@@ -208,16 +210,18 @@ class FrameReader:
             at += int(self.length[k])
 
 
-def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end: int = 0) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end: int = 0, special_as_text: bool = False) -> DataFrame:
     """shard, path, n_docs, n_ids, a row per file of folder (a URI), from docs(doc_id, text).
 
     Files and their documents ascend by doc_id, nulls first, then by a hash of
     the text. Null texts count as empty and have just the end id. Repeated rows
     are written each. An empty table gives no file. Other columns are ignored.
+    A special token's string in a text is that token, as is the library's
+    default, unless special_as_text.
     """
 
     def run(batches):
-        encoder = ChunkEncoder.of_worker(tokenizer_file)
+        encoder = ChunkEncoder.of_worker(tokenizer_file, special_as_text)
         dtype = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         shard = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -245,7 +249,10 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end: in
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of all documents, from what is in the files."""
+    """doc_id, start, n_tokens, ids_crc32 of all documents, from what is in the files.
+
+    A row per document written, repeated and null ids too; no files give no rows.
+    """
 
     def run(batches):
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -269,7 +276,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     return placed.select("path", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer_file: str, end: int = 0) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_file: str, end: int = 0, **options) -> DataFrame:
     """Write docs to a new folder in the shared one, and read the files back."""
     folder = scratch_path(docs.sparkSession, "tokens")
-    return read_token_files(write_token_files(docs, tokenizer_file, folder, end), folder)
+    return read_token_files(write_token_files(docs, tokenizer_file, folder, end, **options), folder)

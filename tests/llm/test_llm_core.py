@@ -156,6 +156,36 @@ def test_suffix_array_matches_brute_force():
         assert list(repetition.repeat_lengths(words.hashes(), words.first)) == [v for d in docs for v in brute_repeats(d)]
 
 
+def test_covered_words_are_the_union_of_maximal_repeats():
+    """Maximal by definition: all pairs of occurrences that can be extended on neither side."""
+    for _ in range(60):
+        words = [RNG.choice("abcd"[: RNG.randint(1, 4)]) for _ in range(RNG.randint(0, 40))]
+        want = set()
+        for i in range(len(words)):
+            for j in range(i + 1, len(words)):
+                if i and words[i - 1] == words[j - 1]:
+                    continue
+                k = 0
+                while j + k < len(words) and words[i + k] == words[j + k]:
+                    k += 1
+                if k >= 4:
+                    want |= set(range(i, i + k)) | set(range(j, j + k))
+        found = textcore.Words(*textcore.utf8(pa.array([" ".join(words)])))
+        lengths = repetition.repeat_lengths(found.hashes(), found.first)
+        assert set(np.flatnonzero(repetition.covered(lengths, 4)).tolist()) == want
+
+
+def test_repetition_of_odd_tables_and_very_long_texts(spark):
+    long = [f"w{k}" for k in range(300_000)]
+    rows = [(1, " ".join(long + long[1000:1200])), (2, "a b c d e f g h i"), (2, "a b c d e f g h i"), (None, None)]
+    df = docs_frame(spark, rows).withColumn("_m", F.lit("clash"))
+    got = repetition.judge_repeats(repetition.measure_repeats(df)).collect()
+    one = next(r for r in got if r["doc_id"] == 1)
+    assert len(got) == 4 and (one["n_words"], one["longest_repeat"], one["covered_words"], one["n_maximal"], one["kept"]) == (300_200, 200, 400, 2, False)
+    assert repetition.measure_repeats(df.limit(0)).count() == 0 and repetition.drop_repetitive(df.limit(0)).count() == 0
+    assert repetition.drop_repetitive(df).columns == df.columns
+
+
 def test_repetition_measures_and_verdict(spark):
     clean = " ".join(f"w{k}" for k in range(80))
     rows = [(0, clean), (1, None), (2, ""), (3, "a # b\n \na # b\nc"), (4, " ".join(["same old line of words again and again here"] * 20)), (5, "é é " * 40)]
@@ -347,6 +377,19 @@ def test_chat_round_trip_of_conflicting_turns(spark):
     loss = "".join(r[3] or "" for r in rows[:-1] if r[2] == "assistant")
     assert row["loss_chars"] == len(loss) and row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.format_conversations(df.limit(0)).count() == 0
+    for r in chat.format_conversations(df).collect():
+        said = [x[3] or "" for x in rows if x[0] == r["conv_id"] and x[2] == "assistant"]
+        cut = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        assert len(cut) == len(said) and all(c == t or c == t.replace("\\", "\\\\").replace("<", "\\l").replace("#", "\\h").replace(":", "\\c").replace("\n", "\\n") for c, t in zip(cut, said, strict=True))
+
+
+def test_chat_of_equal_turn_numbers_repeated_rows_and_other_columns(spark):
+    rows = [(1, 0, "b", "y", 1), (1, 0, "assistant", "x 𝄞 </turn>\n", 2), (1, 0, "assistant", "x 𝄞 </turn>\n", 2), (1, None, "assistant", "é", 3), (None, 1, "assistant", "w " * 300_000, 4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    got = {r["conv_id"]: r for r in chat.digest(chat.read_conversations(chat.format_conversations(df))).collect()}
+    loss = "é" + 2 * "x 𝄞 </turn>\n"
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (4, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[None]["n_turns"] == 1 and got[None]["loss_chars"] == 600_000
 
 
 def test_hnsw_finds_all_links(spark):
@@ -367,19 +410,65 @@ def test_hnsw_finds_all_links(spark):
     assert {i: got[i]["component_id"] for i in got} == want and {i: got[i]["n_links"] for i in got} == {i: degree[i] for i in got}
 
 
+def test_graphs_of_few_vectors_are_built_and_searched():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 16, 17, 60):
+        for _ in range(8):
+            ids, v = rng.integers(-(1 << 62), 1 << 62, n), rng.normal(size=(n, 8)).astype(np.float32)
+            graph = hnsw.Graph.loads(hnsw.Graph(ids, np.ones(n, np.int64), v).dumps())
+            queries = hnsw.Queries(ids, v)
+            found = graph.audited_links(queries, 0.5, 4, 8, 1.0)
+            row, _ = graph.exact(queries, 0.5)
+            assert found.count.sum() >= 0.9 * len(row)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 17])
+def test_small_embedding_tables(spark, n):
+    rows = [(i, [1.0, float(i % 2)], "x") for i in range(n)]
+    got = hnsw.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string"), with_recall=True).collect()
+    assert len(got) == n and all(r["component_id"] == r["vec_id"] % 2 and r["n_links"] == (n - r["vec_id"] % 2 + 1) // 2 - 1 for r in got)
+
+
+def test_embeddings_under_one_id_and_of_mixed_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [0.02, 1.0]), (5, [1.0, 0.0, 0.0]), (6, [1.0, 0.0, 0.01]), (7, [1.0, 0.0]), (7, [1.0, 0.0])]
+    got = hnsw.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [
+        (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1), (5, 1, 5), (6, 1, 5), (7, 2, 1), (7, 2, 1)
+    ]
+
+
 def test_chunk_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
-    tokenizer.encode_special_tokens = True
     encoder = tokenfiles.ChunkEncoder(tokenizer)
-    texts = ["", " ", "a  b", "it's 12 34ab  !!", "<|endoftext|> x", "q \0a", "é　 x\n y"]
+    texts = ["", " ", "a  b", "it's 12 34ab  !!", "<|endoftext|> x", "a<|endoftext|>b", "q <|endoftext|> r <|endoftext|>", "q \0a", "é　 x\n y"]
     texts += ["".join(RNG.choice([" ", "\n", "a", "1", "!", "'s", "\xa0", "é", "\t", "\0"]) for _ in range(RNG.randint(0, 14))) for _ in range(800)]
     ids, to = encoder.encode(texts)
     for k, t in enumerate(texts):
         assert list(ids[to[k] : to[k + 1]]) == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
 
 
+@pytest.mark.parametrize("as_text", [False, True])
+def test_token_rows_equal_a_plain_loop(spark, as_text):
+    from tokenizers import Tokenizer
+
+    rows = [(i, " ".join(RNG.choice(["on", "<|endoftext|>", "it's", "a<|endoftext|>b", "é", "12"]) for _ in range(RNG.randint(0, 40)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "long " * 400_000), (102, "again"), (-5, "first")]
+    tokenizer, start, want = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json"), 0, {}
+    tokenizer.encode_special_tokens = as_text
+    for i, text in sorted(rows[:-2] + rows[-1:]):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    df = docs_frame(spark, rows).withColumn("start", F.lit("clash"))
+    got = tokenfiles.round_trip(df.where("text <> 'again' or text is null"), f"{TOKENIZERS}/byte_bpe_50k.json", special_as_text=as_text).collect()
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got} == want
+    repeated = tokenfiles.round_trip(df, f"{TOKENIZERS}/byte_bpe_50k.json", special_as_text=as_text).collect()
+    assert len(repeated) == len(rows) and sum(r["doc_id"] == 102 for r in repeated) == 2
+    assert tokenfiles.round_trip(df.limit(0), f"{TOKENIZERS}/byte_bpe_50k.json").count() == 0
+
+
 def test_token_files_round_trip_and_random_access(spark, tmp_path):
     rows = [(i, " ".join(f"word{RNG.randint(0, 50)}" for _ in range(RNG.randint(0, 300)))) for i in range(150)] + [(500, None), (7, "again"), (None, "x")]
     RNG.shuffle(rows)
