@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import minhash, mixing, repetition, segment, toxicity
-from gridloom.llm.queries import TOKENIZERS, table
+from gridloom.llm.queries import table, tokenizer_file
 from gridloom.llm.scratch import materialize
 
 
@@ -31,7 +31,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes and two sampled segmentations of every row, with their piece ids."""
-    return segment.sample_segmentations(docs, f"{TOKENIZERS}/piece_bpe_32k.model", k=2)
+    return segment.sample_segmentations(docs, tokenizer_file("piece_bpe_32k.model"), k=2)
 
 
 STAGES = [
