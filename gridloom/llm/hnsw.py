@@ -442,7 +442,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.9, shards: int | No
         )
         both = rows.join(told.withColumnsRenamed({"key": "_key", "v": "_v"}), (F.col("key") == F.col("_key")) & (F.col("v") == F.col("_v")), "left")
         out = both.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-        recall = found.agg((F.sum("hits") / F.sum("true")).alias("audit_recall"))
+        recall = found.agg(F.try_divide(F.sum("hits"), F.sum("true")).alias("audit_recall"))
     out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     if not with_recall:
         return out
