@@ -65,7 +65,7 @@ def horizon_name(label_set: str, steps: int, step: int = 600) -> str:
 
 def alphabetic_ratio(x: Column) -> Column:
     size = F.char_length(x)
-    return F.when(size > 0, F.regexp_count(x, F.lit(r"\p{L}")) / size).otherwise(F.lit(0.0))
+    return F.when(size > 0, (size - F.char_length(F.regexp_replace(x, r"\p{L}+", ""))) / size).otherwise(F.lit(0.0))
 
 
 def repeated_line_ratio(x: Column) -> Column:
@@ -84,7 +84,7 @@ def repeated_line_ratio(x: Column) -> Column:
         after = F.concat(F.slice(ls, F.lit(2), n - 1), none)
         rows = F.arrays_zip(ls.alias("a"), before.alias("b"), after.alias("c"))
         twin = F.filter(rows, lambda r: F.coalesce(r["a"] == r["b"], F.lit(False)) | F.coalesce(r["a"] == r["c"], F.lit(False)))
-        return F.when(n > 1, F.size(twin) / n).otherwise(F.lit(0.0))
+        return F.when((n > 1) & (F.size(F.array_distinct(ls)) < n), F.size(twin) / n).otherwise(F.lit(0.0))
 
     return once(lines, share)
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,14 +89,16 @@ def interleave(steps: DataFrame, messages: DataFrame, keys: list[str]) -> DataFr
 
 
 def tail_windows(steps: DataFrame, keys: list[str], context: int) -> DataFrame:
-    """first_step of the longest tail of whole steps, ending with each step, whose tokens fit in context."""
-    w = W.partitionBy(*keys).orderBy("step")
+    """first_step of the longest tail of whole steps, ending with each step, whose tokens fit in context.
+
+    Steps are unioned with the places where a window may begin at the earliest
+    and read backwards, so each looks at what came before in that order.
+    """
     ended = steps.withColumn("_end", F.col("offset") + F.col("size"))
-    starts = ended.select(*keys, F.col("offset").alias("_x"), F.col("step").alias("_s"))
-    probe = ended.select(*keys, "step", (F.col("_end") - context).alias("_x"), F.lit(None).cast("long").alias("_s"))
-    both = probe.unionByName(starts.withColumn("step", F.lit(None).cast("long")))
-    ahead = W.partitionBy(*keys).orderBy("_x").rangeBetween(0, W.unboundedFollowing)
-    found = both.withColumn("first_step", F.min("_s").over(ahead)).where("step is not null")
+    starts = ended.select(*keys, F.lit(None).cast(ended.schema["step"].dataType).alias("step"), F.col("offset").alias("_x"), F.col("step").alias("_s"))
+    probe = ended.select(*keys, "step", (F.col("_end") - context).alias("_x"), F.lit(None).cast(ended.schema["step"].dataType).alias("_s"))
+    ahead = W.partitionBy(*keys).orderBy(F.desc("_x")).rangeBetween(W.unboundedPreceding, 0)
+    found = probe.unionByName(starts).withColumn("first_step", F.min("_s").over(ahead)).where("step is not null")
     return found.select(*keys, "step", F.when(F.col("first_step") <= F.col("step"), F.col("first_step")).alias("first_step"))
 
 
@@ -99,41 +106,217 @@ def tiles(tokens: Column, context: int) -> Column:
     return F.when(tokens >= context, F.sequence(F.lit(0), tokens - context, F.lit(context))).otherwise(F.array().cast("array<bigint>"))
 
 
-def tail_cuts(low: float, high: float, q_low: float, q_high: float, bins: int) -> list[float]:
-    """Equal-width cuts between each extreme and its tail quantile, bins a side."""
-    left = [low + (q_low - low) * k / bins for k in range(1, bins + 1)]
-    right = [q_high + (high - q_high) * k / bins for k in range(bins)]
-    return sorted({*left, *right})
+@dataclass(frozen=True)
+class BinRule:
+    """How a channel's bins are laid.
+
+    bins is the most bins of a channel. With masses, values that hold at least
+    1/bins of all rows get a bin of their own, at most most_masses and a quarter
+    of the bins, the heaviest first. tail_bins bins of equal width lie on each
+    side beyond the tail and 1 - tail quantiles, and the outermost of them are
+    joined inward until they hold the share floor. All bins left go to quantiles
+    of the middle.
+    """
+
+    bins: int = 64
+    masses: bool = False
+    most_masses: int | None = None
+    tail_bins: int = 0
+    tail: float = 0.005
+    floor: float = 0.0
+
+
+class Counted:
+    """Sorted distinct values with their counts; ranks and quantiles of the rows they stand for."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray):
+        order = np.argsort(values)
+        self.values, self.counts = values[order], counts[order]
+        self.upto = np.cumsum(self.counts)
+        self.n = int(self.upto[-1]) if len(self.upto) else 0
+
+    def quantiles(self, shares: np.ndarray) -> np.ndarray:
+        """By linear interpolation between ranks."""
+        place = np.asarray(shares) * (self.n - 1)
+        at = np.floor(place).astype(np.int64)
+        here = self.values[np.searchsorted(self.upto, at, "right")]
+        after = self.values[np.searchsorted(self.upto, np.minimum(at + 1, self.n - 1), "right")]
+        return here + (place - at) * (after - here)
+
+    def below(self, x: float) -> int:
+        """Rows under x."""
+        return int(self.counts[: np.searchsorted(self.values, x)].sum())
+
+    def where(self, keep: np.ndarray) -> Counted:
+        return Counted(self.values[keep], self.counts[keep])
+
+
+def mass_spans(rows: Counted, rule: BinRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Heavy values, and where their bins begin and end: halfway to the neighbours, without end at the range's ends."""
+    at = np.flatnonzero(rows.counts * rule.bins >= rows.n) if rule.masses else np.zeros(0, int)
+    most = rule.bins // 4 if rule.most_masses is None else min(rule.most_masses, rule.bins // 4)
+    at = np.sort(at[np.lexsort([-at, -rows.counts[at]])][:most])
+    halfway = np.concatenate([[-np.inf], (rows.values[1:] + rows.values[:-1]) / 2, [np.inf]])
+    return rows.values[at], halfway[at], halfway[at + 1]
+
+
+def inner_cuts(cuts: Sequence[float], outside: Sequence[int], least: int) -> list[float]:
+    """A side's cuts, outermost first, without those beyond which fewer than least rows lie; the innermost stays.
+
+    outside[k] is the number of rows beyond cuts[k].
+    """
+    first = next((k for k, n in enumerate(outside) if n >= least), len(cuts))
+    return list(cuts[min(first, len(cuts) - 1) :]) if cuts else []
 
 
 def merge_outward(cuts: Sequence[float], counts: Sequence[int], floor: int) -> list[float]:
     """Drops cuts so that outer bins hold at least floor rows; counts has one entry per bin, one more than cuts."""
-    cuts, counts = list(cuts), list(counts)
-    while cuts and counts[0] < floor:
-        counts[1] += counts.pop(0)
-        cuts.pop(0)
-    while cuts and counts[-1] < floor:
-        counts[-2] += counts.pop()
-        cuts.pop()
-    return cuts
+    upto = np.cumsum(counts)
+    lower = np.flatnonzero(upto[:-1] >= floor)
+    upper = np.flatnonzero(upto[-1] - upto[:-1] >= floor)
+    return list(cuts[lower[0] : upper[-1] + 1]) if len(lower) and len(upper) else []
+
+
+def lay_bins(rows: Counted, rule: BinRule) -> dict:
+    """edges (both ends of the range included), reps, masses, tail_low, tail_high, and per side how many tail bins there are and were merged."""
+    low, high = float(rows.values[0]), float(rows.values[-1])
+    masses, begin, end = mass_spans(rows, rule)
+    spans = np.concatenate([begin[begin > -np.inf], end[end < np.inf]])
+    free = lambda cuts: cuts[~((cuts[:, None] >= begin) & (cuts[:, None] <= end)).any(axis=1)]
+    inner, tails, merged = [low, high], [], [0, 0]
+    if rule.tail_bins:
+        least = math.ceil(rule.floor * rows.n)
+        edge = rows.quantiles(np.array([rule.tail, 1 - rule.tail]))
+        for side, (outer, limit) in enumerate(((low, edge[0]), (high, edge[1]))):
+            if limit == outer:
+                continue
+            inner[side] = float(limit)
+            cuts = free(outer + (limit - outer) * np.arange(1, rule.tail_bins + 1) / rule.tail_bins)
+            # a mass beyond a cut bounds the outermost bin: no merge widens it
+            bounded = [bool((spans < c).any() if side == 0 else (spans > c).any()) for c in cuts]
+            outside = [rows.n if b else rows.below(c) if side == 0 else rows.n - rows.below(c) for c, b in zip(cuts, bounded, strict=True)]
+            left = inner_cuts(cuts.tolist(), outside, least)
+            merged[side] = len(cuts) - len(left)
+            tails += left
+    fixed = np.unique(np.concatenate([spans, np.array(tails, float)]))
+    fixed = fixed[(fixed > low) & (fixed < high)]
+    if len(fixed) + 1 > rule.bins:
+        raise ValueError(f"{len(fixed) + 1} bins of masses and tails don't fit in {rule.bins}")
+    middle = rows.where(~np.isin(rows.values, masses) & (rows.values >= inner[0]) & (rows.values <= inner[1]))
+
+    def cuts_with(parts: int) -> np.ndarray:
+        cuts = free(middle.quantiles(np.arange(1, parts) / parts)) if middle.n and parts > 1 else np.zeros(0)
+        cuts = np.unique(np.concatenate([fixed, cuts]))
+        return cuts[(cuts > low) & (cuts < high)]
+
+    if masses.size or rule.tail_bins:
+        parts = bisect.bisect_left(range(2, rule.bins + 1), True, key=lambda k: len(cuts_with(k)) >= rule.bins) + 1
+        edges = np.concatenate([[low], cuts_with(parts), [high]])
+    else:
+        edges = rows.quantiles(np.arange(rule.bins + 1) / rule.bins)
+    reps = (edges[1:] + edges[:-1]) / 2 if len(edges) > 1 else edges
+    reps[np.searchsorted(edges[1:-1], masses, "right")] = masses
+    return {
+        "edges": edges.tolist(), "reps": reps.tolist(), "masses": masses.tolist(), "tail_low": inner[0], "tail_high": inner[1],
+        "lower_bins": int((edges <= inner[0]).sum()) - 1, "upper_bins": int((edges >= inner[1]).sum()) - 1, "lower_merged": merged[0], "upper_merged": merged[1],
+    }
+
+
+BINS_SCHEMA = (
+    "edges array<double>, reps array<double>, masses array<double>, tail_low double, tail_high double, "
+    "lower_bins long, upper_bins long, lower_merged long, upper_merged long"
+)
+
+
+def fit_bins(values: DataFrame, rule: BinRule, sample_rows: int | None = None, seed: int = 0) -> DataFrame:
+    """channel and BINS_SCHEMA of each channel of values(channel, value); missing and non-finite values are left out.
+
+    Rows are counted per distinct value before a channel's task lays its bins,
+    so the task holds distinct values, not rows. For channels of unbounded
+    distinct values, sample_rows fits on so many rows of each, about, chosen by a hash.
+    """
+    finite = values.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    if sample_rows is not None:
+        sizes = finite.groupBy("channel").agg(F.count("*").alias("_n"))
+        place = F.pmod(F.xxhash64(*finite.columns, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+        finite = finite.join(F.broadcast(sizes), "channel").where(place * F.col("_n") < sample_rows)
+    counted = finite.groupBy("channel", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
 
+    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"channel": pdf["channel"].iloc[0], **lay_bins(Counted(pdf["value"].to_numpy(), pdf["n"].to_numpy()), rule)}])
+
+    kind = values.schema["channel"].dataType.simpleString()
+    return counted.groupBy("channel").applyInPandas(lay, f"channel {kind}, {BINS_SCHEMA}")
+
+
+def clamped_bin(x: Column, edges: Column) -> Column:
+    """Bin of x among edges that include both ends of the range; values beyond fall in the outer bins; -1 if x is missing or not finite."""
+    interior = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), -1).otherwise(F.size(F.filter(interior, lambda e: e <= x)))
+
+
+def transform(wide: DataFrame, channels: Sequence[str], fitted: DataFrame) -> DataFrame:
+    """Adds <channel>__bin for each channel; -1 throughout for one that is absent from wide or from fitted.
+
+    fitted has one row per channel, so all edges travel in the plan as one broadcast row.
+    """
+    table = fitted.where(F.col("channel").isin(*channels)).agg(F.map_from_entries(F.collect_list(F.struct("channel", "edges"))).alias("_edges"))
+    rows = wide.crossJoin(F.broadcast(table))
+    there = {c for c in channels if c in wide.columns}
+    bins = {f"{c}__bin": F.coalesce(clamped_bin(F.col(c).cast("double"), F.col("_edges")[c]), F.lit(-1)) if c in there else F.lit(-1) for c in channels}
+    return rows.withColumns(bins).drop("_edges")
+
+
+def inverse(bins: DataFrame, fitted: DataFrame, name: str = "value") -> DataFrame:
+    """bins(channel, bin, ...) with the representative of each bin; null for -1."""
+    rows = bins.join(F.broadcast(fitted.select("channel", "reps")), "channel", "left")
+    place = F.greatest(F.least(F.col("bin"), F.size("reps") - 1), F.lit(0)) + 1
+    return rows.withColumn(name, F.when(F.col("bin") >= 0, F.element_at("reps", place.cast("int")))).drop("reps")
 
-def fit_channel(df: DataFrame, value: str, bins: int, tail: float = 0.005, tail_bins: int = 0, floor: int = 1) -> list[float]:
-    """Interior edges of one channel: masses get bins of their own, tails fixed widths, the middle equal counts.
 
-    Spark counts and ranks; what is left for the driver is a list of at most
-    bins edges.
+def bin_fit(values: DataFrame, fitted: DataFrame) -> DataFrame:
+    """channel, split, n, iqr, bins_used, mass_share, first_share, last_share, error, relative_error of values(channel, split, value).
+
+    error is the mean absolute distance to the representatives; relative to the
+    quartile distance of the channel's rows of split 'train'.
     """
-    masses = [r[value] for r in point_masses(df, value, bins).collect()]
-    stats = df.where(F.col(value).isNotNull()).agg(
-        F.min(value), F.max(value), F.percentile(value, F.lit(tail)), F.percentile(value, F.lit(1 - tail))
-    ).first()
-    if stats[0] is None:
-        return []
-    outer = tail_cuts(stats[0], stats[1], stats[2], stats[3], tail_bins) if tail_bins else []
-    middle = df.where(F.col(value).between(stats[2], stats[3]) & (~F.col(value).isin(*masses) if masses else F.lit(True)))
-    room = max(2, bins - len(masses) - len(outer))
-    found = fit_edges(middle, value, room).first()
-    edges = sorted({*(found["edges"] if found else []), *outer, *masses})
-    counts = dict(df.where(F.col(value).isNotNull()).groupBy(bin_of(F.col(value), F.array(*[F.lit(float(e)) for e in edges])).alias("b")).count().collect())
-    return merge_outward(edges, [counts.get(b, 0) for b in range(len(edges) + 1)], floor)
+    rows = values.join(F.broadcast(fitted), "channel").withColumn("bin", clamped_bin(F.col("value"), F.col("edges"))).where("bin >= 0")
+    rep = F.element_at("reps", (F.col("bin") + 1).cast("int"))
+    share = lambda c: F.avg(c.cast("double"))
+    out = rows.groupBy("channel", "split").agg(
+        F.count("*").alias("n"), F.count_distinct("bin").alias("bins_used"), share(F.array_contains("masses", F.col("value"))).alias("mass_share"),
+        share(F.col("bin") == 0).alias("first_share"), share(F.col("bin") == F.size("reps") - 1).alias("last_share"), F.avg(F.abs(F.col("value") - rep)).alias("error"),
+    )
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
+    spread = rows.where("split = 'train'").groupBy("channel").agg(q.alias("_q")).select("channel", (F.col("_q")[1] - F.col("_q")[0]).alias("iqr"))
+    return out.join(F.broadcast(spread), "channel", "left").withColumn("relative_error", F.when(F.col("iqr") > 0, F.col("error") / F.col("iqr")))
+
+
+def tail_occupancy(values: DataFrame, fitted: DataFrame) -> DataFrame:
+    """channel, side, bin, n: rows in each bin of the fixed-width tails, empty ones too."""
+    below = F.transform(F.sequence(F.lit(0), F.col("lower_bins") - 1), lambda b: F.struct(F.lit("lower").alias("side"), b.cast("int").alias("bin")))
+    last = F.size("reps") - 1
+    above = F.transform(F.sequence(last - F.col("upper_bins") + 1, last), lambda b: F.struct(F.lit("upper").alias("side"), b.cast("int").alias("bin")))
+    none = F.array().cast("array<struct<side:string,bin:int>>")
+    all_bins = F.concat(F.when(F.col("lower_bins") > 0, below).otherwise(none), F.when(F.col("upper_bins") > 0, above).otherwise(none))
+    wanted = fitted.select("channel", F.explode(all_bins).alias("x")).select("channel", "x.side", "x.bin")
+    rows = values.join(F.broadcast(fitted.select("channel", "edges")), "channel").select("channel", clamped_bin(F.col("value"), F.col("edges")).alias("bin"))
+    counts = rows.groupBy("channel", "bin").agg(F.count("*").alias("n"))
+    return wanted.join(counts, ["channel", "bin"], "left").select("channel", "side", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def out_of_range(values: DataFrame, fitted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """channel, by, n, below, above: rows outside of the range that the bins were fitted on."""
+    rows = values.join(F.broadcast(fitted.select("channel", "edges")), "channel")
+    v = F.col("value")
+    return rows.where(v.isNotNull() & ~F.isnan(v)).groupBy("channel", *by).agg(
+        F.count("*").alias("n"), F.count_if(v < F.element_at("edges", 1)).alias("below"), F.count_if(v > F.element_at("edges", -1)).alias("above")
+    )
+
+
+def fit_channel(df: DataFrame, value: str, bins: int, tail: float = 0.005, tail_bins: int = 0, floor: int = 1) -> list[float]:
+    """Interior edges of one channel with masses and tails; outer bins hold at least floor rows where tails allow it."""
+    values = df.select(F.lit("x").alias("channel"), F.col(value).cast("double").alias("value"))
+    rows = values.where("value is not null").count()
+    found = fit_bins(values, BinRule(bins, True, None, tail_bins, tail, floor / max(rows, 1))).first()
+    return found["edges"][1:-1] if found else []

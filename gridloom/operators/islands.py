@@ -63,12 +63,14 @@ def null_run_lengths(df: DataFrame, keys: list[str], order: str, value: str, nam
 def impute(df: DataFrame, keys: list[str], order: str, value: str, limit: int = 3, forward: bool = False) -> DataFrame:
     """Fills interior runs of at most limit nulls by row position, linearly or with the last value; adds <value>__imputed."""
     rows = W.partitionBy(*keys).orderBy(order)
-    back, ahead = rows.rowsBetween(W.unboundedPreceding, 0), rows.rowsBetween(0, W.unboundedFollowing)
+    # looking ahead is looking back in falling order: a frame to the end is made anew for every row
+    falling = W.partitionBy(*keys).orderBy(F.desc(order))
+    back, ahead = rows.rowsBetween(W.unboundedPreceding, 0), falling.rowsBetween(W.unboundedPreceding, 0)
     here = F.row_number().over(rows)
     df = null_run_lengths(df, keys, order, value, "_gap").withColumn("_pos", here)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(value).alias("v")))
     df = df.withColumn("_k", known)
-    df = df.withColumn("_l", F.last("_k", True).over(back)).withColumn("_r", F.first("_k", True).over(ahead))
+    df = df.withColumn("_l", F.last("_k", True).over(back)).withColumn("_r", F.last("_k", True).over(ahead))
     share = (F.col("_pos") - F.col("_l.p")) / (F.col("_r.p") - F.col("_l.p"))
     filler = F.col("_l.v") if forward else F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * share
     ok = F.col(value).isNull() & (F.col("_gap") <= limit) & F.col("_l").isNotNull() & (F.lit(forward) | F.col("_r").isNotNull())
@@ -86,6 +88,6 @@ def segments(df: DataFrame, keys: list[str], order: str, present: Column, max_ga
     mark = F.when(F.col("_t").isNotNull(), F.col("_id"))
     df = df.withColumn("_m", mark)
     back = F.last("_m", True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("_m", True).over(w.rowsBetween(0, W.unboundedFollowing))
+    ahead = F.last("_m", True).over(W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
     df = df.withColumn(name, F.when(back == ahead, back).otherwise(F.lit(-1)).cast("long"))
     return df.drop("_t", "_id", "_m")

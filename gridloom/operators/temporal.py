@@ -25,8 +25,10 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str,
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, name: str, within: int | None = None) -> DataFrame:
     """left with name: the first right time > time, null if more than within later."""
-    w = W.partitionBy(*keys).orderBy(time).rangeBetween(1, within if within is not None else W.unboundedFollowing)
-    return _both(left, right, keys, time, right_time).withColumn(name, F.min("_at").over(w)).where("_row").drop("_row", "_at")
+    # in falling order what comes later has been seen; equal times are no match
+    w = W.partitionBy(*keys).orderBy(F.desc(time)).rangeBetween(W.unboundedPreceding, -1)
+    found = _both(left, right, keys, time, right_time).withColumn(name, F.min("_at").over(w)).where("_row").drop("_row", "_at")
+    return found if within is None else found.withColumn(name, F.when(F.col(name) - F.col(time) <= within, F.col(name)))
 
 
 def exists_ahead(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, horizon: int, name: str) -> DataFrame:

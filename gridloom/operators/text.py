@@ -14,16 +14,24 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import BLANK, alphabetic_ratio, hash_position, once, repeated_line_ratio, split_by_fractions, strip
 
-TAG = r"<!--[\s\S]*?-->|</?[A-Za-z][^<>]*>"
-LOOSE_TAG = r"<[^>]*>"
-# What the masks look for, in the order of masking.
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?\(?[0-9]{1,4}\)?[\-. ]?\(?[0-9]{2,4}\)?[\-. ][0-9]{3,4}[\-. ]?[0-9]{0,4}"
-DIGITS = r"[0-9]{6,}"
-
-
-def remove_tags(x: Column, loose: bool = False) -> Column:
-    return F.regexp_replace(x, LOOSE_TAG if loose else TAG, " ")
+# What is markup and what is masked, by version, and the marks that stand for it.
+TAGS = {
+    "v0": r"<[^>]+>",
+    "v1": r"(?s)<!--.*?-->|</?[A-Za-z][A-Za-z0-9:._-]*(?:\s[^<>]*)?/?>",
+}
+TAG = TAGS["v1"]
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+PHONES = {
+    "v0": r"(?<!\d)(?:\+?\d[\d\s().-]{7,}\d)(?!\d)",
+    "v1": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?\d{2,5}(?:[ .\-]?\d{2,6}){1,3}|\(0?\d{2,5}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}"
+    r"|0\d{1,4}[ .\-]\d{3,4}[ .\-]\d{3,4}|\d{3}[ .\-]\d{3}[ .\-]\d{4})(?!\w)",
+}
+DIGITS = r"(?<!\d)\d{6,}(?!\d)"
+MARKS = {"email": "<EMAIL>", "phone": "<PHONE>", "digits": "<NUMBER>"}
+
+
+def remove_tags(x: Column, version: str = "v1") -> Column:
+    return F.regexp_replace(x, TAGS[version], " ")
 
 
 def remove_controls(x: Column) -> Column:
@@ -32,7 +40,29 @@ def remove_controls(x: Column) -> Column:
 
 def normalize_blanks(x: Column) -> Column:
     """Runs of blanks to one space, runs of blank lines to one, stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n[ \t]*(?:\n[ \t]*)+", "\n\n"))
+    # single spaces are no match, so most words are passed over
+    return strip(F.regexp_replace(F.regexp_replace(x, r" [ \t]+|\t[ \t]*", " "), r"\n[ \t]*(?:\n[ \t]*)+", "\n\n"))
+
+
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with new columns that later filters and projections read instead of making them again.
+
+    A filter on a projected expression is moved below the projection and
+    evaluates it a second time; rows of a generator are finished.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a small table dealt to all cores by a key; a table of a whole read split per core stays as it is.
+
+    A small file has fewer row groups than there are cores, and work on long
+    texts would run on few of them. What is shuffled is bounded by a split a core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores, key) if size < cores * (128 << 20) else df
 
 
 def _per_text(f) -> Callable[[Column], Column]:
@@ -96,11 +126,18 @@ def keyed_dedup(df: DataFrame, key: Column, version: list[Column]) -> DataFrame:
     return latest.unionByName(keyed.where("_key is null").select(*rest))
 
 
-def mask_pii(df: DataFrame, column: str = "text", digits: bool = False) -> DataFrame:
-    """Masks e-mails, then phones, then long numbers, each on the text masked so far; adds counts."""
-    steps = [("email", EMAIL, "[EMAIL]"), ("phone", PHONE, "[PHONE]")] + ([("digits", DIGITS, "[NUMBER]")] if digits else [])
-    for name, pattern, mark in steps:
-        df = df.withColumn(f"n_{name}", F.regexp_count(column, F.lit(pattern))).withColumn(column, F.regexp_replace(column, pattern, F.lit(mark)))
+def mask_pii(df: DataFrame, column: str = "text", digits: bool = False, phone: str = "v0") -> DataFrame:
+    """Masks e-mails, then phones, then long numbers, each on the text masked so far; adds n_email, n_phone and n_digits.
+
+    What is masked is long enough that the marks put in are the growth of the
+    text's own count of marks, so each pattern runs once over each text.
+    """
+    steps = [("email", EMAIL), ("phone", PHONES[phone])] + ([("digits", DIGITS)] if digits else [])
+    for name, pattern in steps:
+        mark = MARKS[name]
+        marks = lambda x, mark=mark: (F.char_length(x) - F.char_length(F.replace(x, F.lit(mark), F.lit("")))) / len(mark)
+        df = evaluated(df, _masked=F.regexp_replace(column, "(?U)" + pattern, F.lit(mark)))
+        df = df.withColumn(f"n_{name}", (marks(F.col("_masked")) - marks(F.col(column))).cast("int")).withColumn(column, F.col("_masked")).drop("_masked")
     return df
 
 

@@ -14,10 +14,18 @@ def words(x: Column, pattern: str = WORD) -> Column:
 
 
 def word_counts(df: DataFrame, by: list[str], pattern: str = WORD) -> DataFrame:
-    """by, word, n, n_docs."""
-    found = df.select(*by, F.explode(words(F.col("text"), pattern)).alias("word"), F.col("doc_id").alias("_d"))
-    per_doc = found.groupBy(*by, "word", "_d").agg(F.count("*").alias("c"))
-    return per_doc.groupBy(*by, "word").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"))
+    """by, word, n, n_docs.
+
+    A word differs from its predecessor among its row's sorted words once a row,
+    so documents are counted without a shuffle of their own.
+    """
+    def pairs(ws: Column) -> Column:
+        return F.arrays_zip(ws.alias("w"), F.concat(F.array(F.lit(None).cast("string")), ws).alias("before"))
+
+    each = F.explode(F.transform(F.array(F.array_sort(words(F.col("text"), pattern))), pairs)[0])
+    found = df.select(*by, each.alias("x")).where("x.w is not null")
+    first = F.count_if(~F.col("x.w").eqNullSafe(F.col("x.before")))
+    return found.groupBy(*by, F.col("x.w").alias("word")).agg(F.count("*").alias("n"), first.alias("n_docs"))
 
 
 def status_of(n: Column, frequent: int) -> Column:

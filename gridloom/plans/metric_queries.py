@@ -115,7 +115,7 @@ def poisson(T):
     return t.select("event_type", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-STRATA = "st AS (SELECT user_id % 10 AS stratum, count(*) FILTER (event_type = 'error' AND day(ts) <= 15)::DOUBLE AS a, count(*) FILTER (day(ts) <= 15)::DOUBLE AS at, count(*) FILTER (event_type = 'error' AND day(ts) > 15)::DOUBLE AS b, count(*) FILTER (day(ts) > 15)::DOUBLE AS bt FROM events GROUP BY 1)"
+STRATA = "st AS (SELECT user_id % 10 AS stratum, count(*) FILTER (event_type = 'error' AND day(ts) <= 15)::DOUBLE AS a, count(*) FILTER (day(ts) <= 15)::DOUBLE AS xa, count(*) FILTER (event_type = 'error' AND day(ts) > 15)::DOUBLE AS b, count(*) FILTER (day(ts) > 15)::DOUBLE AS xb FROM events GROUP BY 1)"
 
 
 def strata(T):
@@ -126,13 +126,13 @@ def strata(T):
     )
 
 
-@query("rate_ratio", f"WITH {STRATA} SELECT stratum, round((a/at)/(b/bt), 9) AS ratio, round((a/at)/(b/bt)*exp(-{Z}*sqrt(1/a+1/b)), 9) AS low, round((a/at)/(b/bt)*exp({Z}*sqrt(1/a+1/b)), 9) AS high FROM st")
+@query("rate_ratio", f"WITH {STRATA} SELECT stratum, round((a/xa)/(b/xb), 9) AS ratio, round((a/xa)/(b/xb)*exp(-{Z}*sqrt(1/a+1/b)), 9) AS low, round((a/xa)/(b/xb)*exp({Z}*sqrt(1/a+1/b)), 9) AS high FROM st")
 def rate_ratio(T):
     r, low, high = S.rate_ratio(F.col("a"), F.col("at"), F.col("b"), F.col("bt"))
     return strata(T).select("stratum", F.round(r, 9).alias("ratio"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-@query("mantel_haenszel", f"WITH {STRATA} SELECT count(*) AS strata, round(sum(a * bt / (at + bt)) / sum(b * at / (at + bt)), 9) AS ratio FROM st WHERE at > 0 AND bt > 0")
+@query("mantel_haenszel", f"WITH {STRATA} SELECT count(*) AS strata, round(sum(a * xb / (xa + xb)) / sum(b * xa / (xa + xb)), 9) AS ratio FROM st WHERE xa > 0 AND xb > 0")
 def mantel(T):
     return K.mantel_haenszel(strata(T)).withColumn("ratio", F.round("ratio", 9))
 

@@ -30,12 +30,18 @@ SPLIT = f"CASE WHEN {POSITION} < 0.9 THEN 'train' WHEN {POSITION} < 0.9 + 0.05 T
 FRACTIONS = [("train", 0.9), ("val", 0.05), ("test", 0.05)]
 DOCS = f"c AS (SELECT doc_id, source, {CLEAN} AS text FROM documents)"
 KEPT = f"{DOCS}, k AS (SELECT * FROM c WHERE ({REASON}) IS NULL), u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY {HASH} ORDER BY doc_id) = 1)"
-MASK = f"regexp_replace(regexp_replace(text, '{X.EMAIL}', '[EMAIL]', 'g'), '{X.PHONE}', '[PHONE]', 'g')"
+# leftmost matches of greedy runs need no guards on their sides
+PHONE = r"\+?\d[\d\s().-]{7,}\d"
+MASK = f"regexp_replace(regexp_replace(text, '{X.EMAIL}', '<EMAIL>', 'g'), '{PHONE}', '<PHONE>', 'g')"
+
+
+def documents(T):
+    return X.spread(T("documents"), "doc_id")
 
 
 def cleaned(T):
-    x = X.clean(F.col("text"), form=None, entities=False)
-    return T("documents").select("doc_id", "source", x.alias("text"))
+    raw = documents(T).select("doc_id", "source", F.col("text").alias("raw"))
+    return X.evaluated(raw, text=X.clean(F.col("raw"), form=None, entities=False)).drop("raw")
 
 
 def kept(T):
@@ -92,9 +98,9 @@ def keyed_groups(T):
 
 
 @query("text_pii", f"""SELECT doc_id, len(regexp_extract_all(text, '{X.EMAIL}')) AS n_email,
-len(regexp_extract_all(regexp_replace(text, '{X.EMAIL}', '[EMAIL]', 'g'), '{X.PHONE}')) AS n_phone, md5({MASK}) AS digest FROM documents""")
+len(regexp_extract_all(regexp_replace(text, '{X.EMAIL}', '<EMAIL>', 'g'), '{PHONE}')) AS n_phone, md5({MASK}) AS digest FROM documents""")
 def pii(T):
-    m = X.mask_pii(T("documents").select("doc_id", "text"))
+    m = X.mask_pii(documents(T).select("doc_id", "text"))
     return m.select("doc_id", F.col("n_email").cast("long").alias("n_email"), F.col("n_phone").cast("long").alias("n_phone"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -136,7 +142,7 @@ VISIBLE = f"regexp_replace(regexp_replace({VISIBLE}, ' ?\\n[ \\n]*', E'\\n', 'g'
 
 @query("html_text", f"SELECT page_id, length({VISIBLE}) AS n, md5({VISIBLE}) AS digest FROM pages")
 def html_text(T):
-    p = T("pages").select("page_id", X.html_text(F.col("html")).alias("x"))
+    p = X.evaluated(X.spread(T("pages"), "page_id").select("page_id", "html"), x=X.html_text(F.col("html")))
     return p.select("page_id", F.length("x").cast("long").alias("n"), F.md5(F.col("x").cast("binary")).alias("digest"))
 
 
@@ -164,7 +170,7 @@ def robots(T):
 @query("word_counts", """SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM
 (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1, 2""")
 def word_counts(T):
-    return V.word_counts(T("documents"), ["lang"])
+    return V.word_counts(documents(T), ["lang"])
 
 
 COVER = """w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1),
