@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
-from gridloom.operators import binning, metrics, text, vocab
+from gridloom.operators import binning, islands, metrics, text, vocab
 from gridloom.sources import readers, sinks
 from gridloom.streaming import stream
 
@@ -39,10 +39,24 @@ def test_exact_and_keyed_dedup(spark):
     assert sorted(r["pos"] for r in text.keyed_dedup(k, F.col("k"), [F.col("day"), F.col("pos")]).collect()) == [2, 3, 4]
 
 
+def test_versions_of_masks_and_tags(spark):
+    rows = [(1, "Serial number 8812349900"), (2, "call 555 123 4567 or (0123) 456 7890"), (3, "+44 1234 567890"), (4, "<EMAIL> stays; x@y.io <EMAIL>"), (5, "12345678 and 99"), (6, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    v1 = {r["id"]: r for r in text.mask_pii(df, phone="v1", digits=True).collect()}
+    assert v1[1]["text"] == "Serial number <NUMBER>" and (v1[1]["n_phone"], v1[1]["n_digits"]) == (0, 1)
+    assert v1[2]["text"] == "call <PHONE> or <PHONE>" and v1[3]["text"] == "<PHONE>" and v1[2]["n_phone"] == 2
+    assert v1[4]["text"] == "<EMAIL> stays; <EMAIL> <EMAIL>" and v1[4]["n_email"] == 1 and v1[5]["n_digits"] == 1 and v1[6]["text"] is None
+    v0 = {r["id"]: r["text"] for r in text.mask_pii(df).collect()}
+    assert v0[1] == "Serial number <PHONE>" and v0[5] == "12345678 and 99"
+    tags = spark.createDataFrame([("Wind < start wind and more > less",), ("<b class='x'>a</b><!-- c\nd --><br/>",)], "t string")
+    out = [[r[0].strip() for r in tags.select(text.remove_tags(tags.t, v)).collect()] for v in ("v0", "v1")]
+    assert out[0] == ["Wind   less", "a"] and out[1] == ["Wind < start wind and more > less", "a"]
+
+
 def test_masks_in_sequence(spark):
     df = spark.createDataFrame([("mail a.b@c.org or +1 (252) 555-8630",)], "text string")
     row = text.mask_pii(df).first()
-    assert (row["text"], row["n_email"], row["n_phone"]) == ("mail [EMAIL] or [PHONE]", 1, 1)
+    assert (row["text"], row["n_email"], row["n_phone"]) == ("mail <EMAIL> or <PHONE>", 1, 1)
 
 
 def test_shingle_pairs_find_what_all_pairs_find(spark):
@@ -179,3 +193,87 @@ def test_channel_edges_with_masses_and_tails(spark):
     assert edges == sorted(set(edges)) and len(edges) < 14
     assert binning.merge_outward([1.0, 2.0, 3.0], [1, 1, 5, 9], 3) == [3.0]
     assert binning.merge_outward([1.0, 2.0, 3.0], [4, 5, 2, 0], 3) == [1.0]
+
+
+def weighted(values):
+    found, counts = np.unique(np.asarray(values, float), return_counts=True)
+    return binning.Counted(found, counts)
+
+
+def occupancy(edges, values):
+    return np.bincount(np.clip(np.searchsorted(np.asarray(edges)[1:-1], values, side="right"), 0, len(edges) - 2), minlength=len(edges) - 1)
+
+
+def heavy_tailed(seed=5):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.normal(60, 3, 30_000), rng.normal(95, 12, 300)])
+
+
+def test_plain_bins_are_linear_quantiles():
+    values = heavy_tailed()
+    laid = binning.lay_bins(weighted(values), binning.BinRule(16))
+    assert np.allclose(laid["edges"], np.quantile(values, np.linspace(0, 1, 17))) and laid["masses"] == []
+    assert np.allclose(laid["reps"], (np.array(laid["edges"])[1:] + np.array(laid["edges"])[:-1]) / 2)
+
+
+def test_tails_have_equal_widths_and_the_whole_budget_is_spent():
+    values = heavy_tailed()
+    laid = binning.lay_bins(weighted(values), binning.BinRule(64, True, None, 8))
+    edges = np.array(laid["edges"])
+    assert len(edges) == 65 and (laid["lower_bins"], laid["upper_bins"]) == (8, 8)
+    assert np.allclose(np.diff(edges[:9]), edges[1] - edges[0]) and np.allclose(np.diff(edges[-9:]), edges[-1] - edges[-2])
+    assert np.allclose([laid["tail_low"], laid["tail_high"]], np.quantile(values, [0.005, 0.995]))
+
+
+def test_the_floor_joins_outer_bins_and_spares_the_middle():
+    values, floor = heavy_tailed(), 0.001
+    held = occupancy(binning.lay_bins(weighted(values), binning.BinRule(64, True, None, 8, floor=floor))["edges"], values)
+    assert min(held[0], held[-1]) >= np.ceil(floor * len(values))
+    greedy = binning.lay_bins(weighted(values), binning.BinRule(64, True, None, 8, floor=0.4))
+    assert (greedy["lower_bins"], greedy["upper_bins"], greedy["lower_merged"], greedy["upper_merged"]) == (1, 1, 7, 7)
+
+
+def test_masses_keep_their_bins():
+    rng = np.random.default_rng(2)
+    values = np.concatenate([np.linspace(0, 0.4, 210), np.full(790, 0.45), rng.uniform(0.5, 100, 199_000)])
+    laid = binning.lay_bins(weighted(values), binning.BinRule(256, True, None, 4, floor=0.001))
+    held = occupancy(laid["edges"], values)
+    assert laid["masses"] == [0.45] and list(held[:2]) == [210, 790] and laid["lower_merged"] == 3 and laid["reps"][1] == 0.45
+    zeros = binning.lay_bins(weighted([0.0] * 5000 + list(np.linspace(0.1, 50, 5000))), binning.BinRule(64, True, None, 8))
+    assert (zeros["lower_bins"], zeros["upper_bins"], zeros["masses"], len(zeros["edges"])) == (0, 8, [0.0], 65)
+
+
+def test_bins_fitted_applied_and_inverted(spark):
+    values = heavy_tailed()[:4000]
+    rows = [("a", float(v)) for v in values] + [("b", float(k % 7)) for k in range(700)] + [("a", None), ("a", float("nan")), ("b", float("inf"))]
+    df = spark.createDataFrame(rows, "channel string, value double")
+    fitted = binning.fit_bins(df, binning.BinRule(32, True, None, 4))
+    want = binning.lay_bins(weighted(values), binning.BinRule(32, True, None, 4))
+    got = {r["channel"]: r for r in fitted.collect()}
+    assert set(got) == {"a", "b"} and np.allclose(got["a"]["edges"], want["edges"])
+    wide = spark.createDataFrame([(60.0, 3.0), (-1e9, None), (1e9, float("nan"))], "a double, b double")
+    bins = [tuple(r) for r in binning.transform(wide, ["a", "b", "c"], fitted).select("a__bin", "b__bin", "c__bin").collect()]
+    assert bins[1][0] == 0 and bins[2][0] == len(want["reps"]) - 1 and [b[1] for b in bins[1:]] == [-1, -1] and all(b[2] == -1 for b in bins)
+    back = binning.inverse(spark.createDataFrame([("b", bins[0][1]), ("b", -1), ("a", 10**6)], "channel string, bin int"), fitted).collect()
+    assert back[0]["value"] == 3.0 and back[1]["value"] is None and abs(back[2]["value"] - want["reps"][-1]) < 1e-9
+    split = df.withColumn("split", F.lit("train"))
+    fit = {r["channel"]: r for r in binning.bin_fit(split, fitted).collect()}
+    assert fit["b"]["error"] == 0 and fit["b"]["mass_share"] == 1 and fit["a"]["relative_error"] < 0.2 and fit["a"]["n"] == 4000
+    tails = binning.tail_occupancy(df, fitted).where("channel = 'a'").collect()
+    assert len(tails) == 8 and sum(r["n"] for r in tails) >= 36
+    beyond = binning.out_of_range(df.withColumn("value", F.col("value") + 1000), fitted.where("channel = 'a'"), []).first()
+    assert beyond["above"] == beyond["n"] == 4000
+    some = binning.fit_bins(df, binning.BinRule(8), sample_rows=500).where("channel = 'a'").first()
+    assert abs(some["edges"][4] - np.median(values)) < 1
+
+
+def test_a_year_of_one_key_is_imputed_and_segmented_in_linear_time(spark):
+    import time
+
+    n = 52_560
+    df = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 600).alias("t"), F.when(F.col("id") % 11 != 5, F.col("id").cast("double")).alias("v"))
+    start = time.time()
+    got = islands.impute(df, ["k"], "t", "v").where("v__imputed").agg(F.count("*"), F.sum(F.abs(F.col("v") - F.col("t") / 600))).first()
+    segments = islands.segments(df, ["k"], "t", F.col("v").isNotNull(), 3600).agg(F.count_distinct("segment_id")).first()
+    assert got[0] == sum(k % 11 == 5 for k in range(n)) and got[1] < 1e-6 and segments[0] == 1
+    assert time.time() - start < 30
