@@ -13,11 +13,13 @@ rare expression, the shared counts speak for it and the ratio stays near one.
 Of a toxic text's words a share of INSULTS is the first class's and the others
 are the second's, so a word with log ratio r counts by log(1 - INSULTS +
 INSULTS * exp(r)): ordinary words speak against the class, within bounds. A
-passage's evidence is the sum over its words and a text's that of its strongest
-passage, all of which have PASSAGE words (a shorter text is one). A text without
-insults has no stronger passages for being long, and one insulting passage isn't
-outvoted by the rest. A logistic curve, fitted on training rows that the counts
-have not seen, maps the signed root of the evidence to a score.
+passage's sum over its words is the difference of its log-likelihoods under both
+classes, and over the number of its words it is normalised by length. A text's
+evidence is that of its strongest passage of PASSAGE words (a shorter text is
+one). A text without insults has no stronger passages for being long, and one
+insulting passage isn't outvoted by the rest. A logistic curve, fitted on
+training rows that the counts have not seen, maps the signed root of the
+evidence to a score.
 
 The counts of a class are those of all its labelled rows but the held-out ones
 and the curve's, the continuation counts those of all texts; both are
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .textcore import Words, add_column, blocks, free_name, utf8
+from .textcore import Words, add_column, blocks, free_name, give_back, utf8
 
 D = 0.75
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -42,7 +44,8 @@ ORDER = 6
 INSULTS = 0.03
 PASSAGE = 64
 BEGIN, END = 1, 2
-HELD_GRAMS = 1 << 20
+HELD_GRAMS = 1 << 18
+MOST_GRAMS = 1 << 24
 
 
 def split_of(doc_id: Column) -> Column:
@@ -195,10 +198,10 @@ class KneserNey:
 
 
 def strongest_passages(by_word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Signed root of the greatest sum of PASSAGE adjacent words of each text, of all words of a shorter one; 0 without words."""
+    """Signed root of PASSAGE times the greatest mean of PASSAGE adjacent words of each text, of all words of a shorter one; 0 without words."""
     sums = np.append(0.0, np.cumsum(by_word))
     begin, end = first[:-1], first[1:]
-    best = sums[end] - sums[begin]
+    best = (sums[end] - sums[begin]) * (PASSAGE / np.maximum(end - begin, 1))
     long = np.flatnonzero(end - begin > PASSAGE)
     if len(long):
         passages = sums[PASSAGE:] - sums[:-PASSAGE]
@@ -228,12 +231,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 
 def training_rows(labels: DataFrame, max_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, toxic) of the rows that are counted, and of those that fit the curve: at most max_docs of a class, the first by hash of the id."""
+    """(doc_id, toxic) of the rows that are counted, and of those that fit the curve: at most max_docs of a class, the first by hash of the id.
+
+    An id with both labels is toxic.
+    """
     rows = (
         labels.where("toxic in (0, 1) and doc_id is not null")
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic"), split_of(F.col("doc_id")).alias("fold"))
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+        .withColumn("fold", split_of(F.col("doc_id")))
         .where("fold <> 2")
-        .dropDuplicates(["doc_id"])
     )
     picked = None
     for toxic in (0, 1):
@@ -243,9 +249,12 @@ def training_rows(labels: DataFrame, max_docs: int) -> tuple[DataFrame, DataFram
     return rows.join(F.broadcast(curve.select("doc_id")), "doc_id", "left_anti").select("doc_id", "toxic"), curve
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000):
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, most_grams: int = MOST_GRAMS):
     """The broadcast model, slope and intercept, from rows whose crc32(doc_id) mod 4 is not 2.
 
+    The model has the grams of labelled texts, so it doesn't grow with the
+    corpus; its size is checked, and more than most_grams are an error.
+
     The curve is fitted on rows of remainder 3, its classes weighted back to
     their shares among all labels; all other rows are counted.
     """
@@ -256,10 +265,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000):
     texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     classed = texts.join(counted, "doc_id").select("toxic", "text").distinct()
     grams = materialize(count_grams(classed.union(texts.select(F.lit(None).cast("int").alias("toxic"), "text"))), "toxicity-grams")
+    size = grams.where("toxic + ordinary > 0").count()
+    if size > most_grams:
+        raise ValueError(f"the labelled texts have {size} letter grams, more than the {most_grams} that each worker is to hold")
     model = docs.sparkSession.sparkContext.broadcast(KneserNey(log_ratios(grams).toArrow()))
-    pa.default_memory_pool().release_unused()
+    give_back()
     chosen = texts.join(F.broadcast(curve), "doc_id")
-    rows = add_column(chosen, "x", "double", lambda batch: pa.array(model.value.evidence(batch.column("text")))).select("toxic", "x").toArrow()
+    told = add_column(chosen, "x", "double", lambda batch: pa.array(model.value.evidence(batch.column("text"))))
+    rows = told.groupBy("doc_id", "toxic").agg(F.avg("x").alias("x")).select("toxic", "x").toArrow()  # a row for each id of the sample
     x, y = (rows.column(c).to_numpy().astype(float) for c in ("x", "toxic"))
     slope, intercept = fit_logistic(x, y)
     if 0 < y.sum() < len(y):

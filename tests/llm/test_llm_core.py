@@ -273,13 +273,80 @@ def test_toxicity_counts_grow_with_the_input(spark):
     assert model.keys[at] == int.from_bytes(g.encode(), "big") and abs(model.ratio[at] - math.log(told[0] / told[1])) < 1e-9
 
 
+def test_evidence_matches_a_plain_kneser_ney(spark):
+    """All letters of all words by recursion over strings; a word's ratio by the mixture; the mean of the strongest passage."""
+    RNG2 = random.Random(5)
+    word = lambda: "".join(RNG2.choice("abcd") for _ in range(RNG2.randint(1, 7)))
+    rows = [(i, " ".join(word() for _ in range(RNG2.randint(1, 100)))) for i in range(120)] + [(500, "new abcd é"), (501, None), (502, "")]
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(100)], "doc_id long, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    df = docs_frame(spark, rows)
+    model = toxicity.fit(df, labels, max_docs=5)[0].value
+    of = {r["doc_id"]: r["toxic"] for r in toxicity.training_rows(labels, 5)[0].collect()}
+    order, d = toxicity.ORDER, toxicity.D
+
+    def grams(w):
+        spelt = b"\1" + w.encode() + b"\2"
+        return [spelt[max(0, k - order + 1) : k + 1] for k in range(1, len(spelt))]
+
+    split = lambda t: __import__("re").findall(r"[A-Za-z0-9\x80-\U0010ffff]+", t or "")
+    seen = {g for _, t in rows for w in split(t) for g in grams(w)}
+    n = {c: Counter(g for t in {t for i, t in rows if of.get(i) == c} for w in set(split(t)) for g in grams(w)) for c in (1, 0)}
+    # grams are padded to full length, so each lower order is that of the one above without its first byte
+    full = {g.rjust(order, b"\0") for g in seen}
+    levels = {order: full}
+    for k in range(order - 1, 0, -1):
+        levels[k] = {g[1:] for g in levels[k + 1]}
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        same = Counter(x[1:] for x in levels[len(g) + 1] if x[1:-1] == g[:-1])
+        total = sum(same.values())
+        if not total:
+            return shared(g[1:])
+        return max(same[g] - d, 0) / total + d * len(same) / total * shared(g[1:])
+
+    def ratio(g):
+        told = []
+        for c in (1, 0):
+            same = {x: k for x, k in n[c].items() if x.rjust(order, b"\0")[:-1] == g.rjust(order, b"\0")[:-1]}
+            total = sum(same.values())
+            p = max(same.get(g, 0) - d, 0) / total + d * len(same) / total * shared(g.rjust(order, b"\0")[1:]) if total else shared(g.rjust(order, b"\0")[1:])
+            told.append(p)
+        return math.log(told[0] / told[1])
+
+    known = {}
+    for i, text in rows[:12] + rows[-3:]:
+        by_word = []
+        for w in split((text or "").lower()):
+            if w not in known:
+                known[w] = math.log1p(toxicity.INSULTS * math.expm1(sum(map(ratio, grams(w)))))
+            by_word.append(known[w])
+        width = min(len(by_word), toxicity.PASSAGE)
+        best = max((sum(by_word[k : k + width]) / width for k in range(len(by_word) - width + 1)), default=0) * toxicity.PASSAGE if width else 0
+        got = model.evidence(pa.array([text], pa.string()))[0]
+        assert abs(got - math.copysign(math.sqrt(abs(best)), best)) < 1e-6, (i, got, best)
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = [(i, f"some words {'vile' if i % 2 else 'kind'} text", "x") for i in range(60)] + [(1, "vile again", "y"), (None, "vile", "z"), (70, None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(df, labels).collect()
+    assert len(got) == 63 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.drop_toxic(df, labels).columns == df.columns
+    assert toxicity.score_toxicity(df.limit(0), labels).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.fit(df, labels, most_grams=3)
+
+
 def test_strongest_passages_match_brute_force():
     first = np.array([0, 0, 3, 70, 134, 400, 400])
     by_word = np.random.default_rng(3).normal(size=400)
     got = toxicity.strongest_passages(by_word, first)
     for a, b, x in zip(first[:-1], first[1:], got, strict=True):
         width = min(b - a, toxicity.PASSAGE)
-        want = max(by_word[k : k + width].sum() for k in range(a, b - width + 1))
+        want = toxicity.PASSAGE * max(by_word[k : k + width].sum() / max(width, 1) for k in range(a, b - width + 1))
         assert abs(x - math.copysign(math.sqrt(abs(want)), want)) < 1e-9
 
 
@@ -301,11 +368,57 @@ def test_license_lines_and_inheritance(spark):
     assert got[4] == (None, None) and got[5] == (None, None) and got[8] == (None, None)
 
 
-def test_license_anchors_lose_no_line():
-    idf, vectors = licenses.weigh(1000, {"the": 990, "of": 950, "license": 20, "version": 30}, licenses.TEMPLATES)
-    held = set(licenses.anchors(vectors, idf, 0.6))
-    for _, weights in vectors:
-        assert math.sqrt(sum(w * w for t, w in weights.items() if t not in held)) < 0.6
+def brute_licenses(rows, templates, threshold=0.6):
+    """Every stretch of every text against every template: the best licence, and whether the whole text is close."""
+    terms = {i: licenses.template_terms(t or "") for i, _, t in rows}
+    known = {t for _, text in templates for t in licenses.template_terms(text)}
+    idf = {t: licenses.smoothed_idf(len(rows), sum(t in set(w) for w in terms.values())) for t in known}
+    weigh = lambda w: {t: n * idf.get(t, licenses.smoothed_idf(len(rows), 0)) for t, n in Counter(w).items()}
+
+    def cos(a, b):
+        norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(x * b.get(t, 0) for t, x in a.items()) / norm if norm else 0
+
+    out = {}
+    for i, w in terms.items():
+        tried = []
+        for name, text in templates:
+            want = licenses.template_terms(text)
+            vector = weigh(want)
+            tried += [(-round(cos(weigh(w[k : k + len(want)]), vector), 9), name) for k in range(len(w))]
+        whole = min(((-round(cos(weigh(w), weigh(licenses.template_terms(text))), 9), name) for name, text in templates), default=None)
+        best = min(tried, default=(0, None))
+        out[i] = (whole[1], "file") if w and whole[0] <= -threshold and best[0] <= -threshold else (best[1], "header") if best[0] <= -threshold else (None, None)
+    return out
+
+
+def test_wrapped_commented_and_whole_licences_match_all_stretches(spark):
+    text = dict((len(t), (n, t)) for n, t in licenses.TEMPLATES)
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 300)
+    wrap = lambda t, mark, n: "\n".join(mark + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    filler = lambda n: " ".join(f"word{RNG.randint(0, 400)}" for _ in range(n))
+    rows = [
+        (1, None, "Copyright (c) 2020 Some One\n\n" + wrap(mit, "", 11)),
+        (2, None, wrap(gpl, " * ", 9) + "\n" + filler(400)),
+        (3, None, filler(200) + " Licensed under the Apache License, Version 2.0 " + filler(200)),
+        (4, None, filler(50) + "\n# Licensed under the\n# Apache License,\n# Version 2.0\n" + filler(80)),
+        (5, None, "the license of this work is a matter of some debate among people who publish software"),
+        (6, None, filler(5) + " dedicated to the public domain under cc0"),
+        (7, None, ""), (8, None, None), (9, None, "redistribution and use in source"),
+    ] + [(20 + k, None, filler(60)) for k in range(10)]
+    got = {r["doc_id"]: (r["license"], r["basis"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    want = brute_licenses(rows, licenses.TEMPLATES)
+    assert len(text) and got == want and [want[k] for k in (1, 2, 3, 4)] == [("MIT", "file"), ("GPL-3.0", "header"), ("Apache-2.0", "header"), ("Apache-2.0", "header")]
+
+
+def test_licenses_of_odd_tables(spark):
+    schema = "doc_id long, path string, text string, terms int"
+    notice = "Released under the MIT License."
+    rows = [(1, "a/x", notice, 1), (1, "a/x", notice, 1), (2, "a/y", "nothing", 2), (None, "a/z", notice, 3), (3, "b/x", "Licensed under CC BY 4.0", 4), (4, "b/w", "Licensed under CC BY-SA 4.0", 5), (5, "b/c/d", None, 6)]
+    got = sorted(((r["doc_id"], r["license"], r["basis"]) for r in licenses.scan(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([(1, "MIT", "file")] * 2 + [(2, "MIT", "inherited"), (None, "MIT", "inherited"), (3, "CC-BY-4.0", "file"), (4, "CC-BY-SA-4.0", "file"), (5, "CC-BY-4.0", "inherited")], key=str)
+    assert licenses.scan(spark.createDataFrame([], schema)).count() == 0
 
 
 def mix_brute(rows, weights=(3, 1, 2)):
