@@ -60,6 +60,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(table(spark, sf_dir, "pages"), labelled_pages(spark, sf_dir))
 
 
+def llm_listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7's fixed list says of every page."""
+    return urlrules.listed_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_gumbel_segments(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return segment.digest(segment.sample_segmentations(docs, tokenizer_file("piece_bpe_32k.model", folder), k=2, with_ids=False))
@@ -69,6 +74,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str, folder: str | None = None)
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json", folder))
 
 
+def llm_token_order(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Documents in the order in which op9's files hold them, by their places alone."""
+    rows = op9_token_files(spark, sf_dir, folder)
+    before = rows.select(F.col("start").alias("s"), F.col("n_tokens").alias("n"))
+    follows = rows.join(before, F.col("start") == F.col("s") + F.col("n"), "left")
+    return follows.select("doc_id", (F.col("start") == 0).alias("is_first"), (F.col("s").isNotNull() | (F.col("start") == 0)).alias("follows_another"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit(r"\### Assistant: </turn> ok")
     extra = spark.range(2).select(
@@ -89,6 +102,8 @@ QUERIES = {
     "op8_gumbel_segments": op8_gumbel_segments,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
+    "llm_listed_urls": llm_listed_urls,
+    "llm_token_order": llm_token_order,
 }
 ORACLES = {
     "op1_minhash_dedup": minhash.ORACLE,
@@ -97,4 +112,6 @@ ORACLES = {
     "op4_embedding_dedup": hnsw.ORACLE,
     "op5_source_mix": mixing.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "llm_listed_urls": urlrules.list_oracle(),
+    "llm_token_order": "SELECT doc_id, doc_id = (SELECT min(doc_id) FROM documents) AS is_first, true AS follows_another FROM documents",
 }

@@ -12,6 +12,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 #: (verdict, host, path)
 RULES = (
     ("block", "com", "/en/"),
@@ -58,36 +60,47 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
 
 
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, max_tokens: int = 4, min_count: int = 10
+    labelled: DataFrame, min_support: float = 0.0002, min_confidence: float = 0.6, min_lift: float = 1.5, min_count: int = 10
 ) -> DataFrame:
     """items (sorted array), confidence, support of rules items -> bad, from rows (url, bad boolean).
 
     A rule's support is at least min_support of the labelled rows and min_count
-    rows. A rule is kept only if no rule on a part of its items is as confident.
-    No labelled rows, or none bad, give no rules.
+    rows; min_support bounds what FP-growth holds on the driver, as at most a
+    few tokens per row can each be in that share of the rows. A rule's
+    confidence is at least min_confidence and min_lift times the share of bad
+    rows. A rule is kept only if no rule on a part of its items is as
+    confident. Rows with a null label or url are left out; rows that repeat
+    count each. No labelled rows, or none bad, give no rules.
     """
     host, path = split_url(F.col("url"))
-    rows = labelled.where("bad is not null").select(
+    rows = labelled.where("bad is not null and url is not null").select(
         F.concat(
             url_tokens(host, path, F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
         ).alias("items")
     )
     least = min(1.0, max(min_support, min_count / max(1, rows.count())))
     model = FPGrowth(minSupport=least, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where(
-        (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens)
-    ).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-    wide = found.select(
-        F.col("items").alias("_all"), F.explode("items").alias("_one"), F.col("confidence").alias("_c")
-    )
-    narrow = found.withColumn("_one", F.explode("items"))
-    superfluous = (
-        wide.join(narrow, "_one")
-        .where((F.size("items") < F.size("_all")) & F.forall("items", lambda x: F.array_contains("_all", x)) & (F.col("confidence") >= F.col("_c")))
-        .select(F.col("_all").alias("items"))
-        .distinct()
-    )
-    return found.join(superfluous, "items", "left_anti")
+    found = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
+    return without_superfluous(materialize(found.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-rules"))
+
+
+def filed(rules: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Rules with token: that one of their items which has the least n in frequency(token, n), ties by code point."""
+    spread = rules.withColumn("token", F.explode("items")).join(frequency, "token")
+    return spread.groupBy(*rules.columns).agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+
+
+def without_superfluous(rules: DataFrame) -> DataFrame:
+    """Rules of which no part of the items is a rule as confident.
+
+    A rule is looked up under its item that the fewest rules have, so rules
+    meet where a rare item is shared, not on every common one.
+    """
+    often = rules.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    narrow = filed(rules.select("items", "confidence"), often).select(F.col("items").alias("_part"), F.col("confidence").alias("_c"), "token")
+    wide = rules.select("items", "confidence", F.explode("items").alias("token"))
+    inside = (F.size("_part") < F.size("items")) & F.forall("_part", lambda x: F.array_contains("items", x)) & (F.col("_c") >= F.col("confidence"))
+    return rules.join(wide.join(narrow, "token").where(inside).select("items").distinct(), "items", "left_anti")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -101,12 +114,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     spread = tokens.select("url", "tokens", F.explode("tokens").alias("token"))
     wanted = rules.select(F.explode("items").alias("token")).distinct()
     frequency = spread.join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
-    index = (
-        rules.select("items", "confidence", F.explode("items").alias("token"))
-        .join(frequency, "token")
-        .groupBy("items", "confidence")
-        .agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    )
+    index = filed(rules.select("items", "confidence"), frequency)
     return (
         spread.join(index, "token")
         .where(F.forall("items", lambda x: F.array_contains("tokens", x)))
@@ -132,3 +140,24 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, **mining) -> DataFrame:
         "page_id", "host", "path", F.col("_l.rule").alias("rule"),
         F.coalesce(F.col("_l.verdict"), mined_verdict).alias("verdict"), "confidence",
     )
+
+
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, list_verdict for each row of pages(page_id, url): what the fixed list says, null where it says nothing."""
+    host, path = split_url(F.col("url"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_l", listed(F.col("host"), F.col("path")))
+    return rows.select("page_id", "host", "path", F.col("_l.rule").alias("rule"), F.col("_l.verdict").alias("list_verdict"))
+
+
+def list_oracle() -> str:
+    """SQL of listed_urls(), the longest fitting rule by sorting."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN split_part(split_part(split_part(substr(url, instr(url, '://') + 3), '/', 1), '?', 1), '#', 1) ELSE '' END AS raw,
+  CASE WHEN contains(url, '://') THEN split_part(split_part(substr(url, instr(url, '://') + 3), '?', 1), '#', 1) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(raw) + 1) AS path FROM u),
+r(verdict, rhost, rpath) AS (VALUES {rules}),
+m AS (SELECT h.*, rhost || rpath AS rule, verdict FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) = 1)
+SELECT h.page_id, h.host, h.path, m.rule, m.verdict AS list_verdict FROM h LEFT JOIN m USING (page_id)
+"""

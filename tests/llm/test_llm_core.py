@@ -480,6 +480,55 @@ def test_url_rules_and_parsing(spark):
     assert urlrules.filter_urls(df, bad.limit(0)).count() == 8
 
 
+def url_token_set(url):
+    import re
+
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
+    host, path = (m[1].lower(), m[2]) if m else ("", "")
+    labels = [x for x in host.split(".") if x]
+    parts = [y for x in labels if "-" in x for y in x.split("-")]
+    segments = [x for x in re.sub("[0-9]+", "#", path).split("/") if x]
+    query = re.search(r"\?([^#]*)", url)
+    keys = [x.split("=")[0] for x in query[1].split("&") if x] if query else []
+    return {"h:" + x for x in labels} | {"w:" + x for x in parts} | {"p:" + x for x in segments} | {"q:" + x for x in keys}
+
+
+def test_mined_rules_match_all_combinations(spark):
+    from itertools import combinations
+
+    def url():
+        host = RNG.choice(["a", "b-c", "spam", "x"]) + "." + RNG.choice(["biz", "org"])
+        return f"http://{host}/{RNG.choice(['en', 'de', 'shop'])}/{RNG.randint(1, 99)}" + RNG.choice(["", "?ref=1", "?id=2&ref=x"])
+
+    rows = [(u, "spam" in u and "shop" in u or "q" in u or RNG.random() < (0.7 if "b-c" in u and "de" in u else 0.1)) for u in (url() for _ in range(300))]
+    rows += [(None, True), ("http://n.n/", None)]
+    sets = [(url_token_set(u), bad) for u, bad in rows if u and bad is not None]
+    n, base, least = len(sets), sum(b for _, b in sets) / len(sets), 12
+    rules = {}
+    for items in {c for s, _ in sets for k in range(1, len(s) + 1) for c in combinations(sorted(s), k)}:
+        hits = [b for s, b in sets if s.issuperset(items)]
+        if sum(hits) >= least and sum(hits) / len(hits) >= 0.6 and sum(hits) / len(hits) / base >= 1.5:
+            rules[items] = sum(hits) / len(hits)
+    want = {i: c for i, c in rules.items() if not any(set(j) < set(i) and d >= c for j, d in rules.items())}
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    mined = urlrules.mine_rules(labelled, min_support=0.0, min_count=least)
+    got = {tuple(r["items"]): r["confidence"] for r in mined.collect()}
+    assert want and set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in got) and n == 300
+    pages = [(k, u) for k, u in enumerate([url() for _ in range(80)] + [None, "no scheme"])]
+    matched = {r["page_id"]: r["confidence"] for r in urlrules.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labelled, min_support=0.0, min_count=least).collect()}
+    for k, u in pages:
+        best = max((c for i, c in want.items() if u and url_token_set(u).issuperset(i)), default=None)
+        assert (best is None) == (matched[k] is None) and (best is None or abs(best - matched[k]) < 1e-9)
+
+
+def test_urls_of_odd_tables(spark):
+    bad = spark.createDataFrame([(f"http://s.biz/{k}", True) for k in range(20)] + [(f"http://g.biz/{k}", False) for k in range(20)], "url string, bad boolean")
+    df = spark.createDataFrame([(1, "http://s.biz/x", "c"), (1, "http://s.biz/x", "c"), (None, "http://g.biz/?" + "q&" * 50_000, "d")], "page_id long, url string, confidence string")
+    got = sorted((r["page_id"] or 0, r["verdict"]) for r in urlrules.filter_urls(df, bad).collect())
+    assert got == [(0, "allow"), (1, "block"), (1, "block")]
+    assert urlrules.filter_urls(df.limit(0), bad).count() == 0
+
+
 def test_chat_round_trip_of_conflicting_turns(spark):
     texts = ["plain", r"\### Assistant: </turn> ok", "a </turn>\n### user: b", "x: y", "", None, "\\", "end\\", "</turn>", " </turn>", "\n", "\\n\\l", "a </turn>\n"]
     rows = [(1, k, RNG.choice(["user", "assistant", "ro: le", "r\\", None, "a\nb"]), t) for k, t in enumerate(texts * 3)] + [(2, 0, "assistant", "hi")]
