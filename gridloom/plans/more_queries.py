@@ -11,6 +11,7 @@ from ..operators import temporal as J
 from ..operators import tokens as N
 from ..operators import vocab as V
 from .metric_queries import DRAWS, SC, scored
+from ..sources import sinks
 from .registry import HOUR, READ, query, raw, readings, stops
 
 STREAM = "st AS (SELECT conv_id, flatten(list(CASE WHEN role = 'assistant' THEN [7, 9, 8] ELSE [1, 40 + (length(text) % 5)::INT] END ORDER BY turn)) AS tokens FROM conversations GROUP BY 1)"
@@ -82,13 +83,6 @@ def balanced(T):
     return P.balanced_batches(T("labels").where("quality in (0, 1)").select("doc_id", "quality"), "doc_id", "quality", 6, 8, 3).select("doc_id", "quality", "batch")
 
 
-@query("mixture_schedule", "SELECT name, n FROM (VALUES ('a', 50::BIGINT), ('b', 30), ('c', 20)) t(name, n)")
-def schedule(T):
-    names = P.mixture_schedule({"a": 0.5, "b": 0.3, "c": 0.2}, 100)
-    spark = T("region").sparkSession
-    return spark.createDataFrame([(n,) for n in names], "name string").groupBy("name").agg(F.count("*").alias("n"))
-
-
 @query("paired_deltas", f"""WITH {SC}, {DRAWS}, bl AS (SELECT doc_id % 20 AS block, label, score, round(1 - score, 2) AS other FROM sc),
 c AS (SELECT 'a' AS k, replicate, score, sum(times) AS n, sum(times * label) AS pos FROM bl JOIN dr USING (block) GROUP BY 2, 3 UNION ALL SELECT 'b', replicate, other, sum(times), sum(times * label) FROM bl JOIN dr USING (block) GROUP BY 2, 3),
 w AS (SELECT *, sum(n) OVER (PARTITION BY k, replicate ORDER BY score DESC) AS cn, sum(pos) OVER (PARTITION BY k, replicate ORDER BY score DESC) AS cp FROM c),
@@ -160,11 +154,12 @@ def upsert(T):
     return old.union(new).groupBy("k").agg(F.max("r").alias("r")).select("k", (F.col("r.src") == 1).alias("replaced"), F.col("r.v").alias("v"))
 
 
-@query("download_plan", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("download_plan", """SELECT p_partkey, CASE WHEN l IS NULL THEN 'fetch' ELSE 'again' END AS action FROM part LEFT JOIN (SELECT l_partkey AS l, bool_or(l_linestatus = 'F' AND l_quantity > 40) AS ok FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l = p_partkey WHERE ok IS NOT true""")
 def download_plan(T):
-    """What is wanted and not yet verified: an anti join."""
-    held = T("lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return T("part").select("p_partkey").join(held, "p_partkey", "left_anti")
+    """What is wanted and not held verified: fetched anew where it was never held, again where it was held unverified."""
+    ok = (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 40)
+    held = T("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.bool_or(ok).alias("verified"))
+    return sinks.download_plan(T("part").select("p_partkey"), held, "p_partkey")
 
 
 @query("vocabulary_coverage", """WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1),

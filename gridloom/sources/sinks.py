@@ -29,3 +29,46 @@ def markdown(rows: list, columns: list[str]) -> str:
     """A Markdown table of a report's few rows."""
     line = lambda cells: "| " + " | ".join(str(c) for c in cells) + " |"
     return "\n".join([line(columns), line(["---"] * len(columns)), *[line(r[c] for c in columns) for r in rows]])
+
+
+def download_plan(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """key, action of wanted rows that are not held(key, verified) verified: fetch what was never held, again what failed."""
+    rows = wanted.join(held, key, "left").where("verified is null or not verified")
+    return rows.select(key, F.when(F.col("verified").isNull(), "fetch").otherwise("again").alias("action"))
+
+
+def upsert(manifest: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """manifest with records put in by key: a record replaces the row of its key, others stay."""
+    return manifest.join(records.select(key), key, "left_anti").unionByName(records)
+
+
+def all_verified(manifest: DataFrame, flag: str = "verified") -> bool:
+    """Whether every row is; a manifest without rows isn't."""
+    row = manifest.agg(F.bool_and(F.coalesce(flag, F.lit(False))).alias("ok")).first()
+    return bool(row["ok"])
+
+
+def assemble(staged: dict[str, DataFrame], name: str, path: str, key: str = "file") -> int:
+    """Writes the union of staged sources as JSON lines in the order of source and file, and returns the number of records."""
+    whole = None
+    for source, df in sorted(staged.items()):
+        some = df.withColumn("source", F.lit(source))
+        whole = some if whole is None else whole.unionByName(some, allowMissingColumns=True)
+    return write_json_lines(whole.repartitionByRange("source", key).sortWithinPartitions("source", key), f"{path}/{name}")
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Scored windows (set, end, logit, label), sorted inside their set's files."""
+    scores.select("set", "end", "logit", "label").repartition("set").sortWithinPartitions("set", "end").write.mode("overwrite").parquet(path)
+
+
+def write_trace(trace: DataFrame, path: str, decimals: dict[str, int]) -> None:
+    """A trace as CSV with fixed decimals; missing values are blank."""
+    columns = [F.format_number(F.col(c), decimals[c]).alias(c) if c in decimals else F.col(c).cast("string").alias(c) for c in trace.columns]
+    plain = [F.replace(c, F.lit(","), F.lit("")).alias(n) for c, n in zip(columns, trace.columns, strict=True)]
+    trace.select(*plain).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def read_trace(spark, path: str, schema: str) -> DataFrame:
+    """A written trace with typed columns; blanks are null."""
+    return spark.read.option("header", True).schema(schema).csv(path)
