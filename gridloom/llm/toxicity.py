@@ -46,6 +46,7 @@ PASSAGE = 64
 BEGIN, END = 1, 2
 HELD_GRAMS = 1 << 18
 MOST_GRAMS = 1 << 24
+BROADCAST_ROWS = 1 << 20
 
 
 def split_of(doc_id: Column) -> Column:
@@ -249,6 +250,22 @@ def training_rows(labels: DataFrame, max_docs: int) -> tuple[DataFrame, DataFram
     return rows.join(F.broadcast(curve.select("doc_id")), "doc_id", "left_anti").select("doc_id", "toxic"), curve
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows; a larger one is joined by a shuffle, before which Spark filters by its Bloom filter."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def one_of_each(texts: DataFrame, counted: DataFrame) -> DataFrame:
+    """toxic, text: each different text of texts(doc_id, text) once per class, by hashes of 128 bits, so texts are not shuffled."""
+    marked = texts.select("*", F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_g"))
+    known = materialize(marked.join(small(counted), "doc_id").select("doc_id", "toxic", "_h", "_g"), "toxicity-texts")
+    first = materialize(known.groupBy("toxic", "_h", "_g").agg(F.min("doc_id").alias("doc_id")), "toxicity-firsts")
+    rows = marked.join(small(first), ["doc_id", "_h", "_g"])
+    if known.groupBy("doc_id", "_h", "_g").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["toxic", "_h", "_g"])  # some rows repeat both id and text
+    return rows.select("toxic", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, most_grams: int = MOST_GRAMS):
     """The broadcast model, slope and intercept, from rows whose crc32(doc_id) mod 4 is not 2.
 
@@ -263,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, most_grams: in
     )
     counted, curve = training_rows(labels, max_docs)
     texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    classed = texts.join(counted, "doc_id").select("toxic", "text").distinct()
+    classed = one_of_each(texts, materialize(counted, "toxicity-labels"))
     grams = materialize(count_grams(classed.union(texts.select(F.lit(None).cast("int").alias("toxic"), "text"))), "toxicity-grams")
     size = grams.where("toxic + ordinary > 0").count()
     if size > most_grams:
