@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evidence_queries, metric_queries, more_queries, pipelines, relational_queries, series_queries, shard_queries, text_queries, vocabulary_queries  # noqa: F401
+from .plans import evidence_queries, metric_queries, more_queries, pipelines, relational_queries, series_queries, shard_queries, text_queries, verdict_queries, vocabulary_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 FLAGSHIP = "flagship"
