@@ -15,6 +15,7 @@ twice, leaves the same file.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import struct
 import uuid
@@ -35,7 +36,9 @@ from .textcore import blocks
 
 SKIPPABLE, SEEK_TABLE, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 17
-CACHE_WORDS = 1_000_000
+#: Pieces that an encoder remembers, and bytes of its table of pieces seen before.
+CACHE_WORDS, SEEN = 400_000, 1 << 22
+ONCE = 1 << 40
 #: Encoders of this worker by tokenizer file and setting.
 _HELD: dict[tuple[str, bool], ChunkEncoder] = {}
 
@@ -63,6 +66,7 @@ class ChunkEncoder:
         """One encoder for the life of a Python worker, so tasks find what earlier ones remembered."""
         key = (tokenizer_file, special_as_text)
         if key not in _HELD:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
             import tokenizers
 
             tokenizer = tokenizers.Tokenizer.from_file(tokenizer_file)
@@ -72,15 +76,37 @@ class ChunkEncoder:
 
     def clear(self):
         self.place: dict[str, int] = {}
-        self.new: list[str] = []
+        self.seen, self.marks = bytearray(SEEN), 0
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
+        self._begin()
+
+    def _begin(self):
+        """Nothing new so far: pieces seen for the first time, which are not remembered, and for the second."""
+        self.once: dict[str, int] = {}
+        self.first: list[str] = []
+        self.second: list[str] = []
 
     def _register(self, key: str) -> int:
-        """Place of a key; a key that starts with NUL is the rest of it, any other follows a space."""
-        at = self.place.setdefault(key, len(self.place))
-        if at == len(self.starts) - 1 + len(self.new):
-            self.new.append(key[1:] if key[:1] == "\0" else " " + key)
+        """Place of a key; a key that starts with NUL is the rest of it, any other follows a space.
+
+        Most pieces occur once. A piece is remembered from its second time on;
+        until then it has a place from ONCE on, for this call only.
+        """
+        at = self.place.get(key)
+        if at is None:
+            at = self.once.get(key)
+        if at is None:
+            piece = key[1:] if key[:1] == "\0" else " " + key
+            bit = hash(key) & (SEEN - 1)
+            if self.seen[bit]:
+                at = self.place[key] = len(self.place)
+                self.second.append(piece)
+            else:
+                self.seen[bit] = 1
+                self.marks += 1
+                at = self.once[key] = ONCE + len(self.first)
+                self.first.append(piece)
         return at
 
     def _places(self, text: str) -> list[int]:
@@ -102,22 +128,26 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end appended to each, and their offsets."""
-        if len(self.place) > CACHE_WORDS:
+        if len(self.place) > CACHE_WORDS or 2 * self.marks > SEEN:
             self.clear()
         split = [self._places(t) for t in texts]
-        if self.new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
+        known = len(self.starts) - 1 + len(self.second)
+        if self.first or self.second:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.second + self.first, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.new = []
+            self._begin()
         count = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter(itertools.chain.from_iterable(split), np.int64, int(count.sum()))
+        which[which >= ONCE] += known - ONCE
         lengths = self.starts[which + 1] - self.starts[which]
         to = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.ids[np.repeat(self.starts[which] - to[:-1], lengths) + np.arange(to[-1])]
         ends = to[np.cumsum(count)]
         out = np.insert(flat, ends, np.uint32(end))
+        self.starts = self.starts[: known + 1]
+        self.ids = self.ids[: self.starts[-1]]
         return out, np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
 
 
