@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[a-z]+"
 
@@ -75,8 +80,9 @@ def shingle_pairs(df: DataFrame, k: int, above: float) -> DataFrame:
     return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") > above)
 
 
-# Fixed value: the pattern that cuts text before byte-pair merges.
-PRETOKENS = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Suffixes that are pieces of their own, and what is a digit besides decimal numbers.
+CONTRACTIONS = r"'(?:s|t|re|ve|m|ll|d)"
+DIGITS = r"\p{Nd}|[\xB2\xB3\xB9\u2070\u2074-\u2079\u2080-\u2089]"
 
 
 class BytePairs:
@@ -85,30 +91,51 @@ class BytePairs:
     def __init__(self, merges: list[tuple[int, int]]):
         self.merges = merges
         self.rank = {pair: k for k, pair in enumerate(merges)}
-        self.cut = regex.compile(PRETOKENS)
         self.bytes = [bytes([b]) for b in range(256)]
         for a, b in merges:
             self.bytes.append(self.bytes[a] + self.bytes[b])
+        self.known: dict[str, list[int]] = {}
 
     @classmethod
     def from_pretokens(cls, counts: dict[str, int], merges: int) -> BytePairs:
-        """Learns merges from counted pretokens: the most frequent pair first, the smallest of ties."""
-        parts = [(list(t.encode()), n) for t, n in sorted(counts.items())]
+        """Learns merges from counted pretokens: the most frequent pair first, the smallest of ties.
+
+        Only pretokens that hold the merged pair are counted anew. Stale counts
+        stay on the heap and are passed over.
+        """
+        parts = [list(t.encode()) for t in sorted(counts)]
+        weight = [counts[t] for t in sorted(counts)]
+        total: Counter[tuple[int, int]] = Counter()
+        holders: dict[tuple[int, int], set[int]] = {}
+        for k, ids in enumerate(parts):
+            for pair in zip(ids, ids[1:], strict=False):
+                total[pair] += weight[k]
+                holders.setdefault(pair, set()).add(k)
+        heap = [(-n, pair) for pair, n in total.items()]
+        heapq.heapify(heap)
         found: list[tuple[int, int]] = []
-        for k in range(merges):
-            seen: dict[tuple[int, int], int] = {}
-            for ids, n in parts:
-                for pair in zip(ids, ids[1:], strict=False):
-                    seen[pair] = seen.get(pair, 0) + n
-            if not seen:
-                break
-            best = min(seen, key=lambda p: (-seen[p], p))
+        while heap and len(found) < merges:
+            n, best = heapq.heappop(heap)
+            if not n or total[best] != -n:
+                continue
+            moved: Counter[tuple[int, int]] = Counter()
+            for k in holders.pop(best):
+                old, new = parts[k], cls.merged(parts[k], best, 256 + len(found))
+                moved.subtract({p: c * weight[k] for p, c in Counter(zip(old, old[1:], strict=False)).items()})
+                for pair in zip(new, new[1:], strict=False):
+                    moved[pair] += weight[k]
+                    holders.setdefault(pair, set()).add(k)
+                parts[k] = new
             found.append(best)
-            parts = [(cls._merge(ids, best, 256 + k), n) for ids, n in parts]
+            for pair, change in moved.items():
+                total[pair] += change
+                if change and total[pair] > 0:
+                    heapq.heappush(heap, (-total[pair], pair))
         return cls(found)
 
     @staticmethod
-    def _merge(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
+    def merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
+        """ids with each pair replaced, from the left."""
         out: list[int] = []
         for i in ids:
             if out and (out[-1], i) == pair:
@@ -117,22 +144,124 @@ class BytePairs:
                 out.append(i)
         return out
 
+    def of_pretoken(self, piece: str) -> list[int]:
+        ids = list(piece.encode())
+        while len(ids) > 1:
+            rank = min(self.rank.get(p, len(self.merges)) for p in zip(ids, ids[1:], strict=False))
+            if rank == len(self.merges):
+                break
+            ids = self.merged(ids, self.merges[rank], 256 + rank)
+        return ids
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for piece in self.cut.findall(text):
-            ids = list(piece.encode())
-            while len(ids) > 1:
-                rank = min(self.rank.get(p, len(self.merges)) for p in zip(ids, ids[1:], strict=False))
-                if rank == len(self.merges):
-                    break
-                ids = self._merge(ids, self.merges[rank], 256 + rank)
+        for piece in pretokenize(text):
+            ids = self.known.get(piece)
+            if ids is None:
+                if len(self.known) > 100_000:
+                    self.known.clear()
+                ids = self.known[piece] = self.of_pretoken(piece)
             out += ids
         return out
 
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        return b"".join(self.bytes[i] for i in ids)
+
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+    def id_of_bytes(self, surface: bytes) -> int | None:
+        """The first id that stands for these bytes."""
+        return next((i for i, b in enumerate(self.bytes) if b == surface), None)
+
+
+_CUT = regex.compile(rf"{CONTRACTIONS}|[\s\x1C-\x1F\x85]+|\p{{L}}+|(?:{DIGITS})+|(?:(?!{DIGITS})[^\s\x1C-\x1F\x85\p{{L}}])+")
+
+
+def pretokenize(text: str) -> list[str]:
+    """Contractions and runs of blanks, letters, digits or others; a run of blanks hands its last space to the piece behind it."""
+    out, carried = [], ""
+    for run in _CUT.findall(text):
+        if run.isspace():
+            if carried:
+                out.append(carried)
+            carried = run
+            continue
+        if carried:
+            if len(carried) > 1:
+                out.append(carried[:-1])
+            if carried[-1] == " ":
+                run = " " + run
+            else:
+                out.append(carried[-1])
+            carried = ""
+        out.append(run)
+    return [*out, carried] if carried else out
 
 
 def pretoken_counts(df: DataFrame) -> DataFrame:
-    """pretoken, n over all texts; the pattern runs in the JVM."""
-    return df.select(F.explode(F.regexp_extract_all("text", F.lit(PRETOKENS), F.lit(0))).alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("n"))
+    """pretoken, n over all texts: counted in each batch before the shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for text in batch.column("text").to_pylist():
+                seen.update(pretokenize(text or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "n"])
+
+    return df.select("text").mapInArrow(run, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+
+
+def fit_byte_pairs(df: DataFrame, merges: int, least: int = 1) -> BytePairs:
+    """Pairs learned from all texts. The distinct pretokens with at least least counts come to the driver, which is where merges are learned."""
+    rows = pretoken_counts(df).where(F.col("n") >= least).toLocalIterator()
+    return BytePairs.from_pretokens({r["pretoken"]: r["n"] for r in rows}, merges)
+
+
+def encode_texts(df: DataFrame, pairs: BytePairs, name: str = "ids") -> DataFrame:
+    """All columns of df(text), and name: its ids; a null text has none."""
+    shared = df.sparkSession.sparkContext.broadcast(pairs.merges)
+    fields = [*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]
+
+    def run(batches):
+        own = BytePairs(shared.value)
+        for batch in batches:
+            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def decode_texts(df: DataFrame, pairs: BytePairs, ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """All columns of df, and name: the text of its ids, invalid bytes replaced."""
+    shared = df.sparkSession.sparkContext.broadcast(pairs.merges)
+    fields = [*df.schema.fields, T.StructField(name, T.StringType())]
+
+    def run(batches):
+        own = BytePairs(shared.value)
+        for batch in batches:
+            texts = [own.decode(x or []) for x in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def pair_counts(coded: DataFrame, weight: str) -> DataFrame:
+    """left, right, n: adjacent ids of rows (ids, weight)."""
+    pairs = F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("left"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("right"))
+    rows = coded.where(F.size("ids") > 1).select(F.explode(pairs).alias("p"), weight)
+    return rows.groupBy("p.left", "p.right").agg(F.sum(weight).alias("n"))
+
+
+def joint_text(ids: Column, offset: int, opens: int | None = None, closes: int | None = None) -> Column:
+    """Local text ids as global ones, between a pair of marks if given."""
+    moved = F.transform(ids, lambda x: x + offset)
+    return moved if opens is None else F.concat(F.array(F.lit(opens)), moved, F.array(F.lit(closes)))
+
+
+def joint_readings(channels: dict[str, int], bins: Column, bin_offset: int, missing: int, opens: int | None = None, closes: int | None = None) -> Column:
+    """A window of readings as channel and bin ids in turn; bins is an array (one per step) of arrays (one per channel), -1 where missing."""
+    names = F.array(*[F.lit(i) for i in channels.values()])
+    step = lambda row: F.flatten(F.zip_with(names, row, lambda c, b: F.array(c, F.when(b < 0, missing).otherwise(b + bin_offset))))
+    flat = F.flatten(F.transform(bins, step))
+    return flat if opens is None else F.concat(F.array(F.lit(opens)), flat, F.array(F.lit(closes)))

@@ -338,12 +338,23 @@ def window_ends(T):
     return window_index(T).select("turbine", "step", "split", "segment_id")
 
 
-@query("leakage_checks", f"WITH {WINDOWS} SELECT count(*) AS windows, 0::BIGINT AS leaking_windows, 0::BIGINT AS leaking_segments FROM we")
+LEAK = "{0} <> " + "CASE WHEN step - 23 * 3600 <= {TRAIN} THEN 'train' WHEN step - 23 * 3600 <= {VAL} THEN 'val' ELSE 'test' END OR {0} <> CASE WHEN step + 12 * 3600 <= {TRAIN} THEN 'train' WHEN step + 12 * 3600 <= {VAL} THEN 'val' ELSE 'test' END".replace("{TRAIN}", str(TRAIN)).replace("{VAL}", str(VAL))
+
+
+@query("leakage_checks", f"""WITH {WINDOWS}, nv AS (SELECT * FROM sp WHERE (step // 3600) % 6 = 0), ns AS (SELECT turbine, year, count(DISTINCT split) AS n FROM sp GROUP BY 1, 2)
+SELECT 'admitted' AS kind, count(*) AS windows, count(*) FILTER ({LEAK.format("split")}) AS leaking_windows, (SELECT count(*) FROM (SELECT turbine, year, segment_id FROM sg GROUP BY 1, 2, 3 HAVING count(DISTINCT split) > 1)) AS leaking_segments FROM we
+UNION ALL SELECT 'all', count(*), count(*) FILTER ({LEAK.format("split")}), (SELECT count(*) FROM ns WHERE n > 1) FROM nv""")
 def leakage(T):
-    w = window_index(T)
-    bad = L.leaking_windows(w, 24, 12, TRAIN, VAL, HOUR).agg(F.count("*").alias("leaking_windows"))
-    seg = L.leaking_segments(w, KEYS).agg(F.count("*").alias("leaking_segments"))
-    return w.agg(F.count("*").alias("windows")).join(F.broadcast(bad)).join(F.broadcast(seg))
+    """Windows and segments that read over a change of split: none of the admitted ones, many where nothing is cut."""
+    whole = grid(T).withColumn("split", L.time_split(F.col("step"), TRAIN, VAL)).withColumn("segment_id", F.lit(0))
+    every = whole.where(F.expr("step div 3600") % 6 == 0)
+    out = None
+    for kind, windows, rows in (("admitted", window_index(T), L.cut_segments(whole, KEYS)), ("all", every, whole)):
+        bad = L.leaking_windows(windows, 24, 12, TRAIN, VAL, HOUR).agg(F.count("*").alias("leaking_windows"))
+        seg = L.leaking_segments(rows, KEYS).agg(F.count("*").alias("leaking_segments"))
+        some = windows.agg(F.lit(kind).alias("kind"), F.count("*").alias("windows")).join(F.broadcast(bad)).join(F.broadcast(seg))
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 @query("every_kth_window", f"WITH {WINDOWS} SELECT turbine, step FROM we QUALIFY (row_number() OVER (PARTITION BY turbine, year ORDER BY step) - 1) % 4 = 0")

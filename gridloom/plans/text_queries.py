@@ -232,15 +232,25 @@ def pretokens(T):
     return x.groupBy(F.length("t").cast("long").alias("size")).agg(F.count("*").alias("n"))
 
 
-@query("bpe_round_trip")
+@query("bpe_round_trip", "SELECT item_id, text AS decoded, true AS same FROM benchmark")
 def bpe(T):
-    """Byte pairs learned from all counted pretokens of the benchmark (collected, one row per distinct one), applied to it: ids per item and round trip."""
-    counts = {r["pretoken"]: r["n"] for r in V.pretoken_counts(T("benchmark")).collect()}
-    pairs = V.BytePairs.from_pretokens(counts, 100)
-
-    def run(batches):
-        for pdf in batches:
-            ids = [pairs.encode(t) for t in pdf["text"]]
-            yield pdf.assign(tokens=[len(i) for i in ids], same=[pairs.decode(i) == t for i, t in zip(ids, pdf["text"], strict=True)])[["item_id", "tokens", "same"]]
-
-    return T("benchmark").select("item_id", "text").mapInPandas(run, "item_id long, tokens long, same boolean")
+    """Byte pairs learned from all pretokens of the benchmark, applied to it and back."""
+    b = T("benchmark").select("item_id", "text")
+    pairs = V.fit_byte_pairs(b, 300)
+    back = V.decode_texts(V.encode_texts(b, pairs), pairs)
+    return back.select("item_id", "decoded", (F.col("text") == F.col("decoded")).alias("same"))
+
+
+@query("byte_pair_counts", """WITH c AS (SELECT lang, list_transform(string_split(left(text, 300), ''), lambda v: unicode(v)) AS ids FROM documents), p AS (SELECT unnest(ids[1:-2]) AS "left", unnest(ids[2:]) AS "right" FROM c)
+SELECT "left", "right", count(*) AS n FROM p GROUP BY 1, 2""")
+def byte_pair_counts(T):
+    letters = F.transform(F.filter(F.split(F.substring("text", 1, 300), ""), lambda v: v != ""), F.ascii)
+    return V.pair_counts(T("documents").select(letters.alias("ids"), F.lit(1).alias("w")), "w")
+
+
+@query("joint_readings", """SELECT item_id, array_to_string(list_concat([9], flatten(list_transform(range(0, 1 + item_id % 3), lambda s: flatten(list_transform([[40, (item_id * 7 + s) % 5 - 1], [41, (item_id + s) % 4 - 1]], lambda p: [p[1], CASE WHEN p[2] < 0 THEN 2 ELSE p[2] + 96 END]))), ), [10]), ',') AS ids FROM benchmark""".replace(", ), [10]", "), [10]"))
+def joint_readings(T):
+    i = F.col("item_id")
+    bins = F.transform(F.sequence(F.lit(0).cast("long"), i % 3), lambda s: F.array(((i * 7 + s) % 5 - 1).cast("int"), ((i + s) % 4 - 1).cast("int")))
+    ids = V.joint_readings({"a": 40, "b": 41}, bins, 96, 2, 9, 10)
+    return T("benchmark").select("item_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))

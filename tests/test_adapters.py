@@ -129,3 +129,38 @@ def test_events_are_normalised_and_categorised(spark):
     grid = spark.createDataFrame([("t1", 600)], "turbine string, step long")
     starts = spark.createDataFrame([("t1", 1199), ("t1", 1200), ("t2", 600)], "turbine string, start long")
     assert [r["in_grid"] for r in cleaning.in_grid(starts, grid, "start").orderBy("turbine", "start").collect()] == [True, False, False]
+
+
+def test_labels_known_behind_a_watermark(spark, tmp_path):
+    from gridloom.streaming import stream
+
+    t = lambda h: datetime(2020, 1, 1) + timedelta(hours=h)
+    spark.createDataFrame([("a", t(h)) for h in range(0, 48)], "turbine string, step timestamp").coalesce(1).write.parquet(f"{tmp_path}/steps")
+    spark.createDataFrame([("a", t(5)), ("a", t(40)), ("b", t(5))], "turbine string, start timestamp").coalesce(1).write.parquet(f"{tmp_path}/starts")
+    read = lambda n, s: spark.readStream.schema(s).parquet(f"{tmp_path}/{n}")
+    out = stream.known_labels(read("steps", "turbine string, step timestamp"), read("starts", "turbine string, start timestamp"), "3 hours")
+    got = {(r["step"] - t(0)).total_seconds() / 3600: r["label"] for r in stream.run_once(out, "known").collect()}
+    assert {h for h, y in got.items() if y} == {2, 3, 4, 37, 38, 39} and all(not got[h] for h in range(5, 30)) and 46 not in got
+
+
+def test_hours_since_the_last_event_go_on_from_batch_to_batch(spark, tmp_path):
+    from gridloom.streaming import stream
+
+    t = lambda h: datetime(2020, 1, 1) + timedelta(hours=h)
+    for k, hours in enumerate(([0, 1, 2, 3], [4, 5, 30])):
+        spark.createDataFrame([("a", t(h), h in (1, 5)) for h in hours] + [("b", t(hours[0]), False)], "k string, t timestamp, e boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+    rows = spark.readStream.schema("k string, t timestamp, e boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/rows")
+    got = {(r["k"], (r["t"] - t(0)).total_seconds() / 3600): r["hours"] for r in stream.run_once(stream.hours_since_last(rows, ["k"], "t", "e", 24.0), "since").collect()}
+    assert got == {("a", 0): None, ("a", 1): 0.0, ("a", 2): 1.0, ("a", 3): 2.0, ("a", 4): 3.0, ("a", 5): 0.0, ("a", 30): 24.0, ("b", 0): None, ("b", 4): None}
+
+
+def test_stages_are_chosen_and_recorded(spark, tmp_path):
+    from gridloom.plans import stages
+
+    chain = [stages.Stage("even", lambda df: df.where("id % 2 = 0"), {"total": F.sum("id")}), stages.Stage("few", lambda df: df.where("id < 10"))]
+    out, record = stages.run(spark, spark.range(100), chain, f"file://{tmp_path}")
+    assert out.count() == 5 and record == [{"stage": "even", "rows_in": 100, "rows_out": 50, "total": 2450}, {"stage": "few", "rows_in": 50, "rows_out": 5}]
+    assert [s.name for s in stages.build(chain, "few")] == ["few"] and len(stages.build(chain)) == 2
+    with pytest.raises(ValueError, match="no stage"):
+        stages.build(chain, "none")
+    assert stages.config_hash({"b": 1, "a": [2]}) == stages.config_hash({"a": [2], "b": 1}) and len(stages.config_hash({})) == 8
