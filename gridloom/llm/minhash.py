@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import discard, materialize
 from .textcore import Words, binary_column, blocks, free_name, give_back, matrix, mix, shingle_sets, utf8
 
 BANDS, ROWS, BATCH = 32, 5, 32
@@ -172,15 +172,14 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full shingle sets."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union of their full shingle sets(doc_id, shingles)."""
 
     def run(batches):
         for batch in batches:
             x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array([similar(*s, percent) for s in zip(x, y, strict=True)], pa.bool_()))
 
-    sets = shingled(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -336,7 +335,15 @@ class Linker:
 
     def to_hubs(self, pairs: DataFrame) -> None:
         survivors = materialize(prune(pairs, self.heads, self.k, self.bounds, self.percent), "survivors")
-        self.add(verify(survivors, self.docs, self.words, self.percent))
+        sets = shingled(self.docs, survivors.select(F.explode(F.array("a", "b")).alias("doc_id")), self.words)
+        self.add(verify(survivors, sets, self.percent))
+        self.drop(survivors, sets)
+
+    @staticmethod
+    def drop(*spent: DataFrame) -> None:
+        """Deletes tables whose results are written."""
+        for df in spent:
+            discard(df)
 
     def least_hubs(self, filed: DataFrame) -> DataFrame:
         """Compares members of filed(bucket, doc_id) to the least of their bucket; returns the members of buckets of several."""
@@ -353,6 +360,7 @@ class Linker:
         hubs = hubs.select("bucket", F.col("h.doc_id").alias("hub"), F.col("h.component").alias("own"))
         met = unsettled(members, self.labels).join(hubs, "bucket").where("component <> own")
         self.to_hubs(met.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct())
+        self.drop(open_)
 
     def settle(self, members: DataFrame, side: int, long: tuple[int, int] | None) -> None:
         """Compares in cells what the hubs have left open; crowded buckets are filed again by longer bands first."""
@@ -366,6 +374,8 @@ class Linker:
         if close.limit(1).count():
             sets = shingled(self.docs, close.select("doc_id"), self.words)
             self.add(joining_links(cells(unsettled(close, self.labels), SET_SIDE), sets, self.percent))
+            self.drop(sets)
+        self.drop(close)
 
 
 def near_duplicates(
@@ -392,6 +402,7 @@ def near_duplicates(
     linker.linked_hubs(members)
     linker.settle(members, side, long)
     labels = linker.labels
+    linker.drop(heads, members)
     spread = twins.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component")
     )

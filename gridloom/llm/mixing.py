@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import materialize
+from .textcore import free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEAF = 4096
@@ -104,45 +105,35 @@ def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
     Columns are those of docs; n_chars, if there, follows a cut text. Rows that
     agree in doc_id, source and text are planned as equals, so pairing them by
-    their position among equals loses none.
+    their position among equals loses none; where no rows agree, texts are
+    shuffled once. Nulls are values like others.
     """
-    same = ["_id", "_src", "_tie"]
-    left = docs.select(
-        "*",
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_src"),
-        F.xxhash64("text").alias("_tie"),
-    )
-    left = left.withColumn("_nth", F.row_number().over(W.partitionBy(*same).orderBy(F.lit(1))))
+    key, source, tie, size, count, words_ = (free_name(docs, n) for n in ("_pid", "_psrc", "_ptie", "_size", "_taken", "_words"))
+    mine = F.xxhash64("text")
     right = plan.select(
-        F.col("doc_id").alias("_pid"),
-        F.col("source").alias("_psrc"),
-        F.col("tie").alias("_ptie"),
-        F.col("size").alias("_size"),
-        F.col("taken").alias("_taken"),
-    ).where("_taken > 0")
-    right = right.withColumn(
-        "_pnth", F.row_number().over(W.partitionBy("_pid", "_psrc", "_ptie").orderBy(F.desc("_taken")))
-    )
-    on = (
-        F.col("_id").eqNullSafe(F.col("_pid"))
-        & F.col("_src").eqNullSafe(F.col("_psrc"))
-        & (F.col("_tie") == F.col("_ptie"))
-        & (F.col("_nth") == F.col("_pnth"))
-    )
-    joined = left.join(right, on)
+        F.col("doc_id").alias(key), F.col("source").alias(source), F.col("tie").alias(tie), F.col("size").alias(size), F.col("taken").alias(count)
+    ).where(F.col(count) > 0)
+    right = materialize(right, "mix-taken")
+    on = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source)) & (mine == F.col(tie))
+    if plan.groupBy("doc_id", "source", "tie").count().where("count > 1").limit(1).count():
+        nth, other = free_name(docs, "_nth"), free_name(docs, "_pnth")
+        left = docs.withColumn(nth, F.row_number().over(W.partitionBy("doc_id", "source", mine).orderBy(F.lit(1))))
+        right = right.withColumn(other, F.row_number().over(W.partitionBy(key, source, tie).orderBy(F.desc(count))))
+        joined = left.join(right, on & (F.col(nth) == F.col(other)))
+    else:
+        joined = docs.join(right, on)
     parts = F.transform(
-        F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int")),
-        lambda i: F.least(F.col("_size"), F.col("_taken") - (i - 1) * F.col("_size")),
+        F.sequence(F.lit(1), F.ceil(F.col(count) / F.col(size)).cast("int")),
+        lambda i: F.least(F.col(size), F.col(count) - (i - 1) * F.col(size)),
     )
-    rows = joined.withColumn("_words", F.explode(parts))
+    rows = joined.withColumn(words_, F.explode(parts))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")
-    text = F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col(words_).cast("int")), "")
+    text = F.when(F.col(words_) < F.col(size), cut).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn(
-            "n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+            "n_chars", F.when(F.col(words_) < F.col(size), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         )
     return rows.select(*docs.columns)
 

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; a temporary one only where none is configured (tests)."""
+    """URI of the folder that all executors share, which the cluster names in spark.checkpoint.dir.
+
+    In local mode there is one machine, and where nothing is set, a temporary
+    folder of it is. On a cluster that is an error: each executor would write to its own disk.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: a folder that all executors share is needed")
         configured = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .textcore import blocks, mix, span_hashes, utf8
 
 SPACE = 32
+#: Sets of siblings whose mass is under e**SURE of the text's are opened only where too few others are left; that one of them had been
+#: among the best k has a chance below k * places * e**(SURE / 2), about e**-80 for a text of a million places.
 SURE = -200.0
 ALPHA = 0.3
 BLOCK = 1 << 18

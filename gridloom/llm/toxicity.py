@@ -213,8 +213,8 @@ def strongest_passages(by_word: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[float, float]:
-    """Slope and intercept by Newton steps; the base rate alone where x or y can't tell."""
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    """Slope and intercept by Newton steps; where y has one class, its share alone, and 0 without rows."""
+    rate = min(max(y.mean() if len(y) else 0.0, 1e-6), 1 - 1e-6)
     w = np.array([0.0, np.log(rate / (1 - rate))])
     if len(np.unique(y)) < 2:
         return 0.0, float(w[1])
@@ -314,7 +314,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, thr
 
     Null and empty texts have evidence 0. A null doc_id is scored and not held
     out. Repeated rows are scored each. Without labels of both classes every
-    score is the base rate. Other columns are ignored.
+    score is the share of toxic ones among them, 0 (to 1e-6) without any, so
+    that nothing is predicted toxic. Other columns are ignored.
     """
     scored = add_score(docs.select("doc_id", "text"), labels, "_t", max_docs)
     return scored.select(

@@ -467,6 +467,17 @@ def test_mix_counts_repeated_rows(spark):
     assert sum(len(r["text"].split()) for r in mixing.apply_mix(df, mixing.mix_plan(df)).collect()) == 15
 
 
+def test_mix_of_null_ids_and_clashing_columns(spark):
+    rows = [(None, "a", "x y z", 1, 9), (2, None, "p q", 2, 9), (3, "a", None, 3, 9), (2, None, "p q", 4, 9), (4, "a", " lead and trail ", 5, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, _words int, n_chars long")
+    plan = mixing.mix_plan(df)
+    mixed = mixing.apply_mix(df, plan)
+    assert mixed.columns == df.columns and plan.count() == 5
+    assert sum(len((r["text"] or "").split()) for r in mixed.collect()) == sum(r["taken"] for r in plan.collect())
+    once = df.where("_words <> 4")
+    assert sum(len((r["text"] or "").split()) for r in mixing.apply_mix(once, mixing.mix_plan(once)).collect()) == sum(r["taken"] for r in mixing.mix_plan(once).collect())
+
+
 def test_url_rules_and_parsing(spark):
     urls = ["HTTP://A.Example.COM/en/7x?q", "http://sub.example.net/de/81", "http://x.org/es", "http://x.org/es/1", "no scheme", None, "ftp://b.com:80/en/1#f", "http://com/en/2"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -688,6 +699,63 @@ def test_segmentations_decode_and_repeat(spark):
     assert texts == {9: "plain text é", 8: ""}
 
 
+def test_segmentations_of_odd_tables(spark):
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    df = spark.createDataFrame([(None, "a b", 1), (1, "word " * 120_000, 2), (2, None, 3)], "doc_id long, text string, paths int")
+    got = segment.digest(segment.sample_segmentations(df, model, with_ids=False)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_paths"], r["decodes"]) for r in got) == [(0, 2, True), (1, 2, True), (2, 0, True)]
+    assert segment.sample_segmentations(df.limit(0), model).count() == 0
+
+
+def brute_pipeline(rows, words=5):
+    """The first and third stage by plain loops, on documents that no toxicity stage drops."""
+    kept = []
+    for i, t in rows:
+        w = __import__("re").findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        repeated = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        longer = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {k + j for k in range(len(w) - 7) if longer[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        longest = max(brute_repeats(w), default=0)
+        if len(w) >= 50 and 2 * len(repeated) <= len(w) and sum(len(w[k]) for k in covered) <= 0.3 * sum(map(len, w)) and longest <= 100:
+            kept.append((i, t))
+    sets = {i: shingle_set(t, words) for i, t in kept}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label = components_of(sets, edges)
+    return [i for i, _ in kept], sorted(i for i in sets if label[i] == i)
+
+
+def test_pipeline_matches_a_plain_version_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    word = lambda: RNG.choice("abcdefgh") + str(RNG.randint(0, 60))
+    texts = []
+    for k in range(40):
+        w = [word() for _ in range(RNG.randint(40, 90))]
+        texts.append(" ".join(w))
+        if k % 4 == 0:
+            w[3] = "changed"
+            texts.append(" ".join(w))
+        if k % 7 == 0:
+            texts.append(" ".join(w + w[:30]))
+    texts += [None, "", "short", texts[0]]
+    rows = [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", None, "extra") for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _m string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    first, third = brute_pipeline([(i, t) for i, t, *_ in rows])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    judged = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in judged.collect()) == first and judged.columns == docs.columns
+    left = corpus_pipeline.STAGES[2][1](spark, corpus_pipeline.STAGES[1][1](spark, judged, str(tmp_path)), str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == third
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} <= set(third) and all(p["decodes"] for r in out for p in r["paths"])
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
