@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -32,33 +31,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import materialize, scratch_path
-from .textcore import blocks
+from .textcore import blocks, byte_set, span_hashes, utf8
 
 SKIPPABLE, SEEK_TABLE, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 17
-#: Pieces that an encoder remembers, and bytes of its table of pieces seen before.
-CACHE_WORDS, SEEN = 400_000, 1 << 22
-ONCE = 1 << 40
+#: Pieces that an encoder remembers, entries of its table of pieces seen before, pieces encoded in one string, and learned before they are sorted in.
+CACHE_WORDS, SEEN, JOINED, LEARNED = 400_000, 1 << 22, 1000, 1 << 15
 #: Encoders of this worker by tokenizer file and setting.
 _HELD: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def _edgy(piece: str) -> bool:
-    return not piece or piece[0] == "\0" or piece[0].isspace() or piece[-1].isspace()
+def blank_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte begins, and whether it ends, a character that is white space (or a separator control)."""
+    begins = byte_set(b"\t\n\v\f\r\x1c\x1d\x1e\x1f ")[data]
+    ends = begins.copy()
+    at = np.flatnonzero(data[:-1] == 0xC2)
+    at = at[(data[at + 1] == 0xA0) | (data[at + 1] == 0x85)]
+    begins[at], ends[at + 1] = True, True
+    at = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3)) if len(data) > 2 else np.zeros(0, int)
+    char = (data[at].astype(np.int64) << 16) | (data[at + 1].astype(np.int64) << 8) | data[at + 2]
+    wide = np.isin(char, [*range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080, 0xE19A80])
+    begins[at[wide]], ends[at[wide] + 2] = True, True
+    return begins, ends
 
 
 class ChunkEncoder:
-    """Encodes texts by pieces between single spaces, remembering pieces.
+    """Encodes texts by pieces between single spaces, a block at a time, remembering pieces.
 
     Byte-level BPE with a leading-space pattern never joins a visible character
-    to a following space, so a text may be cut before each single space that
-    has visible characters on both sides. Texts with other white space around
-    their spaces are cut by a pattern that finds only such places.
+    to a following space, so a text may be cut before each single space that has
+    visible characters on both sides. Pieces are known by 64-bit hashes (two
+    different ones are taken for one with a chance of 2**-64). Most occur once:
+    a piece is remembered from its second time on. Unknown pieces that begin at
+    a cut and end visibly are encoded many in one string, as they don't join, and
+    told apart by the bytes that ids stand for.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.cut = re.compile(r"(?<=\S) (?=\S)")
+        names = tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
+        for name, k in names.items():
+            self.bytes_of[k] = len(name)  # a letter of a byte-level name is a byte
+        for k, added in tokenizer.get_added_tokens_decoder().items():
+            self.bytes_of[k] = len(added.content.encode())
         self.clear()
 
     @classmethod
@@ -75,80 +91,88 @@ class ChunkEncoder:
         return _HELD[key]
 
     def clear(self):
-        self.place: dict[str, int] = {}
-        self.seen, self.marks = bytearray(SEEN), 0
+        """Remembers nothing: no hashes with the places of their ids, and no pieces seen before."""
+        self.known = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-        self._begin()
-
-    def _begin(self):
-        """Nothing new so far: pieces seen for the first time, which are not remembered, and for the second."""
-        self.once: dict[str, int] = {}
-        self.first: list[str] = []
-        self.second: list[str] = []
-
-    def _register(self, key: str) -> int:
-        """Place of a key; a key that starts with NUL is the rest of it, any other follows a space.
-
-        Most pieces occur once. A piece is remembered from its second time on;
-        until then it has a place from ONCE on, for this call only.
-        """
-        at = self.place.get(key)
-        if at is None:
-            at = self.once.get(key)
-        if at is None:
-            piece = key[1:] if key[:1] == "\0" else " " + key
-            bit = hash(key) & (SEEN - 1)
-            if self.seen[bit]:
-                at = self.place[key] = len(self.place)
-                self.second.append(piece)
-            else:
-                self.seen[bit] = 1
-                self.marks += 1
-                at = self.once[key] = ONCE + len(self.first)
-                self.first.append(piece)
-        return at
-
-    def _places(self, text: str) -> list[int]:
-        if not text:
-            return []
-        keys = text.split(" ")
-        if "\0" not in text and not _edgy(keys[0]):
-            keys[0] = "\0" + keys[0]
-            found = list(map(self.place.get, keys))
-            if None not in found:
-                return found
-            missed = [k for k, at in enumerate(found) if at is None]
-            if not any(_edgy(keys[k]) for k in missed if k):
-                for k in missed:
-                    found[k] = self._register(keys[k])
-                return found
-        first, *rest = self.cut.split(text)
-        return [self._register("\0" + first), *[self._register("\0 " + k if _edgy(k) else k) for k in rest]]
-
-    def encode(self, texts: list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, end appended to each, and their offsets."""
-        if len(self.place) > CACHE_WORDS or 2 * self.marks > SEEN:
+        self.seen = np.zeros(SEEN, bool)
+        self.learned: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _learn(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes in pieces with their ids; they are found once enough have come together to be sorted in."""
+        self.learned.append((hashes, ids, sizes))
+        if sum(len(h) for h, _, _ in self.learned) < LEARNED:
+            return
+        hashes, ids, sizes = (np.concatenate(c) for c in zip(*self.learned, strict=True))
+        self.learned = []
+        if len(self.known) + len(hashes) > CACHE_WORDS:
             self.clear()
-        split = [self._places(t) for t in texts]
-        known = len(self.starts) - 1 + len(self.second)
-        if self.first or self.second:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.second + self.first, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self._begin()
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter(itertools.chain.from_iterable(split), np.int64, int(count.sum()))
-        which[which >= ONCE] += known - ONCE
-        lengths = self.starts[which + 1] - self.starts[which]
-        to = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.ids[np.repeat(self.starts[which] - to[:-1], lengths) + np.arange(to[-1])]
-        ends = to[np.cumsum(count)]
-        out = np.insert(flat, ends, np.uint32(end))
-        self.starts = self.starts[: known + 1]
-        self.ids = self.ids[: self.starts[-1]]
-        return out, np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
+        known = np.concatenate([self.known, hashes])
+        begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.known, first = np.unique(known, return_index=True)
+        self.begin, self.size = begin[first], np.concatenate([self.size, sizes])[first]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _unknown(self, data: bytes, starts: np.ndarray, ends: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has: those that join nothing are encoded many in one string."""
+        cut = lambda which: [data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        some, rest = np.flatnonzero(~joins), np.flatnonzero(joins)
+        parts = cut(some)
+        strings = [b"".join(parts[a : a + JOINED]).decode() for a in range(0, len(parts), JOINED)]
+        pool = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]])
+        upto, stops = np.cumsum(self.bytes_of[pool]), np.cumsum(ends[some] - starts[some])
+        last = np.searchsorted(upto, stops)
+        if len(some) and (upto[-1] != stops[-1] or (upto[last] != stops).any()):
+            raise ValueError("ids don't add up to the bytes of their text: a byte-level tokenizer is needed")
+        alone = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([p.decode() for p in cut(rest)], add_special_tokens=False)]
+        sizes = np.zeros(len(starts), np.int64)
+        sizes[some], sizes[rest] = np.diff(last + 1, prepend=0), [len(x) for x in alone]
+        begin = np.zeros(len(starts), np.int64)
+        begin[some], begin[rest] = last + 1 - sizes[some], len(pool) + np.cumsum(sizes[rest]) - sizes[rest]
+        return spread_spans(np.concatenate([pool, *alone]), begin, sizes)[0], sizes
+
+    def encode(self, texts, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a list or a string column), end appended to each, and their offsets."""
+        data, offsets = utf8(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        n, docs = len(data), len(offsets) - 1
+        if not n:
+            return np.full(docs, end, np.uint32), np.arange(docs + 1)
+        begins, finishes = blank_edges(data)
+        cut = np.zeros(n, bool)
+        at = np.flatnonzero(data[1:-1] == 32) + 1
+        cut[at[~finishes[at - 1] & ~begins[at + 1]]] = True
+        edges = offsets[(offsets > 0) & (offsets < n)]
+        cut[edges], cut[edges - 1] = False, False  # the spaces at a text's ends
+        heads = np.unique(offsets[:-1][np.diff(offsets) > 0])
+        plain = cut.copy()
+        cut[heads] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], n)
+        joins = ~plain[starts] | finishes[ends - 1]
+        hashes, shown, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        hit = self.known[place] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~hit)
+        ids, sizes = self._unknown(data.tobytes(), starts[shown[new]], ends[shown[new]], joins[shown[new]])
+        begin, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        begin[hit], size[hit] = self.begin[place[hit]], self.size[place[hit]]
+        begin[new], size[new] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        flat, to = spread_spans(np.concatenate([self.ids, ids]), begin[which], size[which])
+        bits = (hashes[new] & np.uint64(SEEN - 1)).astype(np.int64)
+        again = self.seen[bits]
+        self.seen[bits] = True
+        kept = np.repeat(again, sizes)
+        self._learn(hashes[new][again], ids[kept], sizes[again])
+        if np.count_nonzero(self.seen[::64]) * 128 > SEEN:
+            self.seen[:] = False
+        stops = to[np.searchsorted(starts, offsets[1:])]
+        return np.insert(flat, stops, np.uint32(end)), np.concatenate([[0], stops + np.arange(1, docs + 1)])
+
+
+def spread_spans(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of pool one after the other, and their offsets."""
+    to = np.concatenate([[0], np.cumsum(size)])
+    return pool[np.repeat(begin - to[:-1], size) + np.arange(to[-1])], to
 
 
 class FrameWriter:
@@ -262,7 +286,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end: in
                 fs.create_dir(root)
                 out = fs.open_output_stream(own)
                 writer = FrameWriter(out, dtype)
-            ids, to = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end)
+            ids, to = encoder.encode(batch.column("text"), end)
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 writer.add(doc_id, ids[to[k] : to[k + 1]])
             total += len(ids)

@@ -610,16 +610,25 @@ def test_embeddings_under_one_id_and_of_mixed_lengths(spark):
     ]
 
 
-def test_chunk_encoder_equals_the_library():
+def test_chunk_encoder_equals_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
     encoder = tokenfiles.ChunkEncoder(tokenizer)
     texts = ["", " ", "a  b", "it's 12 34ab  !!", "<|endoftext|> x", "a<|endoftext|>b", "q <|endoftext|> r <|endoftext|>", "q \0a", "é　 x\n y"]
     texts += ["".join(RNG.choice([" ", "\n", "a", "1", "!", "'s", "\xa0", "é", "\t", "\0"]) for _ in range(RNG.randint(0, 14))) for _ in range(800)]
-    ids, to = encoder.encode(texts)
-    for k, t in enumerate(texts):
-        assert list(ids[to[k] : to[k + 1]]) == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+    texts += ["".join(RNG.choice(["on ", "the", " a", "\u2003", "\u3000", "\x85", " é", "\x1c", "\u1680x", " <|endoftext|>", "  "]) for _ in range(RNG.randint(0, 20))) for _ in range(800)]
+    for _ in range(4):  # with nothing, some and much remembered
+        RNG.shuffle(texts)
+        ids, to = encoder.encode(texts)
+        for k, t in enumerate(texts):
+            assert list(ids[to[k] : to[k + 1]]) == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+    monkeypatch.setattr(tokenfiles, "LEARNED", 50)
+    monkeypatch.setattr(tokenfiles, "CACHE_WORDS", 200)
+    for a in range(0, len(texts), 100):
+        ids, to = encoder.encode(texts[a : a + 100], 7)
+        assert all(list(ids[to[k] : to[k + 1]]) == [*tokenizer.encode(t, add_special_tokens=False).ids, 7] for k, t in enumerate(texts[a : a + 100]))
+    assert len(encoder.known) and encoder.encode([])[1].tolist() == [0] and encoder.encode(["", None])[0].tolist() == [0, 0]
 
 
 @pytest.mark.parametrize("as_text", [False, True])
