@@ -80,13 +80,11 @@ def test_byte_pairs_break_ties_by_the_smallest_pair():
     assert pairs.decode(pairs.encode("abab cd é")) == "abab cd é"
 
 
-def test_byte_pair_query_counts_rare_pretokens(spark, tmp_path):
-    from gridloom.plans import registry, text_queries  # noqa: F401
-
+def test_byte_pairs_count_rare_pretokens(spark):
     texts = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} " * 2 for k in range(2100)]
     texts += ["xy" + chr(0x4E00 + k) for k in range(3000)]
-    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["item_id"]: r["tokens"] for r in registry.QUERIES["bpe_round_trip"](spark, str(tmp_path)).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    got = {r["item_id"]: len(r["ids"]) for r in vocab.encode_texts(df, vocab.fit_byte_pairs(df, 100)).collect()}
     assert len(got) == 5100 and got[2100] < 5  # x and y are merged, in pretokens that occur once
 
 
