@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hnsw, licenses, minhash, mixing, repetition, segment, tokenfiles, toxicity, urlrules
+from . import audit, chat, hnsw, licenses, minhash, mixing, repetition, segment, tokenfiles, toxicity, urlrules
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:
     """Path of a public tokenizer's file, the same on all executors: in folder, or where its package has it."""
@@ -91,6 +91,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_conversations(chat.format_conversations(turns)))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_repetition": op2_repetition,
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_gumbel_segments": op8_gumbel_segments,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
+    "op12_filter_audit": op12_filter_audit,
     "llm_listed_urls": llm_listed_urls,
     "llm_token_order": llm_token_order,
 }
@@ -112,6 +117,7 @@ ORACLES = {
     "op4_embedding_dedup": hnsw.ORACLE,
     "op5_source_mix": mixing.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
     "llm_listed_urls": urlrules.list_oracle(),
     "llm_token_order": "SELECT doc_id, doc_id = (SELECT min(doc_id) FROM documents) AS is_first, true AS follows_another FROM documents",
 }
