@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, hnsw, licenses, minhash, mixing, repetition, segment, tokenfiles, toxicity, urlrules
+from . import audit, chat, hnsw, licenses, minhash, mixing, packing, repetition, segment, tokenfiles, toxicity, urlrules
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:
     """Path of a public tokenizer's file, the same on all executors: in folder, or where its package has it."""
@@ -91,6 +91,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_conversations(chat.format_conversations(turns)))
 
 
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json", folder)))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -106,6 +110,7 @@ QUERIES = {
     "op8_gumbel_segments": op8_gumbel_segments,
     "op9_token_files": op9_token_files,
     "op10_chat_format": op10_chat_format,
+    "op11_harmonic_packing": op11_harmonic_packing,
     "op12_filter_audit": op12_filter_audit,
     "llm_listed_urls": llm_listed_urls,
     "llm_token_order": llm_token_order,
