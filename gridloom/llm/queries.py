@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, hnsw, licenses, minhash, mixing, packing, repetition, segment, tokenfiles, toxicity, urlrules
+from . import audit, chat, hnsw, licenses, minhash, mixing, packing, repetition, segment, tokenfiles, toxicity, trie, urlrules
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:
     """Path of a public tokenizer's file, the same on all executors: in folder, or where its package has it."""
@@ -99,6 +99,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.share_beginnings(trie.number_turns(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_repetition": op2_repetition,
@@ -112,6 +116,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_harmonic_packing": op11_harmonic_packing,
     "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_trie": op13_conversation_trie,
     "llm_listed_urls": llm_listed_urls,
     "llm_token_order": llm_token_order,
 }
@@ -123,6 +128,7 @@ ORACLES = {
     "op5_source_mix": mixing.ORACLE,
     "op10_chat_format": chat.ORACLE,
     "op12_filter_audit": audit.ORACLE,
+    "op13_conversation_trie": trie.ORACLE,
     "llm_listed_urls": urlrules.list_oracle(),
     "llm_token_order": "SELECT doc_id, doc_id = (SELECT min(doc_id) FROM documents) AS is_first, true AS follows_another FROM documents",
 }
