@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import string
 from collections.abc import Iterator
 
@@ -31,22 +32,25 @@ from pyspark.sql import types as T
 
 from .scratch import materialize
 from .textcore import Words, blocks, byte_set, span_hashes, utf8
-from .tokenfiles import _HELD, JOINED, LEARNED, SEEN, ChunkEncoder, spread_spans
+from .tokenfiles import JOINED, spread_spans
 
 #: Workers whose open sequences meet in a task; share of the capacity that a class may leave free; sequences a batch.
 FAN, WASTE, BATCH = 64, 1 / 64, 256
 BLOCK = 1 << 20
 #: Bytes a core of stored documents, below which rows are dealt to all cores first.
 SMALL = 4 << 20
+#: Encoders of this worker by tokenizer file.
+_HELD: dict[str, WordEncoder] = {}
 
 
-class WordEncoder(ChunkEncoder):
-    """Encodes texts word by word, remembering words as its base remembers pieces.
+class WordEncoder:
+    """Encodes texts word by word, and remembers words by 64-bit hashes.
 
     For tokenizers that drop white space and join nothing over it, nor a letter
-    or digit and a following stop. Unknown words are encoded many in one string,
-    with a control character between them that has an id of its own; words that
-    hold this character are encoded alone.
+    or digit and a following stop. Words of letters that the tokenizer shapes
+    one by one go to its model at once; others are encoded many in one string,
+    with a control character between them that has an id of its own, or alone
+    where they hold this character.
     """
 
     MARK, ROOM = "\x01", 1_500_000
@@ -58,52 +62,63 @@ class WordEncoder(ChunkEncoder):
         if len(plain(self.MARK)) != 1 or plain(f"ab {self.MARK}\nc") != plain("ab") + plain(self.MARK) + plain("c"):
             raise ValueError("a tokenizer that drops white space is needed")
         self.mark = plain(self.MARK)[0]
+        letters = string.ascii_letters + "".join(map(chr, range(0xC0, 0x100)))
+        pieces = lambda s: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(s))]
+        shapes = {c: p[0] for c in letters if c.isalpha() and len(p := pieces(c)) == 1}
+        if pieces("".join(shapes)) != ["".join(shapes.values())]:
+            shapes = {}
+        self.shape, self.letters = str.maketrans(shapes), re.compile(f"[{''.join(shapes)}]+" if shapes else "(?!)")
         self.clear()
 
+    def clear(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.begin, self.size, self.ids, self.held = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32), 0
+
     @classmethod
     def of_worker(cls, tokenizer_file: str) -> WordEncoder:
-        key = (tokenizer_file, cls.__name__)
-        if key not in _HELD:
+        """One encoder for the life of a Python worker, so tasks find what earlier ones remembered."""
+        if tokenizer_file not in _HELD:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
             import tokenizers
 
-            _HELD[key] = cls(tokenizers.Tokenizer.from_file(tokenizer_file))
-        return _HELD[key]
+            _HELD[tokenizer_file] = cls(tokenizers.Tokenizer.from_file(tokenizer_file))
+        return _HELD[tokenizer_file]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, and how many each has."""
+        """Ids of words, and how many each has: of letters alone by the model, others by the whole tokenizer."""
         words = [data[a:b].decode(errors="replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        odd = np.array([self.MARK in w for w in words], bool)
-        some = np.flatnonzero(~odd)
+        kind = np.array([0 if self.letters.fullmatch(w) else 1 + (self.MARK in w) for w in words], np.int8)
+        easy, some, odd = (np.flatnonzero(kind == k) for k in range(3))
+        tokenize, shape = self.tokenizer.model.tokenize, self.shape
+        given = [[t.id for t in tokenize(words[i].translate(shape))] for i in easy.tolist()]
         between = f" {self.MARK} "
-        pool = np.concatenate([np.zeros(0, np.uint32), *self._ids([between.join([*(words[i] for i in some[a : a + JOINED]), ""]) for a in range(0, len(some), JOINED)])])
-        stops = np.flatnonzero(pool == self.mark)
+        joined = self._ids([between.join([*(words[i] for i in some[a : a + JOINED]), ""]) for a in range(0, len(some), JOINED)])
+        alone = self._ids([words[i] for i in odd.tolist()])
+        first = np.fromiter(itertools.chain.from_iterable(given), np.uint32)
+        pool = np.concatenate([first, *joined])
+        stops = np.flatnonzero(pool[len(first) :] == self.mark) + len(first)
         if len(stops) != len(some):
             raise ValueError("words and their ids don't match")
-        alone = self._ids([words[i] for i in np.flatnonzero(odd)])
         begin, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        begin[some] = np.concatenate([[0], stops[:-1] + 1]) if len(some) else 0
+        sizes[easy], sizes[odd] = [len(x) for x in given], [len(x) for x in alone]
+        begin[easy] = np.cumsum(sizes[easy]) - sizes[easy]
+        begin[some] = np.concatenate([[len(first)], stops[:-1] + 1]) if len(some) else 0
         sizes[some] = stops - begin[some]
-        sizes[odd] = [len(x) for x in alone]
         begin[odd] = len(pool) + np.cumsum(sizes[odd]) - sizes[odd]
         return spread_spans(np.concatenate([pool, *alone]), begin, sizes)[0], sizes
 
     def _remember(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """As its base learns, with more room."""
-        self.learned.append((hashes, ids, sizes))
-        if sum(len(h) for h, _, _ in self.learned) < LEARNED:
-            return
-        hashes, ids, sizes = (np.concatenate(c) for c in zip(*self.learned, strict=True))
-        self.learned = []
-        if len(self.known) + len(hashes) > self.ROOM:
-            self.clear()
-        begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.known, first = np.unique(np.concatenate([self.known, hashes]), return_index=True)
-        self.begin, self.size = begin[first], np.concatenate([self.size, sizes])[first]
-        self.ids = np.concatenate([self.ids, ids])
+        """Takes in words that it doesn't know, in the order of their hashes."""
+        place = np.searchsorted(self.known, hashes)
+        self.begin = np.insert(self.begin, place, self.held + np.cumsum(sizes) - sizes)
+        self.known, self.size = np.insert(self.known, place, hashes), np.insert(self.size, place, sizes)
+        if self.held + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.held], np.zeros(self.held + 2 * len(ids), np.uint32)])
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.held += len(ids)
 
     def encode(self, texts, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (a list or a string column), end appended to each, and their offsets."""
@@ -115,20 +130,17 @@ class WordEncoder(ChunkEncoder):
         stop = np.setdiff1d(stop, offsets, assume_unique=False)
         starts, ends = np.sort(np.concatenate([words.starts, stop])), np.sort(np.concatenate([words.ends, stop]))
         hashes, shown, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
-        hit = self.known[place] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        if len(self.known) > self.ROOM:
+            self.clear()
+        place = np.searchsorted(self.known, hashes)
+        inside = np.flatnonzero(place < len(self.known))
+        hit = np.zeros(len(hashes), bool)
+        hit[inside] = self.known[place[inside]] == hashes[inside]
         new = np.flatnonzero(~hit)
-        ids, sizes = self._new(data.tobytes(), starts[shown[new]], ends[shown[new]])
-        begin, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        begin[hit], size[hit] = self.begin[place[hit]], self.size[place[hit]]
-        begin[new], size[new] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
-        flat, to = spread_spans(np.concatenate([self.ids, ids]), begin[which], size[which])
-        bits = (hashes[new] & np.uint64(SEEN - 1)).astype(np.int64)
-        again = self.seen[bits]
-        self.seen[bits] = True
-        self._remember(hashes[new][again], ids[np.repeat(again, sizes)], sizes[again])
-        if np.count_nonzero(self.seen[::64]) * 128 > SEEN:
-            self.seen[:] = False
+        if len(new):
+            self._remember(hashes[new], *self._new(data.tobytes(), starts[shown[new]], ends[shown[new]]))
+        place = np.searchsorted(self.known, hashes)
+        flat, to = spread_spans(self.ids, self.begin[place][which], self.size[place][which])
         stops = to[np.searchsorted(starts, offsets[1:])]
         return np.insert(flat, stops, np.uint32(end)), np.concatenate([[0], stops + np.arange(1, docs + 1)])
 
