@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import quantiles as Q
+from .tables import written
+
 # Sizes of the blocks of ids, in order.
 BLOCKS = (("special", 32), ("channel", 64), ("bin", 1024), ("time", 64), ("text", 32768))
 
@@ -143,13 +146,75 @@ class Counted:
         after = self.values[np.searchsorted(self.upto, np.minimum(at + 1, self.n - 1), "right")]
         return here + (place - at) * (after - here)
 
-    def below(self, x: float) -> int:
-        """Rows under x."""
-        return int(self.counts[: np.searchsorted(self.values, x)].sum())
+    @property
+    def low(self) -> float:
+        return float(self.values[0])
+
+    @property
+    def high(self) -> float:
+        return float(self.values[-1])
+
+    def below(self, x: np.ndarray) -> np.ndarray:
+        """Rows under each x."""
+        return np.concatenate([[0], self.upto])[np.searchsorted(self.values, x)]
 
     def where(self, keep: np.ndarray) -> Counted:
         return Counted(self.values[keep], self.counts[keep])
 
+    def masses(self, rule: BinRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return mass_spans(self, rule)
+
+    def middle(self, masses: np.ndarray, low: float, high: float, parts: Sequence[int]) -> Counted:
+        """Rows from low to high that are no masses; parts are the numbers of parts that may be asked for."""
+        return self.where(~np.isin(self.values, masses) & (self.values >= low) & (self.values <= high))
+
+
+class Unknown(Exception):
+    """A fact about a channel that Facts doesn't have: rank, below, middle or middle rank, and for which numbers."""
+
+    def __init__(self, kind: str, at: Sequence[float]):
+        super().__init__(kind)
+        self.kind, self.at = kind, [float(x) for x in at]
+
+
+class Facts:
+    """As Counted, from single facts about a channel that never is in one place; one that is missing raises Unknown."""
+
+    def __init__(self, rows: pd.DataFrame, part: str = ""):
+        self.rows, self.part = rows, part
+        self.known = {k: dict(zip(g["at"], g["value"], strict=True)) for k, g in rows.groupby("kind")}
+        self.n = int(self.known["middle" if part else "rows"][0.0])
+        if not part:
+            self.low, self.high = self.known["low"][0.0], self.known["high"][0.0]
+
+    def _get(self, kind: str, at: np.ndarray) -> np.ndarray:
+        have = self.known.get(kind, {})
+        if missing := sorted({float(x) for x in at} - have.keys()):
+            raise Unknown(kind, missing)
+        return np.array([have[float(x)] for x in at], float)
+
+    def quantiles(self, shares: np.ndarray) -> np.ndarray:
+        place = np.asarray(shares) * (self.n - 1)
+        at = np.floor(place)
+        both = self._get(self.part + "rank", np.concatenate([at, np.minimum(at + 1, self.n - 1)]))
+        here, after = np.split(both, 2)
+        return here + (place - at) * (after - here)
+
+    def below(self, x: np.ndarray) -> np.ndarray:
+        return self._get("below", x).astype(np.int64)
+
+    def masses(self, rule: BinRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.array(sorted(self.known.get("begin", {})), float)
+        return at, self._get("begin", at), self._get("end", at)
+
+    def middle(self, masses: np.ndarray, low: float, high: float, parts: Sequence[int]) -> Facts:
+        if "middle" not in self.known:
+            raise Unknown("middle", [low, high])
+        inside = Facts(self.rows, "middle ")
+        if inside.n:
+            inside.quantiles(np.unique(np.concatenate([[0.0], *[np.arange(1, k) / k for k in parts if k > 1]])))
+        return inside
+
 
 def mass_spans(rows: Counted, rule: BinRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Heavy values, and where their bins begin and end: halfway to the neighbours, without end at the range's ends."""
@@ -177,10 +242,10 @@ def merge_outward(cuts: Sequence[float], counts: Sequence[int], floor: int) -> l
     return list(cuts[lower[0] : upper[-1] + 1]) if len(lower) and len(upper) else []
 
 
-def lay_bins(rows: Counted, rule: BinRule) -> dict:
+def lay_bins(rows: Counted | Facts, rule: BinRule) -> dict:
     """edges (both ends of the range included), reps, masses, tail_low, tail_high, and per side how many tail bins there are and were merged."""
-    low, high = float(rows.values[0]), float(rows.values[-1])
-    masses, begin, end = mass_spans(rows, rule)
+    low, high = rows.low, rows.high
+    masses, begin, end = rows.masses(rule)
     spans = np.concatenate([begin[begin > -np.inf], end[end < np.inf]])
     free = lambda cuts: cuts[~((cuts[:, None] >= begin) & (cuts[:, None] <= end)).any(axis=1)]
     inner, tails, merged = [low, high], [], [0, 0]
@@ -194,7 +259,8 @@ def lay_bins(rows: Counted, rule: BinRule) -> dict:
             cuts = free(outer + (limit - outer) * np.arange(1, rule.tail_bins + 1) / rule.tail_bins)
             # a mass beyond a cut bounds the outermost bin: no merge widens it
             bounded = [bool((spans < c).any() if side == 0 else (spans > c).any()) for c in cuts]
-            outside = [rows.n if b else rows.below(c) if side == 0 else rows.n - rows.below(c) for c, b in zip(cuts, bounded, strict=True)]
+            under = rows.below(cuts)
+            outside = [rows.n if b else int(u if side == 0 else rows.n - u) for u, b in zip(under, bounded, strict=True)]
             left = inner_cuts(cuts.tolist(), outside, least)
             merged[side] = len(cuts) - len(left)
             tails += left
@@ -202,15 +268,18 @@ def lay_bins(rows: Counted, rule: BinRule) -> dict:
     fixed = fixed[(fixed > low) & (fixed < high)]
     if len(fixed) + 1 > rule.bins:
         raise ValueError(f"{len(fixed) + 1} bins of masses and tails don't fit in {rule.bins}")
-    middle = rows.where(~np.isin(rows.values, masses) & (rows.values >= inner[0]) & (rows.values <= inner[1]))
+    special = bool(masses.size or rule.tail_bins)
+    # fewer parts than these can't fill all bins, as each fixed cut and each part's adds one at most
+    least_parts = max(2, rule.bins - len(fixed) + 1)
+    middle = rows.middle(masses, inner[0], inner[1], range(least_parts - 1, rule.bins + 1)) if special else rows
 
     def cuts_with(parts: int) -> np.ndarray:
         cuts = free(middle.quantiles(np.arange(1, parts) / parts)) if middle.n and parts > 1 else np.zeros(0)
         cuts = np.unique(np.concatenate([fixed, cuts]))
         return cuts[(cuts > low) & (cuts < high)]
 
-    if masses.size or rule.tail_bins:
-        parts = bisect.bisect_left(range(2, rule.bins + 1), True, key=lambda k: len(cuts_with(k)) >= rule.bins) + 1
+    if special:
+        parts = bisect.bisect_left(range(least_parts, rule.bins + 1), True, key=lambda k: len(cuts_with(k)) >= rule.bins) + least_parts - 1
         edges = np.concatenate([[low], cuts_with(parts), [high]])
     else:
         edges = rows.quantiles(np.arange(rule.bins + 1) / rule.bins)
@@ -228,25 +297,112 @@ BINS_SCHEMA = (
 )
 
 
-def fit_bins(values: DataFrame, rule: BinRule, sample_rows: int | None = None, seed: int = 0) -> DataFrame:
+#: Distinct values of a channel up to which one task lays its bins from all of them.
+HELD = 1 << 16
+
+
+def fit_bins(values: DataFrame, rule: BinRule, sample_rows: int | None = None, seed: int = 0, held: int = HELD) -> DataFrame:
     """channel and BINS_SCHEMA of each channel of values(channel, value); missing and non-finite values are left out.
 
-    Rows are counted per distinct value before a channel's task lays its bins,
-    so the task holds distinct values, not rows. For channels of unbounded
-    distinct values, sample_rows fits on so many rows of each, about, chosen by a hash.
+    Rows are counted per distinct value first. A channel of at most held of
+    them is laid by one task. Others never are in one place: the bins are laid
+    from single facts (values at ranks, rows below cuts), and facts that turn
+    out to be missing are found for all channels at once, in a few rounds.
+    Both ways lay the same bins. sample_rows fits on so many rows of each
+    channel, about, chosen by a hash.
     """
-    finite = values.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    rows = values.select(F.col("channel").alias("group"), "value")
     if sample_rows is not None:
-        sizes = finite.groupBy("channel").agg(F.count("*").alias("_n"))
-        place = F.pmod(F.xxhash64(*finite.columns, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
-        finite = finite.join(F.broadcast(sizes), "channel").where(place * F.col("_n") < sample_rows)
-    counted = finite.groupBy("channel", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+        sizes = rows.groupBy("group").agg(F.count("*").alias("_n"))
+        place = F.pmod(F.xxhash64("group", "value", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+        rows = rows.join(sizes, "group").where(place * F.col("_n") < sample_rows).select("group", "value")
+    counted = written(Q.count_values(rows), "counted")
+    sizes = written(Q.totals(counted), "channels")
 
     def lay(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"channel": pdf["channel"].iloc[0], **lay_bins(Counted(pdf["value"].to_numpy(), pdf["n"].to_numpy()), rule)}])
-
-    kind = values.schema["channel"].dataType.simpleString()
-    return counted.groupBy("channel").applyInPandas(lay, f"channel {kind}, {BINS_SCHEMA}")
+        return pd.DataFrame([{"channel": pdf["group"].iloc[0], **lay_bins(Counted(pdf["value"].to_numpy(), pdf["n"].to_numpy()), rule)}])
+
+    schema = f"channel {values.schema['channel'].dataType.simpleString()}, {BINS_SCHEMA}"
+    few = _of_groups(counted, sizes.where(F.col("n_values") <= held).select("group")).groupBy("group").applyInPandas(lay, schema)
+    large = sizes.where(F.col("n_values") > held)
+    if not large.limit(1).count():
+        return few
+    return few.union(_lay_by_facts(written(_of_groups(counted, large.select("group")), "counted"), large, rule, schema))
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    own = groups.select(*[F.col(c).alias(f"_{c}") for c in groups.columns])
+    return rows.join(own, F.col("group").eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def _lay_by_facts(counted: DataFrame, sizes: DataFrame, rule: BinRule, schema: str) -> DataFrame:
+    """Bins of channels too large for a task; no more facts of a channel are gathered than its rule asks for."""
+    fact = lambda kind, at, value: F.struct(F.lit(kind).alias("kind"), at.cast("double").alias("at"), value.cast("double").alias("value"))
+    zero = F.lit(0.0)
+    facts = sizes.select("group", F.inline(F.array(*[fact(c, zero, F.col(c)) for c in ("rows", "low", "high")])))
+    heavy = None
+    if rule.masses:
+        most = rule.bins // 4 if rule.most_masses is None else min(rule.most_masses, rule.bins // 4)
+        first = W.partitionBy("group").orderBy(F.desc("n"), F.desc("value"))  # at most bins values a group are heavy
+        heavy = _of_groups(counted, sizes.select("group", "rows")).where(F.col("n") * rule.bins >= F.col("_rows"))
+        heavy = written(heavy.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most).select("group", "value"), "masses")
+        facts = facts.union(_mass_facts(counted, heavy, fact))
+    facts = written(facts, "facts")
+    asked_kind = f"group {schema.split(',')[0].split(' ', 1)[1]}, kind string, at array<double>, laid struct<{BINS_SCHEMA.replace(' ', ':').replace(',:', ',')}>"
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = {"group": pdf["group"].iloc[0], "kind": "laid", "at": [], "laid": None}
+        try:
+            row["laid"] = lay_bins(Facts(pdf), rule)
+        except Unknown as missing:
+            row |= {"kind": missing.kind, "at": missing.at}
+        return pd.DataFrame([row])
+
+    middle = None
+    for _ in range(6):  # tails, rows below their cuts, size of the middle, its ranks
+        asked = written(facts.groupBy("group").applyInPandas(ask, asked_kind), "asked")
+        kinds = {r["kind"] for r in asked.select("kind").distinct().collect()}
+        if kinds <= {"laid"}:
+            return asked.select(F.col("group").alias("channel"), "laid.*")
+        of = lambda kind: asked.where(F.col("kind") == kind)  # noqa: E731, B023
+        if "rank" in kinds:
+            ranks = Q.order_statistics(counted, of("rank").select("group", F.explode("at").alias("rank")))
+            facts = facts.union(ranks.select("group", F.inline(F.array(fact("rank", F.col("rank"), F.col("value"))))))
+        if "below" in kinds:
+            cuts = written(of("below").select("group", F.array_sort("at").alias("cuts")), "cuts")
+            slots = Q.slots(counted, cuts).groupBy("group").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+            under = _of_groups(cuts, slots).select("group", "_slots", F.posexplode("cuts").alias("k", "cut"))
+            sums = F.aggregate(F.filter("_slots", lambda x: x["slot"] <= F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+            facts = facts.union(under.select("group", F.inline(F.array(fact("below", F.col("cut"), sums)))))
+        if "middle" in kinds:
+            ends = written(of("middle").select("group", F.col("at")[0].alias("lo"), F.col("at")[1].alias("hi")), "middle")
+            inside = _of_groups(counted, ends).where(F.col("value").between(F.col("_lo"), F.col("_hi"))).select("group", "value", "n")
+            if heavy is not None:
+                own = heavy.select(F.col("group").alias("_group"), F.col("value").alias("_value"))
+                inside = inside.join(own, F.col("group").eqNullSafe(F.col("_group")) & (F.col("value") == F.col("_value")), "left_anti")
+            inside = written(inside, "middle")
+            middle = inside if middle is None else middle.union(inside)
+            held = _of_groups(ends.join(inside.groupBy("group").agg(F.sum("n").alias("n")).withColumnRenamed("group", "_g"), F.col("group").eqNullSafe(F.col("_g")), "left").select("group", "n"), ends.select("group"))
+            facts = facts.union(held.select("group", F.inline(F.array(fact("middle", zero, F.coalesce("n", F.lit(0)))))))
+        if "middle rank" in kinds:
+            ranks = Q.order_statistics(middle, of("middle rank").select("group", F.explode("at").alias("rank")))
+            facts = facts.union(ranks.select("group", F.inline(F.array(fact("middle rank", F.col("rank"), F.col("value"))))))
+        facts = written(facts, "facts")
+    raise RuntimeError("facts still missing")
+
+
+def _mass_facts(counted: DataFrame, heavy: DataFrame, fact) -> DataFrame:
+    """Where the bins of heavy values begin and end: halfway to the neighbouring values, infinite at a channel's ends."""
+    cuts = written(heavy.groupBy("group").agg(F.array_sort(F.collect_list("value")).alias("cuts")), "masses")
+    own = heavy.select(F.col("group").alias("_group"), F.col("value").alias("_value"))
+    others = counted.join(own, F.col("group").eqNullSafe(F.col("_group")) & (F.col("value") == F.col("_value")), "left_anti")
+    slots = Q.slots(others, cuts).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("least", "most").alias("x")))).alias("slots"))
+    at = cuts.join(slots.withColumnRenamed("group", "_g"), F.col("group").eqNullSafe(F.col("_g")), "left").select("group", "cuts", "slots", F.posexplode("cuts").alias("k", "v"))
+    k, v, inf = F.col("k"), F.col("v"), F.lit(float("inf"))
+    before = F.coalesce(F.try_element_at("slots", k)["most"], F.when(k > 0, F.try_element_at("cuts", k)))
+    after = F.coalesce(F.try_element_at("slots", k + 1)["least"], F.try_element_at("cuts", k + 2))
+    begin, end = F.coalesce((before + v) / 2, -inf), F.coalesce((v + after) / 2, inf)
+    return at.select("group", F.inline(F.array(fact("begin", v, begin), fact("end", v, end))))
 
 
 def clamped_bin(x: Column, edges: Column) -> Column:

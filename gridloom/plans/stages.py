@@ -15,6 +15,7 @@ from ..operators import pages as P
 from ..operators import splits as L
 from ..operators import telemetry as M
 from ..operators import text as X
+from ..operators.tables import new_folder
 from .registry import HOUR, READ, query, readings
 from .text_queries import CLEAN, FRACTIONS, HASH, MASK, REASON, SPLIT, documents
 
@@ -120,10 +121,7 @@ def telemetry_stages(train_until: int, val_until: int, step: int = HOUR) -> list
 
 def _folder(T, name: str) -> tuple[SparkSession, str]:
     spark = T("region").sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    import uuid
-
-    return spark, f"{base.rstrip('/')}/gridloom/stages-{name}-{uuid.uuid4().hex}"
+    return spark, new_folder(spark, f"stages-{name}")
 
 
 TEXT = f"""c AS (SELECT doc_id, source, text FROM (SELECT doc_id, source, {CLEAN} AS text FROM documents) WHERE text <> ''), k AS (SELECT * FROM c WHERE ({REASON}) IS NULL), u AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY {HASH} ORDER BY doc_id) = 1)"""
