@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coverage as C
+from ..operators import merges as MG
 from ..operators import pages as P
 from ..operators import vocab as V
 from .registry import query
@@ -111,3 +112,26 @@ SELECT "column", count(v) AS filled, round(avg(length(v)), 6) AS mean_chars, rou
 def column_profiles(T):
     x = P.column_profiles(T("pages"), ["url", "html"])
     return x.withColumn("mean_chars", F.round("mean_chars", 6)).withColumn("distinct_share", F.round("distinct_share", 9))
+
+
+def merges_sql(merges: int) -> str:
+    """Byte pairs of the words of documents, one merge after the other; a word is a string of its ids in brackets."""
+    chars = "list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: '<' || ('0x' || x)::INT || '>')"
+    steps = [f"s0 AS MATERIALIZED (SELECT array_to_string({chars}, '') AS s, n FROM w)"]
+    for k in range(merges):
+        ids = f"(SELECT regexp_extract_all(s, '[0-9]+') AS i, n FROM s{k})"
+        steps.append(
+            f"b{k} AS MATERIALIZED (SELECT l, r, sum(n) AS c FROM (SELECT unnest(i[1:-2])::INT AS l, unnest(i[2:])::INT AS r, n FROM {ids} WHERE len(i) > 1) GROUP BY l, r ORDER BY c DESC, l, r LIMIT 1)"
+        )
+        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT replace(s, (SELECT '<' || l || '><' || r || '>' FROM b{k}), '<{256 + k}>') AS s, n FROM s{k})")
+    out = " UNION ALL ".join(f'SELECT {k} AS rank, l AS "left", r AS "right" FROM b{k}' for k in range(merges))
+    return f"WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1), {', '.join(steps)} {out}"
+
+
+@query("byte_pair_merges", merges_sql(20))
+def byte_pair_merges(T):
+    """The first twenty byte pairs of all words of all documents, learned in rounds over a table."""
+    docs = T("documents")
+    words = docs.select(F.explode(F.split("text", " ")).alias("pretoken")).where("pretoken <> ''").groupBy("pretoken").agg(F.count("*").alias("n"))
+    found = [(k, a, b) for k, (a, b) in enumerate(MG.learn_merges(words, 20))]
+    return docs.sparkSession.createDataFrame(found, "rank int, left int, right int")
