@@ -1,7 +1,7 @@
 """Statistics over scored rows: ranking, calibration, risk-coverage, resampling.
 
-Ranks over a whole table are made from counts per distinct score, so the window
-runs over distinct scores, not rows, and a key is used wherever one is given.
+Thresholds are made from counts per distinct score; orders of rows, with their
+ties, from leaves of at most so many rows (ranks). A key is used wherever one is given.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid, softplus
+from . import ranks
 
 
 def _down(by: Sequence[str]):
@@ -52,18 +53,19 @@ def expected_calibration_error(table: DataFrame, by: Sequence[str] = ()) -> Data
     return table.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n")).alias("ece"))
 
 
-def equal_mass_table(df: DataFrame, bins: int, by: Sequence[str], tie: str) -> DataFrame:
+def equal_mass_table(df: DataFrame, bins: int, by: Sequence[str], tie: str, leaf: int = ranks.LEAF) -> DataFrame:
     """The same table over bins of equal counts, larger bins first, ties in the order of tie."""
-    place = F.ntile(bins).over(W.partitionBy(*by).orderBy("p", tie))
-    return df.withColumn("bin", place).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("label").cast("double")).alias("mean_y"))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    placed = ranks.running(df.select(*by, "p", tie, "label"), by, "p", tie, leaf=leaf)
+    placed = placed.join(sizes, list(by)) if by else placed.crossJoin(F.broadcast(sizes))  # one row
+    placed = placed.withColumn("bin", ranks.part_of(F.col("rank"), F.col("_n"), bins))
+    return placed.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("label").cast("double")).alias("mean_y"))
 
 
-def risk_coverage(df: DataFrame, by: Sequence[str], tie: str) -> DataFrame:
+def risk_coverage(df: DataFrame, by: Sequence[str], tie: str, leaf: int = ranks.LEAF) -> DataFrame:
     """df with rank and risk: the error rate of the rows admitted so far, most confident first."""
-    w = W.partitionBy(*by).orderBy(F.desc("confidence"), tie)
-    so_far = F.sum(F.col("error").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    rank = F.row_number().over(w)
-    return df.withColumn("rank", rank).withColumn("risk", so_far / rank)
+    placed = ranks.running(df, by, "confidence", tie, {"_errors": F.col("error").cast("long")}, descending=True, leaf=leaf)
+    return placed.withColumn("risk", F.col("_errors") / F.col("rank")).drop("_errors")
 
 
 def aurc(df: DataFrame, by: Sequence[str], tie: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import metrics as K
+from ..operators import replicates as R
 from .registry import query
 
 SC = """sc AS (SELECT l.doc_id, d.lang, d.source, l.quality AS label, round((d.n_chars % 997) / 997.0 * 0.8 + l.quality * 0.15, 2) AS score FROM labels l JOIN documents d USING (doc_id)),
@@ -178,3 +179,27 @@ def shift(T):
 @query("prior_correction", f"WITH {SC} SELECT doc_id, round(1 / (1 + exp(-(logit + ln(0.1 / 0.9)))), 9) AS p FROM lg")
 def prior(T):
     return scored(T).select("doc_id", F.round(S.sigmoid(F.col("logit") + S.prior_correction(0.5, 0.1)), 9).alias("p"))
+
+
+UNSURE = "us AS (SELECT doc_id % 20 AS block, score AS p, round(abs(score - 0.37), 2) AS u, label FROM sc)"
+
+
+@query("replicate_statistics", f"""WITH {SC}, {DRAWS}, {UNSURE}, el AS (SELECT *, ((p >= 0.5)::INT <> label)::INT AS e, abs(p - 0.5) AS m FROM us),
+ro AS (SELECT replicate, times, p, u, label, e, m FROM el JOIN dr USING (block)),
+tt AS (SELECT replicate, sum(times) AS n, sum(times * label) AS pos, sum(times * p) AS sp, sum(times * e) AS err, sum(times) FILTER (u <= 0.2) AS c, sum(times * e) FILTER (u <= 0.2) AS ce, sum(times) FILTER (m >= 0.15) AS s, sum(times * e) FILTER (m >= 0.15) AS se FROM ro GROUP BY 1),
+lo AS (SELECT replicate, 'p' AS kind, p AS v, times AS n, times * label AS k FROM ro UNION ALL SELECT replicate, 'u', u, times, times * e FROM ro UNION ALL SELECT replicate, 'm', -m, times, times * e FROM ro),
+va AS (SELECT replicate, kind, v, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM lo GROUP BY ALL),
+cu AS (SELECT *, (sum(n) OVER w)::BIGINT AS cn, (sum(k) OVER w)::BIGINT AS ck FROM va WINDOW w AS (PARTITION BY replicate, kind ORDER BY v)),
+hn AS (SELECT 0::BIGINT AS i, 0::DOUBLE AS h UNION ALL SELECT i, sum(1.0::DOUBLE / i) OVER (ORDER BY i) FROM (SELECT unnest(generate_series(1, (SELECT max(n)::BIGINT + 1 FROM tt))) AS i)),
+hs AS (SELECT i, h, coalesce(sum(h) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM hn),
+ar AS (SELECT replicate, kind, sum(k::DOUBLE / cu.n * (cu.n * hh.h - (b.s - a.s)) / tt.n) AS area, sum(k * (pos - ck + k)::DOUBLE / (tt.n - cn + cu.n)) AS ap FROM cu JOIN tt USING (replicate) JOIN hs a ON a.i = cn - cu.n JOIN hs b ON b.i = cn JOIN hs hh ON hh.i = tt.n GROUP BY ALL),
+bn AS (SELECT replicate, n, unnest([1, 2, 3, 4, 5]) AS j FROM tt), bb AS (SELECT replicate, j, (j - 1) * (n // 5) + least(j - 1, n % 5) AS lo, j * (n // 5) + least(j, n % 5) AS hi FROM bn),
+ec AS (SELECT replicate, sum(gap) AS ece FROM (SELECT replicate, j, abs(sum((least(cn, hi) - greatest(cn - n, lo)) * (v - k::DOUBLE / n))) AS gap FROM cu JOIN bb USING (replicate) WHERE kind = 'p' AND least(cn, hi) > greatest(cn - n, lo) GROUP BY ALL) GROUP BY 1),
+al AS (SELECT tt.*, ece, x.ap, y.area AS au, z.area AS am FROM tt LEFT JOIN ec USING (replicate) LEFT JOIN ar x ON x.replicate = tt.replicate AND x.kind = 'p' LEFT JOIN ar y ON y.replicate = tt.replicate AND y.kind = 'u' LEFT JOIN ar z ON z.replicate = tt.replicate AND z.kind = 'm'),
+st AS (SELECT replicate, pos, unnest([{{'s': 'base_rate', 'v': pos / n}}, {{'s': 'mean_p', 'v': sp / n}}, {{'s': 'ece', 'v': ece / n}}, {{'s': 'auprc', 'v': ap / pos}}, {{'s': 'error_rate', 'v': err / n}}, {{'s': 'coverage', 'v': coalesce(c, 0) / n}}, {{'s': 'risk', 'v': ce / c}},
+ {{'s': 'aurc', 'v': au}}, {{'s': 'margin_coverage', 'v': coalesce(s, 0) / n}}, {{'s': 'margin_risk', 'v': se / s}}, {{'s': 'margin_aurc', 'v': am}}]) AS x FROM al)
+SELECT replicate, x.s AS statistic, CASE WHEN pos > 0 THEN round(x.v, 10) END AS value FROM st""")
+def replicate_statistics(T):
+    """Eleven statistics on each of fifty block bootstrap replicates."""
+    x = scored(T).select((F.col("doc_id") % 20).alias("block"), F.col("score").alias("p"), F.round(F.abs(F.col("score") - 0.37), 2).alias("u"), "label")
+    return R.replicate_statistics(x, 50, 5, 5, 0.5, 0.2, 0.15).withColumn("value", F.round("value", 10))
