@@ -19,6 +19,25 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.withColumn("_h", hash_order(seed, F.col(key))).orderBy("_h", key).limit(n).drop("_h")
 
 
+def bottom_k(df: DataFrame, by: list[str], key: str, k: int, seed: int, weight: str | None = None) -> DataFrame:
+    """k rows of each group of by (all of a smaller one), without replacement, whatever the partitioning.
+
+    Rows stand by a keyed hash, or with weight by an exponential of it over the
+    weight, so a row is drawn first with a chance in proportion; rows without a
+    positive weight are never drawn. Tasks keep k rows a group before the
+    shuffle, so a group is never gathered. Ties of the hash go by key.
+    """
+    h = hash_order(seed, F.col(key))
+    order = h
+    if weight is not None:
+        df = df.where(F.col(weight) > 0)
+        uniform = (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+        order = -F.log(uniform) / F.col(weight)
+    rows = df.withColumn("_h", order)
+    n = F.row_number().over(W.partitionBy(*by).orderBy("_h", key))
+    return rows.withColumn("_n", n).where(F.col("_n") <= k).drop("_h", "_n")
+
+
 def balanced_batches(df: DataFrame, key: str, label: str, positives: int, size: int, seed: int) -> DataFrame:
     """Adds batch: each holds exactly so many positives, and negatives up to size; rows that fill no whole batch go.
 

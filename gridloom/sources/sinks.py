@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -72,3 +74,64 @@ def write_trace(trace: DataFrame, path: str, decimals: dict[str, int]) -> None:
 def read_trace(spark, path: str, schema: str) -> DataFrame:
     """A written trace with typed columns; blanks are null."""
     return spark.read.option("header", True).schema(schema).csv(path)
+
+
+MARKER = "COMMITTED"
+
+
+def _content(df: DataFrame) -> str:
+    """Rows and an order-free digest of them."""
+    hashed = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}))
+    row = df.agg(F.count("*"), F.sum(hashed.cast("decimal(38,0)")), F.bit_xor(hashed)).first()
+    return f"{row[0]}:{row[1]}:{row[2]}"
+
+
+def write_once(df: DataFrame, path: str) -> bool:
+    """Writes a table that is never changed again; False if it was there with the same rows, an error if with others.
+
+    Rows go to a folder of their own, whose name and digest a marker file
+    commits. The marker comes into being whole and at most once: by a hard link
+    on a local file system, elsewhere by a rename, which Hadoop's file systems
+    refuse where the target exists (an object store needs a file system that
+    does so too). Of writers at the same time one commits; the others compare.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    name = f"rows-{uuid.uuid4().hex}"
+    own = f"{path.rstrip('/')}/{name}"
+    df.write.parquet(own)
+    told = f"{name} {_content(spark.read.parquet(own))}"
+    new_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = new_path(path).getFileSystem(conf)
+    draft, marker = new_path(f"{own}/_marker"), new_path(f"{path.rstrip('/')}/{MARKER}")
+    out = fs.create(draft)
+    out.write(told.encode())
+    out.close()
+    if fs.getUri().getScheme() == "file":
+        place = lambda p: jvm.java.nio.file.Paths.get(jvm.java.net.URI(f"file://{p.toUri().getPath()}"))
+        try:
+            jvm.java.nio.file.Files.createLink(place(marker), place(draft))
+            committed = True
+        except Exception as refused:
+            if "FileAlreadyExists" not in str(refused):
+                raise
+            committed = False
+    else:
+        committed = not fs.exists(marker) and fs.rename(draft, marker)
+    if committed:
+        return True
+    held = committed_marker(spark, path)
+    fs.delete(new_path(own), True)
+    if held.split(" ", 1)[1] != told.split(" ", 1)[1]:
+        raise ValueError(f"{path} is committed with other rows")
+    return False
+
+
+def committed_marker(spark: SparkSession, path: str) -> str:
+    rows = spark.read.text(f"{path.rstrip('/')}/{MARKER}").collect()  # one line
+    return rows[0]["value"]
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    """The committed rows of a table of write_once(); an error if none are."""
+    return spark.read.parquet(f"{path.rstrip('/')}/{committed_marker(spark, path).split(' ', 1)[0]}")
