@@ -5,7 +5,8 @@ r"""Chat formatting with a grammar that reads its own output back.
                   | "### " role "\: " body " </turn>" "\n"     escaped
 
 A turn is written verbatim if parsing it alone gives the same role and text
-back, and escaped otherwise. Escaping maps `\` to `\\`, `<` to `\l`, `#` to
+back and neither holds a control string (`</turn>`, or `### ` at a line's start),
+and escaped otherwise. Escaping maps `\` to `\\`, `<` to `\l`, `#` to
 `\h`, `:` to `\c` and line feed to `\n` in both role and text, so an escaped
 turn holds none of the marks. The loss mask is a list of spans of code points of
 the formatted text: the bodies of the assistant's turns. What it covers is read
@@ -43,6 +44,10 @@ def unescape(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, r"\\\\"), part), "\\")
 
 
+def holds_control(c: Column) -> Column:
+    return F.contains(c, F.lit(CLOSE.strip())) | F.rlike(c, F.lit(r"(^|\n)### "))
+
+
 def render(role: Column, text: Column, escaped: bool) -> Column:
     if escaped:
         return F.concat(F.lit(OPEN), escape(role), F.lit("\\: "), escape(text), F.lit(CLOSE))
@@ -99,6 +104,8 @@ def format_conversations(turns: DataFrame, trained: str = "assistant") -> DataFr
         & back[0]["ok"]
         & (back[0]["role"] == F.col("role"))
         & (back[0]["text"] == F.col("text"))
+        & ~holds_control(F.col("text"))
+        & ~holds_control(F.col("role"))
     )
     rendered = clean.withColumn("line", F.when(faithful, plain).otherwise(render(F.col("role"), F.col("text"), escaped=True)))
     body = F.when(faithful, F.col("text")).otherwise(escape(F.col("text")))
@@ -159,7 +166,7 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 e AS (
-  SELECT *, contains(role, ': ') OR ends_with(role, '\') OR contains(role || ': ' || text, E' </turn>\n')
+  SELECT *, contains(text, '</turn>') OR contains(role, '</turn>') OR regexp_matches(text, '(^|\n)### ') OR regexp_matches(role, '(^|\n)### ') OR contains(role, ': ') OR ends_with(role, '\') OR contains(role || ': ' || text, E' </turn>\n')
             OR contains(text || E' </turn>\n', E' </turn>\n </turn>\n') AS risky,
          replace(replace(replace(replace(replace(text, '\', '\\'), '<', '\l'), '#', '\h'), ':', '\c'), E'\n', '\n') AS etext,
          replace(replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '#', '\h'), ':', '\c'), E'\n', '\n') AS erole

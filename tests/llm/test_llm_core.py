@@ -553,6 +553,7 @@ def test_chat_round_trip_of_conflicting_turns(spark):
     for r in chat.format_conversations(df).collect():
         said = [x[3] or "" for x in rows if x[0] == r["conv_id"] and x[2] == "assistant"]
         cut = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        assert not any("</turn>" in c or c.startswith("### ") or "\n### " in c for c in cut)
         assert len(cut) == len(said) and all(c == t or c == t.replace("\\", "\\\\").replace("<", "\\l").replace("#", "\\h").replace(":", "\\c").replace("\n", "\\n") for c, t in zip(cut, said, strict=True))
 
 
