@@ -368,27 +368,25 @@ def test_license_lines_and_inheritance(spark):
     assert got[4] == (None, None) and got[5] == (None, None) and got[8] == (None, None)
 
 
-def brute_licenses(rows, templates, threshold=0.6):
-    """Every stretch of every text against every template: the best licence, and whether the whole text is close."""
+def brute_licenses(rows, notices, texts, threshold=0.6):
+    """Every stretch of every text against every notice, and every whole text against every licence text: the best licence and its basis."""
     terms = {i: licenses.template_terms(t or "") for i, _, t in rows}
-    known = {t for _, text in templates for t in licenses.template_terms(text)}
-    idf = {t: licenses.smoothed_idf(len(rows), sum(t in set(w) for w in terms.values())) for t in known}
-    weigh = lambda w: {t: n * idf.get(t, licenses.smoothed_idf(len(rows), 0)) for t, n in Counter(w).items()}
+    share = Counter(t for w in terms.values() for t in set(w))
+    weigh = lambda w: {t: (1 + math.log(n)) * licenses.term_weight(share[t] / len(rows)) for t, n in Counter(w).items()}
 
     def cos(a, b):
         norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-        return sum(x * b.get(t, 0) for t, x in a.items()) / norm if norm else 0
+        return round(sum(x * b.get(t, 0) for t, x in a.items()) / norm, 9) if norm else 0
 
+    notices = [(name, licenses.template_terms(t)) for name, t in notices]
+    texts = [(name, weigh(licenses.template_terms(t))) for name, t in texts]
+    vectors = [weigh(t) for _, t in notices]
     out = {}
     for i, w in terms.items():
-        tried = []
-        for name, text in templates:
-            want = licenses.template_terms(text)
-            vector = weigh(want)
-            tried += [(-round(cos(weigh(w[k : k + len(want)]), vector), 9), name) for k in range(len(w))]
-        whole = min(((-round(cos(weigh(w), weigh(licenses.template_terms(text))), 9), name) for name, text in templates), default=None)
+        tried = [(-cos(weigh(w[k : k + len(t)]), v), name) for (name, t), v in zip(notices, vectors, strict=True) for k in range(len(w))]
         best = min(tried, default=(0, None))
-        out[i] = (whole[1], "file") if w and whole[0] <= -threshold and best[0] <= -threshold else (best[1], "header") if best[0] <= -threshold else (None, None)
+        whole = min(((-cos(weigh(w), v), name) for name, v in texts), default=(0, None))
+        out[i] = (whole[1], "file") if whole[0] <= -threshold else (best[1], "header") if best[0] <= -threshold else (None, None)
     return out
 
 
@@ -408,16 +406,49 @@ def test_wrapped_commented_and_whole_licences_match_all_stretches(spark):
         (7, None, ""), (8, None, None), (9, None, "redistribution and use in source"),
     ] + [(20 + k, None, filler(60)) for k in range(10)]
     got = {r["doc_id"]: (r["license"], r["basis"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
-    want = brute_licenses(rows, licenses.TEMPLATES)
+    want = brute_licenses(rows, licenses.TEMPLATES, licenses.license_texts())
     assert len(text) and got == want and [want[k] for k in (1, 2, 3, 4)] == [("MIT", "file"), ("GPL-3.0", "header"), ("Apache-2.0", "header"), ("Apache-2.0", "header")]
 
 
+def test_whole_licences_keep_their_names_and_license_their_directories(spark):
+    words = [f"word{k}" for k in range(400)]
+    filler = lambda n: " ".join(RNG.choice(words) for _ in range(n))
+    texts = licenses.license_texts()
+    rows = [(k, f"p{k}/{'LICENSE' if k % 2 else 'notes'}", "Copyright 2020 Some One\n\n" + t) for k, (_, t) in enumerate(texts)]
+    mit = next(t for n, t in texts if n == "MIT")
+    weak = " ".join(w for w in mit.split() if licenses.template_terms(w) and licenses.template_terms(w)[0] not in {"mit", "permission", "hereby", "granted", "charge", "sublicense", "noninfringement"})
+    rows += [(100 + k, f"p{k}/src/a.c", filler(30)) for k in range(len(texts))] + [(200, "q/terms.txt", weak), (201, "q/a.c", filler(9)), (202, "r/x", "Released under the MIT License"), (203, "r/y", filler(5))]
+    rows += [(300 + k, None, filler(80)) for k in range(60)]
+    got = {r["doc_id"]: (r["license"], r["basis"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, (name, _) in enumerate(texts):
+        assert got[k] == (name, "file") and got[100 + k] == (name, "inherited"), name
+    assert got[200] == ("MIT", "file") and got[201] == ("MIT", "inherited")
+    assert got[202] == ("MIT", "header") and got[203] == (None, None)  # a line is no licence file
+    assert all(got[300 + k] == (None, None) for k in range(60))
+
+
+def test_verdicts_of_a_line_are_the_same_at_every_size():
+    line = licenses.template_terms("Licensed under CC BY-NC 4.0 by the author and editors of this work")
+    common = {"under": 0.02, "by": 0.4, "the": 0.9, "and": 0.85, "of": 0.9, "this": 0.5, "author": 0.001, "licensed": 0.01, "cc": 0.004, "nc": 0.003, "4": 0.05, "0": 0.08}
+    told = []
+    for n in (10_000, 10_000_000, 10**9):
+        weights = {t: 1 - math.log(round(n * p) / n) for t, p in common.items()}
+        template = licenses.Template.of("x", "Licensed under CC BY-NC 4.0", weights, False)
+        mine = {t: (1 + math.log(c)) * weights.get(t, licenses.term_weight(0.0)) for t, c in Counter(line).items()}
+        told.append(sum(x * template.unit.get(t, 0) for t, x in mine.items()) / math.sqrt(sum(x * x for x in mine.values())))
+    assert max(told) - min(told) < 1e-6
+
+
 def test_licenses_of_odd_tables(spark):
     schema = "doc_id long, path string, text string, terms int"
     notice = "Released under the MIT License."
-    rows = [(1, "a/x", notice, 1), (1, "a/x", notice, 1), (2, "a/y", "nothing", 2), (None, "a/z", notice, 3), (3, "b/x", "Licensed under CC BY 4.0", 4), (4, "b/w", "Licensed under CC BY-SA 4.0", 5), (5, "b/c/d", None, 6)]
+    rows = [
+        (1, "a/LICENSE", notice, 1), (1, "a/LICENSE", notice, 1), (2, "a/y", "nothing", 2), (None, "a/z", notice, 3), (3, "b/copying.txt", "Licensed under CC BY 4.0", 4), (4, "b/w", "Licensed under CC BY-SA 4.0", 5),
+        (5, "b/c/d", None, 6), (6, "c/license", "no licence is named here", 7), (7, "c/x", "", 8), (8, None, "word " * 300_000 + notice, 9),
+    ]
     got = sorted(((r["doc_id"], r["license"], r["basis"]) for r in licenses.scan(spark.createDataFrame(rows, schema)).collect()), key=str)
-    assert got == sorted([(1, "MIT", "file")] * 2 + [(2, "MIT", "inherited"), (None, "MIT", "inherited"), (3, "CC-BY-4.0", "file"), (4, "CC-BY-SA-4.0", "file"), (5, "CC-BY-4.0", "inherited")], key=str)
+    want = [(1, "MIT", "file")] * 2 + [(2, "MIT", "inherited"), (None, "MIT", "inherited"), (3, "CC-BY-4.0", "file"), (4, "CC-BY-SA-4.0", "header"), (5, "CC-BY-4.0", "inherited"), (6, None, None), (7, None, None), (8, "MIT", "header")]
+    assert got == sorted(want, key=str)
     assert licenses.scan(spark.createDataFrame([], schema)).count() == 0
 
 
