@@ -813,3 +813,37 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert sorted(r["doc_id"] for r in docs.collect()) == list(range(80))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} <= set(range(80)) and all(len(r["paths"]) == 2 for r in out)
+
+
+def test_audits_have_links_and_widen_the_beam():
+    rng = np.random.default_rng(4)
+    apart = rng.normal(size=(500, 24)).astype(np.float32)  # none of them are linked
+    graph = hnsw.Graph.loads(hnsw.Graph(np.arange(500) * 7919, np.ones(500, np.int64), apart).dumps())
+    queries = hnsw.Queries(np.arange(500) * 7919, apart)
+    found = graph.audited_links(queries, 0.9, 8, 16, 0.999)
+    assert found.count.sum() == 0 and found.audit[0] >= 16 and found.audit[1] >= 0.999 * found.audit[0]
+    sure = graph.planted(16, 0.9)
+    row, place = graph.exact(sure, 0.9)
+    assert set(row.tolist()) == set(range(16)) and not set(sure.ids.tolist()) & set(graph.ids.tolist())
+    # a beam of one loses links of scattered pairs; the audit must notice and widen it
+    base = rng.normal(size=(1000, 24))
+    pairs = np.concatenate([base, base + 0.1 * rng.normal(size=base.shape)]).astype(np.float32)
+    ids = np.arange(len(pairs)) * 104729
+    graph, queries = hnsw.Graph.loads(hnsw.Graph(ids, np.ones(len(ids), np.int64), pairs).dumps()), hnsw.Queries(ids, pairs)
+    truth = len(graph.exact(queries, 0.9)[0])
+    narrow = sum(len(r) for r, _ in graph.links(queries, 0.9, 1))
+    wide = graph.audited_links(queries, 0.9, 1, 500, 0.999)
+    assert narrow < 0.99 * truth < 0.995 * truth <= wide.count.sum() and wide.audit[1] >= 0.999 * wide.audit[0]
+    one = hnsw.Graph.loads(hnsw.Graph(np.array([5]), np.ones(1, np.int64), np.ones((1, 1), np.float32)).dumps())
+    assert one.audited_links(hnsw.Queries(np.array([5]), np.ones((1, 1), np.float32)), 0.9, 4, 8, 0.999).audit.tolist() == [1, 1]
+
+
+@pytest.mark.parametrize("links", [0, 40])
+def test_recall_is_measured_with_and_without_links(spark, links):
+    rng = np.random.default_rng(links)
+    vectors = rng.normal(size=(1500, 24))
+    copies = vectors[:links] + 0.02 * rng.normal(size=(links, 24))
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(np.concatenate([vectors, copies]))], "vec_id long, embedding array<double>")
+    got = hnsw.link_embeddings(df, with_recall=True, shards=3).collect()
+    assert {r["audit_recall"] is not None and r["audit_recall"] >= 0.999 for r in got} == {True}
+    assert sum(r["n_links"] for r in got) == 2 * links
