@@ -21,6 +21,10 @@ insulting passage isn't outvoted by the rest. A logistic curve, fitted on
 training rows that the counts have not seen, maps the signed root of the
 evidence to a score.
 
+A model of at most MOST_GRAMS grams is broadcast to the workers. Larger ones
+stay a table: the different words of the texts are joined to their grams, and
+texts to their words, with the same result.
+
 The counts of a class are those of all its labelled rows but the held-out ones
 and the curve's, the continuation counts those of all texts; both are
 aggregates of the executors. Only the curve is fitted on a bounded sample: of
@@ -194,10 +198,15 @@ class KneserNey:
         ratio = self.ratio[at]
         new = np.flatnonzero(at == len(self.keys))
         ratio[new] = self.context_ratio[_lookup(self.contexts, keys[new] >> np.uint64(8))]
-        by_word = np.log1p(INSULTS * np.expm1(np.minimum(np.add.reduceat(ratio, bounds[:-1]), 500)))[place]
+        by_word = _word_value(np.add.reduceat(ratio, bounds[:-1]))[place]
         return strongest_passages(by_word, words.first)
 
 
+def _word_value(ratio: np.ndarray) -> np.ndarray:
+    """What a word with that log ratio adds to a toxic text's evidence."""
+    return np.log1p(INSULTS * np.expm1(np.minimum(ratio, 500)))
+
+
 def strongest_passages(by_word: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Signed root of PASSAGE times the greatest mean of PASSAGE adjacent words of each text, of all words of a shorter one; 0 without words."""
     sums = np.append(0.0, np.cumsum(by_word))
@@ -266,14 +275,70 @@ def one_of_each(texts: DataFrame, counted: DataFrame) -> DataFrame:
     return rows.select("toxic", "text")
 
 
+def _word_rows(batches):
+    """row, word, places: the different words of each text, and where it has them."""
+    for part in blocks(batches):
+        words, place, shown = _distinct_words(*utf8(part.column("text")))
+        rows = np.repeat(np.arange(part.num_rows), np.diff(words.first))
+        at = np.arange(len(place)) - words.first[rows] if len(place) else place
+        order = np.lexsort([at, place, rows])
+        rows, place, at = rows[order], place[order], at[order]
+        cut = np.flatnonzero(np.append(True, (np.diff(rows) != 0) | (np.diff(place) != 0))) if len(rows) else np.zeros(0, int)
+        heads = shown[place[cut]]
+        spelled = [words.data[a:b].tobytes() for a, b in zip(words.starts[heads].tolist(), words.ends[heads].tolist(), strict=True)]
+        places = pa.ListArray.from_arrays(pa.array(np.append(cut, len(at)).astype(np.int32)), pa.array(at.astype(np.int32)))
+        ids = part.column("row").take(pa.array(rows[cut]))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(spelled, pa.binary()), places], ["row", "word", "places"])
+
+
+def _word_grams(batches):
+    """word and its letter grams."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("word"))
+        # words stand one after the other, none holds a separator
+        spans = Words(np.append(data, np.uint8(32)), offsets)
+        keys, bounds = _letter_keys(spans, np.arange(len(spans.starts)))
+        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys.astype(np.int64)))], ["word", "grams"])
+
+
+def table_evidence(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """row, x: the evidence of rows(row, text) under a model that stays a table of log_ratios(); row tells rows apart, texts without words are left out."""
+    held = materialize(rows.select("row", "text").mapInArrow(_word_rows, "row long, word binary, places array<int>"), "toxicity-words")
+    grams = held.select("word").distinct().mapInArrow(_word_grams, "word binary, grams array<long>").select("word", F.posexplode("grams").alias("i", "gram"))
+    contexts = ratios.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.first("context_ratio").alias("context_ratio"))
+    told = grams.withColumn("context", F.shiftright("gram", 8)).join(ratios.select("gram", "ratio"), "gram", "left").join(contexts, "context", "left")
+    values = told.groupBy("word").agg(F.sum(F.coalesce("ratio", "context_ratio", F.lit(0.0))).alias("ratio"))
+    spread = held.join(values, "word").groupBy("row").agg(F.collect_list(F.struct("places", "ratio")).alias("words"))  # the words of one text
+
+    def measure(batches):
+        for batch in batches:
+            x = []
+            for words in batch.column("words").to_pylist():
+                by_word = np.zeros(sum(len(w["places"]) for w in words))
+                for w in words:
+                    by_word[w["places"]] = w["ratio"]
+                x.append(strongest_passages(_word_value(by_word), np.array([0, len(by_word)]))[0])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(x, pa.float64())], ["row", "x"])
+
+    return spread.mapInArrow(measure, "row long, x double")
+
+
+def add_evidence(docs: DataFrame, model, column: str) -> DataFrame:
+    """All columns of docs, and column: the evidence of text. model is a broadcast KneserNey, or the table of one."""
+    if not isinstance(model, DataFrame):
+        return add_column(docs, column, "double", lambda batch: pa.array(model.value.evidence(batch.column("text"))))
+    row, mine = free_name(docs, "_row"), free_name(docs, "_id")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "toxicity-rows")  # written, so that numbers stay
+    found = table_evidence(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), model).withColumnsRenamed({"row": mine, "x": column})
+    return rows.join(found, F.col(row) == F.col(mine), "left").withColumn(column, F.coalesce(column, F.lit(0.0))).drop(row, mine)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, most_grams: int = MOST_GRAMS):
-    """The broadcast model, slope and intercept, from rows whose crc32(doc_id) mod 4 is not 2.
+    """The model (broadcast, or beyond most_grams as a table), slope and intercept, from rows whose crc32(doc_id) mod 4 is not 2.
 
     The model has the grams of labelled texts, so it doesn't grow with the
-    corpus; its size is checked, and more than most_grams are an error.
-
-    The curve is fitted on rows of remainder 3, its classes weighted back to
-    their shares among all labels; all other rows are counted.
+    corpus. The curve is fitted on rows of remainder 3, its classes weighted
+    back to their shares among all labels; all other rows are counted.
     """
     shares = dict(
         labels.where("toxic in (0, 1)").where(split_of(F.col("doc_id")) != 2).groupBy(F.col("toxic").cast("int").alias("t")).count().collect()
@@ -282,13 +347,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, most_grams: in
     texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     classed = one_of_each(texts, materialize(counted, "toxicity-labels"))
     grams = materialize(count_grams(classed.union(texts.select(F.lit(None).cast("int").alias("toxic"), "text"))), "toxicity-grams")
-    size = grams.where("toxic + ordinary > 0").count()
-    if size > most_grams:
-        raise ValueError(f"the labelled texts have {size} letter grams, more than the {most_grams} that each worker is to hold")
-    model = docs.sparkSession.sparkContext.broadcast(KneserNey(log_ratios(grams).toArrow()))
-    give_back()
-    chosen = texts.join(F.broadcast(curve), "doc_id")
-    told = add_column(chosen, "x", "double", lambda batch: pa.array(model.value.evidence(batch.column("text"))))
+    ratios = log_ratios(grams)
+    if grams.where("toxic + ordinary > 0").count() > most_grams:
+        model = materialize(ratios, "toxicity-model")
+    else:
+        model = docs.sparkSession.sparkContext.broadcast(KneserNey(ratios.toArrow()))
+        give_back()
+    told = add_evidence(texts.join(F.broadcast(curve), "doc_id"), model, "x")
     rows = told.groupBy("doc_id", "toxic").agg(F.avg("x").alias("x")).select("toxic", "x").toArrow()  # a row for each id of the sample
     x, y = (rows.column(c).to_numpy().astype(float) for c in ("x", "toxic"))
     slope, intercept = fit_logistic(x, y)
@@ -297,19 +362,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, most_grams: in
     return model, slope, float(intercept)
 
 
-def add_score(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 3000) -> DataFrame:
+def add_score(docs: DataFrame, labels: DataFrame, column: str, max_docs: int = 3000, most_grams: int = MOST_GRAMS) -> DataFrame:
     """All columns of docs, and column: struct(score, evidence)."""
-    shared, slope, intercept = fit(docs, labels, max_docs)
+    model, slope, intercept = fit(docs, labels, max_docs, most_grams)
+    if isinstance(model, DataFrame):
+        x = free_name(docs, "_x")
+        score = 1 / (1 + F.exp(-(F.col(x) * slope + intercept)))
+        return add_evidence(docs, model, x).withColumn(column, F.struct(score.alias("score"), F.col(x).alias("evidence"))).drop(x)
 
     def measure(batch: pa.RecordBatch) -> pa.Array:
-        x = shared.value.evidence(batch.column("text"))
+        x = model.value.evidence(batch.column("text"))
         score = 1 / (1 + np.exp(-(x * slope + intercept)))
         return pa.StructArray.from_arrays([pa.array(score), pa.array(x)], ["score", "evidence"])
 
     return add_column(docs, column, "struct<score:double,evidence:double>", measure)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, threshold: float = 0.3, most_grams: int = MOST_GRAMS) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every row of docs(doc_id, text).
 
     Null and empty texts have evidence 0. A null doc_id is scored and not held
@@ -317,7 +386,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, thr
     score is the share of toxic ones among them, 0 (to 1e-6) without any, so
     that nothing is predicted toxic. Other columns are ignored.
     """
-    scored = add_score(docs.select("doc_id", "text"), labels, "_t", max_docs)
+    scored = add_score(docs.select("doc_id", "text"), labels, "_t", max_docs, most_grams)
     return scored.select(
         "doc_id", F.coalesce(split_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "_t.score",
         (F.col("_t.score") >= threshold).cast("int").alias("predicted"), "_t.evidence",

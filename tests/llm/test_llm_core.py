@@ -336,8 +336,31 @@ def test_toxicity_of_odd_tables(spark):
     assert len(got) == 63 and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.drop_toxic(df, labels).columns == df.columns
     assert toxicity.score_toxicity(df.limit(0), labels).count() == 0
-    with pytest.raises(ValueError):
-        toxicity.fit(df, labels, most_grams=3)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["score"])
+    table = sorted(toxicity.score_toxicity(df, labels, most_grams=3).collect(), key=key)  # a model that no worker holds
+    for a, b in zip(sorted(got, key=key), table, strict=True):
+        assert a["doc_id"] == b["doc_id"] and abs(a["score"] - b["score"]) < 1e-9 and abs(a["evidence"] - b["evidence"]) < 1e-9 and a["predicted"] == b["predicted"]
+    assert sorted(map(str, toxicity.drop_toxic(df, labels).collect())) == sorted(str(r) for r in toxicity.add_score(df, labels, "_q", most_grams=3).where("_q.score < 0.3").drop("_q").collect())
+
+
+def test_toxicity_by_tables_of_words_and_grams_is_the_same(spark):
+    vile = ["krang", "krangs", "Zorbling", "vlékt"]
+    words = ["haus", "baum", "l'été", "mer", "a", "überall", "x1"]
+    rows = []
+    for i in range(120):
+        text = " ".join(RNG.choices(words, k=RNG.choice([1, 5, 90, 400])))
+        rows.append((i, text + (" " + RNG.choice(vile) + "! " + text if i % 4 == 1 else "")))
+    rows += [(200, ""), (201, None), (202, " ,;. "), (203, "krang " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(0, 120)], "doc_id long, toxic int")
+    told = [{r["doc_id"]: (r["score"], r["evidence"], r["predicted"]) for r in toxicity.score_toxicity(df, labels, most_grams=n).collect()} for n in (toxicity.MOST_GRAMS, 0)]
+    assert set(told[0]) == set(told[1]) and all(abs(a - b) < 1e-7 for i in told[0] for a, b in zip(told[0][i], told[1][i], strict=True))
+
+
+def test_near_duplicates_of_rows_with_maps(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", {"x": 1}), (1, "a b c d e f", {"x": 1}), (2, "a b c d e f", {"y": 2})], "doc_id long, text string, m map<string,int>")
+    kept = minhash.drop_near_duplicates(df).collect()
+    assert [(r["doc_id"], r["m"]) for r in kept] == [(1, {"x": 1})]
 
 
 def test_strongest_passages_match_brute_force():
