@@ -420,7 +420,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     gone, key, mark, least = (free_name(docs, n) for n in ("_gone", "_key", "_mark", "_least"))
     found = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    left = docs.join(found, F.col("doc_id") == F.col(gone), "left_anti").withColumn(mark, F.xxhash64(*docs.columns))
+    # maps have no hash; as JSON they have
+    told = [F.to_json(F.col(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
+    left = docs.join(found, F.col("doc_id") == F.col(gone), "left_anti").withColumn(mark, F.xxhash64(*told))
     repeated = left.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(gone), F.min(mark).alias(least)).where(F.col(gone) > 1)
     repeated = materialize(repeated.select(key, least), "repeated")
     if repeated.limit(1).count():
