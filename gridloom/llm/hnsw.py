@@ -288,27 +288,24 @@ class Graph:
         order = np.argsort(_order_hash(queries.ids))
         sure = self.planted(audited, threshold)
         sure_truth = np.unique(self._pairs(*self.exact(sure, threshold)))
-        truth = None
+        checked = None
         while True:
-            found, hits = Found(queries, self), 0
-            seen = []
+            found = Found(queries, self)
             for row, place in self.links(queries, threshold, beam):
-                seen.append(self._pairs(row, place))
                 found.add(row, place)
-            pairs = np.concatenate([np.zeros(0, np.int64), *seen])
-            if truth is None:
-                linked = order[found.count[order] > 0][:audited]
-                checked = np.union1d(order[:audited], linked)
-                row, place = self.exact(queries.take(checked), threshold)
-                truth = self._pairs(checked[row], place)
-            hits = int(np.isin(truth, pairs).sum())
-            sure_pairs = np.concatenate([np.zeros(0, np.int64), *[self._pairs(*x) for x in self.links(sure, threshold, beam)]])
-            sure_hits = int(np.isin(sure_truth, sure_pairs).sum())
+            if checked is None:
+                checked = queries.take(np.union1d(order[:audited], order[found.count[order] > 0][:audited]))
+                truth = self._pairs(*self.exact(checked, threshold))
+            hits, sure_hits = self._found(checked, truth, threshold, beam), self._found(sure, sure_truth, threshold, beam)
             if beam >= len(self.ids) or (sure_hits >= recall * len(sure_truth) and hits + sure_hits >= recall * (len(truth) + len(sure_truth))):
                 found.audit = np.array([len(truth) + len(sure_truth), hits + sure_hits])
                 return found
             beam *= 2
 
+    def _found(self, queries: Queries, truth: np.ndarray, threshold: float, beam: int) -> int:
+        """How many of the true pairs of the queries a search finds."""
+        return sum(int(np.isin(truth, self._pairs(*pairs)).sum()) for pairs in self.links(queries, threshold, beam))
+
     def _pairs(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
         return np.asarray(row, np.int64) * len(self.ids) + place
 
