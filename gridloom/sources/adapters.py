@@ -70,19 +70,25 @@ def layout(header: str, comments: Sequence[str], least: int = 3) -> tuple[tuple[
     raise AssertionError("unreachable")
 
 
-def read_tables(spark: SparkSession, path: str, wanted: Sequence[str] | None = None, pattern: str = "*.csv", heads: DataFrame | None = None) -> DataFrame:
+def read_tables(
+    spark: SparkSession, path: str, wanted: Sequence[str] | None = None, pattern: str = "*.csv", heads: DataFrame | None = None, ragged: str | None = None
+) -> DataFrame:
     """file and the wanted columns (or all) of every file under path, as text; null where a file lacks one.
 
-    The heads of the files come to the driver: some lines each.
+    A row with too few fields has nulls for them, one with too many loses the
+    last; none is dropped. ragged names a column for the whole line of such a
+    row, null for others. The heads of the files come to the driver: some lines each.
     """
     found: dict[tuple, list[str]] = {}
     for row in (heads if heads is not None else file_heads(spark, path, pattern)).collect():
         found.setdefault(layout(row["header"], row["comments"]), []).append(unquote(row["file"]))  # the names that files are known by are escaped
     out = None
     for (names, delimiter, own), files in sorted(found.items()):
-        schema = ", ".join(f"`{n}` string" for n in names)
-        reader = spark.read.schema(schema).options(sep=delimiter, comment="#", header=own, mode="DROPMALFORMED", enforceSchema=True)
-        keep = [n for n in names if wanted is None or n in wanted]
+        schema = ", ".join(f"`{n}` string" for n in [*names, *([ragged] if ragged else [])])
+        reader = spark.read.schema(schema).options(sep=delimiter, comment="#", header=own, mode="PERMISSIVE", enforceSchema=True)
+        if ragged:  # whole lines are parsed for it
+            reader = reader.options(columnNameOfCorruptRecord=ragged, columnPruning=False)
+        keep = [n for n in names if wanted is None or n in wanted] + ([ragged] if ragged else [])
         some = reader.csv(files).select(F.col("_metadata.file_path").alias("file"), *[f"`{n}`" for n in keep])
         out = some if out is None else out.unionByName(some, allowMissingColumns=True)
     if out is None:
@@ -90,6 +96,14 @@ def read_tables(spark: SparkSession, path: str, wanted: Sequence[str] | None = N
     return out.withColumns({n: F.lit(None).cast("string") for n in wanted or () if n not in out.columns})
 
 
+def ragged_rows(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """file, rows, ragged and empty: how many rows each file under path has, how many with too few or too many fields, and how many without a value."""
+    rows = read_tables(spark, path, pattern=pattern, ragged="_line")
+    values = [F.col(f"`{c}`") for c in rows.columns if c not in ("file", "_line")]
+    ragged = F.count("_line") if "_line" in rows.columns else F.count(F.lit(None))  # no files
+    return rows.groupBy("file").agg(F.count("*").alias("rows"), ragged.alias("ragged"), F.count_if(F.coalesce(*values, F.lit(None)).isNull()).alias("empty"))
+
+
 def collapsed(df: DataFrame, keys: list[str], values: list[str], what: str) -> DataFrame:
     """Rows with a value, one per key; keys with two values are an error."""
     good, bad = telemetry.collapse_repeated(df, keys, values)

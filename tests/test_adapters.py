@@ -164,3 +164,17 @@ def test_stages_are_chosen_and_recorded(spark, tmp_path):
     with pytest.raises(ValueError, match="no stage"):
         stages.build(chain, "none")
     assert stages.config_hash({"b": 1, "a": [2]}) == stages.config_hash({"a": [2], "b": 1}) and len(stages.config_hash({})) == 8
+
+
+def test_ragged_rows_are_kept_and_counted(spark, tmp_path):
+    write(tmp_path / "x" / "a.csv", "k,v,w\n1,2,3\n4,5\n6,7,8,9\n\n10,11,12\n")
+    write(tmp_path / "x" / "b.csv", "k,v,w\n1,2,3\n")
+    path = f"file://{tmp_path}/x"
+    table = adapters.read_tables(spark, path)
+    rows = sorted(((r["k"], r["v"], r["w"]) for r in table.collect()), key=lambda r: int(r[0]))
+    assert rows == [("1", "2", "3"), ("1", "2", "3"), ("4", "5", None), ("6", "7", "8"), ("10", "11", "12")]
+    assert table.count() == 5 and table.select("w").count() == 5 and adapters.read_tables(spark, path, ["v"]).select("v").count() == 5
+    counts = {r["file"][-5:]: (r["rows"], r["ragged"], r["empty"]) for r in adapters.ragged_rows(spark, path).collect()}
+    assert counts == {"a.csv": (4, 2, 0), "b.csv": (1, 0, 0)}
+    (tmp_path / "none").mkdir()
+    assert adapters.ragged_rows(spark, f"file://{tmp_path}/none").count() == 0
