@@ -25,7 +25,7 @@ def running_offsets(df: DataFrame, keys: Sequence[str], order: str, size: Column
     """df with name: the sum of size over the rows of its key that come before by order, a whole number (ties in the order of size)."""
     span = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count("*").alias("_n"))
     width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.greatest(F.lit(1), F.ceil(F.col("_n") / leaf)))).cast("long")
-    rows = df.withColumn("_size", size.cast("long")).join(F.broadcast(span.select(*keys, "_lo", width.alias("_w"))), list(keys))
+    rows = df.withColumn("_size", size.cast("long")).join(span.select(*keys, "_lo", width.alias("_w")), list(keys))
     rows = rows.withColumn("_leaf", F.expr(f"({order} - _lo) div _w")).drop("_lo", "_w")
     before = W.partitionBy(*keys).orderBy("_leaf").rowsBetween(W.unboundedPreceding, -1)
     leaves = rows.groupBy(*keys, "_leaf").agg(F.sum("_size").alias("_s"))
@@ -192,7 +192,7 @@ def rank_by_hash(df: DataFrame, by: Sequence[str], text: Column, name: str = "ra
     """df with name: the place of each row among those of by, in the order of text's md5; ranks are made inside leaves of the hash."""
     h = df.withColumn("_h", F.md5(text.cast("binary")))
     digits = h.groupBy(*by).agg(F.count("*").alias("_n")).withColumn("_d", F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / leaf) / 4)).cast("int"))
-    h = h.join(F.broadcast(digits.select(*by, "_d")), list(by)) if by else h.crossJoin(F.broadcast(digits.select("_d")))
+    h = h.join(digits.select(*by, "_d"), list(by)) if by else h.crossJoin(F.broadcast(digits.select("_d")))
     h = h.withColumn("_leaf", F.expr("substring(_h, 1, _d)"))
     before = W.partitionBy(*by).orderBy("_leaf").rowsBetween(W.unboundedPreceding, -1)
     leaves = h.groupBy(*by, "_leaf").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
@@ -232,9 +232,9 @@ def mixture_plan(drawn: DataFrame, pools: DataFrame, refuse: bool = True) -> Dat
 def mixture_batches(drawn: DataFrame, windows: DataFrame, key: str, seed: int, batch: int) -> DataFrame:
     """drawn with batch and the window (stream, key) of each draw: a stream's windows in a seeded order, anew in each pass."""
     sizes = windows.groupBy("stream").agg(F.count("*").alias("_n"))
-    placed = drawn.join(F.broadcast(sizes), "stream").withColumn("pass", F.expr("nth div _n")).withColumn("rank", F.expr("nth % _n")).drop("_n")
+    placed = drawn.join(sizes, "stream").withColumn("pass", F.expr("nth div _n")).withColumn("rank", F.expr("nth % _n")).drop("_n")
     passes = placed.groupBy("stream").agg(F.max("pass").alias("_p"))
-    ordered = windows.join(F.broadcast(passes), "stream").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "_p"))).drop("_p")
+    ordered = windows.join(passes, "stream").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "_p"))).drop("_p")
     ordered = rank_by_hash(ordered, ["stream", "pass"], F.concat_ws(":", F.lit(str(seed)), "stream", "pass", F.col(key).cast("string")))
     return placed.join(ordered, ["stream", "pass", "rank"]).withColumn("batch", F.expr(f"draw div {batch}"))
 

@@ -41,7 +41,7 @@ def file_heads(spark: SparkSession, path: str, pattern: str = "*", lines: int =
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
     rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
     first = rows.where("at = 0").groupBy("file").agg(F.min("n").alias("first"))
-    head = rows.where("at = 0").join(F.broadcast(first), "file").where(F.col("n") - F.col("first") < lines)
+    head = rows.where("at = 0").join(first, "file").where(F.col("n") - F.col("first") < lines)
     comment = F.col("value").startswith("#")
     return head.groupBy("file").agg(
         F.transform(F.array_sort(F.collect_list(F.when(comment, F.struct("n", "value")))), lambda x: x["value"]).alias("comments"),
@@ -155,7 +155,7 @@ class CommentedExport:
         columns = list(self.channels.values())
         table = numbers(read_tables(spark, path, ["Date and time", *columns], heads=heads), columns)
         single = collapsed(table, ["file", "Date and time"], columns, self.source).withColumnsRenamed({v: k for k, v in self.channels.items()})
-        named = single.join(F.broadcast(self._turbine(heads)), "file").withColumn("timestamp_utc", cleaning.local_to_utc(F.col("Date and time")))
+        named = single.join(self._turbine(heads), "file").withColumn("timestamp_utc", cleaning.local_to_utc(F.col("Date and time")))
         return per_unit(placed(named.where("timestamp_utc is not null"), self.source, self.site, list(self.channels)), self.power, self.rated_kw)
 
     def events(self, spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +166,7 @@ class CommentedExport:
         at = lambda c: cleaning.local_to_utc(F.col(f"`{c}`")) if c in table.columns else F.lit(None)
         category = F.col("`IEC category`") if "IEC category" in table.columns else F.col("Status")
         fields = [c for c in table.columns if c != "file"]
-        rows = table.join(F.broadcast(self._turbine(heads)), "file")
+        rows = table.join(self._turbine(heads), "file")
         return as_events(
             rows, self.source, self.site, fields, turbine_id=F.col("turbine_id"), start_utc=at("Timestamp start"), end_utc=at("Timestamp end"),
             code=F.col("Code"), message=F.col("Message"), category=F.col("Status") if "Status" in table.columns else category,
