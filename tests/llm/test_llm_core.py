@@ -545,6 +545,14 @@ def test_url_rules_and_parsing(spark):
     assert urlrules.filter_urls(df, bad.limit(0)).count() == 8
 
 
+def test_url_rules_say_the_words_of_the_contract(spark):
+    urls = {"http://a.com/en/1": "block", "http://b.example.com/en/71": "allow", "http://x.net/de/8": "allow", "http://example.net/de/7": "allow", "http://sub.example.net/de/81": "block", "http://x.org/es/1": "block"}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = spark.createDataFrame([], "url string, bad boolean")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlrules.filter_urls(df, none).collect()}
+    assert [got[k] for k in range(6)] == list(zip(["com/en/", "example.com/en/7", "net/de/", "net/de/", "example.net/de/8", "org/es/"], urls.values(), strict=True))
+
+
 def url_token_set(url):
     import re
 
