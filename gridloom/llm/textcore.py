@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 19
+#: Powers of a hash's base that a worker holds, by base, and the greatest exponent of them.
+_POWERS: dict[int, np.ndarray] = {}
+HELD_POWERS = 1 << 20
 
 
 def give_back() -> None:
@@ -92,19 +95,25 @@ class Words:
         return span_hashes(self.data, self.starts, self.ends)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**n modulo 2**64; those that blocks need are held, longer rows have their own."""
+    held = _POWERS.get(base, np.ones(1, np.uint64))
+    if len(held) <= n:
+        held = np.full(n + 1, base, np.uint64)
+        held[0] = 1
+        np.multiply.accumulate(held, out=held)
+        if n <= HELD_POWERS:
+            _POWERS[base] = held
+    return held[: n + 1]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     values = mix(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
     base = 0x2545F4914F6CDD1D
-    power = np.full(n + 1, base, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * power[:n], out=sums[1:])
-    back = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(values[data] * powers(base, n)[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(pow(base, -1, 1 << 64), n)[starts] + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

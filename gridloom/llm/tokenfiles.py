@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -35,8 +36,8 @@ from .textcore import blocks, byte_set, span_hashes, utf8
 
 SKIPPABLE, SEEK_TABLE, SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 17
-#: Pieces that an encoder remembers, entries of its table of pieces seen before, pieces encoded in one string, and learned before they are sorted in.
-CACHE_WORDS, SEEN, JOINED, LEARNED = 400_000, 1 << 22, 1000, 1 << 15
+#: Pieces that an encoder remembers before it begins anew, slots of its table of them, pieces encoded in one string, and ids for which room is made at least.
+CACHE_WORDS, SLOTS, JOINED, LEARNED = 1 << 20, 1 << 21, 1000, 1 << 15
 #: Encoders of this worker by tokenizer file and setting.
 _HELD: dict[tuple[str, bool], ChunkEncoder] = {}
 
@@ -56,25 +57,40 @@ def blank_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ChunkEncoder:
-    """Encodes texts by pieces between single spaces, a block at a time, remembering pieces.
+    """Encodes texts by pieces of words, a block at a time, remembering pieces.
 
     Byte-level BPE with a leading-space pattern never joins a visible character
     to a following space, so a text may be cut before each single space that has
-    visible characters on both sides. Pieces are known by 64-bit hashes (two
-    different ones are taken for one with a chance of 2**-64). Most occur once:
-    a piece is remembered from its second time on. Unknown pieces that begin at
-    a cut and end visibly are encoded many in one string, as they don't join, and
-    told apart by the bytes that ids stand for.
+    visible characters on both sides. Where its pattern also keeps line ends and
+    stops apart from words, it is cut in the same way before single line ends,
+    and between a letter or digit and a stop. Pieces are known by 64-bit hashes
+    (two different ones are taken for one with a chance of 2**-64) and found by
+    them in a table of slots, where a later piece displaces an earlier one.
+    Unknown pieces that begin with a space or line end and end visibly are encoded
+    many in one string, as they don't join, and told apart by the bytes that ids
+    stand for.
     """
 
+    #: Bytes of letters and digits, and stops; letters of two bytes are those of Latin-1, with this first byte but for two signs.
+    WORD, STOPS = string.ascii_letters + string.digits, "!\"#$%&'()*+,-./:;=?@[]^_`{}~"
+    LATIN, SIGNS = 0xC3, byte_set(b"\x97\xb7")
+
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         names = tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
         for name, k in names.items():
             self.bytes_of[k] = len(name)  # a letter of a byte-level name is a byte
+        whole = set()
         for k, added in tokenizer.get_added_tokens_decoder().items():
             self.bytes_of[k] = len(added.content.encode())
+            whole |= set(added.content)
+        shown = "".join(f"a{c}b1{c}\n\u00e9{c}" for c in self.STOPS)
+        pieces = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(shown)] if tokenizer.pre_tokenizer else []
+        apart = pieces == [p for c in self.STOPS for p in ("a", c, "b", "1", c, "\u010a", "\u00c3\u00a9", c)]
+        kept = lambda chars: byte_set("".join(c for c in chars if c not in whole).encode())
+        self.breaks, self.stops = kept(" \n" if apart else " "), kept(self.STOPS if apart else "")
+        self.word = byte_set(self.WORD.encode())
         self.clear()
 
     @classmethod
@@ -91,40 +107,36 @@ class ChunkEncoder:
         return _HELD[key]
 
     def clear(self):
-        """Remembers nothing: no hashes with the places of their ids, and no pieces seen before."""
-        self.known = np.zeros(0, np.uint64)
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        self.seen = np.zeros(SEEN, bool)
-        self.learned: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def _learn(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Takes in pieces with their ids; they are found once enough have come together to be sorted in."""
-        self.learned.append((hashes, ids, sizes))
-        if sum(len(h) for h, _, _ in self.learned) < LEARNED:
-            return
-        hashes, ids, sizes = (np.concatenate(c) for c in zip(*self.learned, strict=True))
-        self.learned = []
-        if len(self.known) + len(hashes) > CACHE_WORDS:
-            self.clear()
-        known = np.concatenate([self.known, hashes])
-        begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.known, first = np.unique(known, return_index=True)
-        self.begin, self.size = begin[first], np.concatenate([self.size, sizes])[first]
-        self.ids = np.concatenate([self.ids, ids])
-
-    def _unknown(self, data: bytes, starts: np.ndarray, ends: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Remembers nothing: no hashes in slots, each with the place of its ids (begin in the upper half, size in the lower)."""
+        self.known, self.place = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)
+        self.ids, self.held, self.count = np.zeros(0, np.uint32), 0, 0
+
+    def _learn(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Takes in distinct pieces with their ids; returns the places of these."""
+        if self.held + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.held], np.zeros(len(ids) + max(self.held, LEARNED), np.uint32)])
+        self.ids[self.held : self.held + len(ids)] = ids
+        places = ((self.held + np.cumsum(sizes) - sizes) << 32) | sizes
+        slots = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        self.known[slots] = hashes
+        first = np.flatnonzero(self.known[slots] == hashes)  # of two in one slot the one that is there
+        self.place[slots[first]] = places[first]
+        self.held, self.count = self.held + len(ids), self.count + len(hashes)
+        return places
+
+    def _unknown(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, and how many each has: those that join nothing are encoded many in one string."""
-        cut = lambda which: [data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
         some, rest = np.flatnonzero(~joins), np.flatnonzero(joins)
-        parts = cut(some)
-        strings = [b"".join(parts[a : a + JOINED]).decode() for a in range(0, len(parts), JOINED)]
+        raw, to = spread_spans(data, starts[some], (ends - starts)[some])
+        raw, upto = raw.tobytes(), np.append(to[:-1:JOINED], to[-1]).tolist()
+        strings = [raw[a:b].decode() for a, b in itertools.pairwise(upto)]
         pool = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]])
-        upto, stops = np.cumsum(self.bytes_of[pool]), np.cumsum(ends[some] - starts[some])
+        upto, stops = np.cumsum(self.bytes_of[pool]), to[1:]
         last = np.searchsorted(upto, stops)
         if len(some) and (upto[-1] != stops[-1] or (upto[last] != stops).any()):
             raise ValueError("ids don't add up to the bytes of their text: a byte-level tokenizer is needed")
-        alone = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([p.decode() for p in cut(rest)], add_special_tokens=False)]
+        texts = [data[a:b].tobytes().decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        alone = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.zeros(len(starts), np.int64)
         sizes[some], sizes[rest] = np.diff(last + 1, prepend=0), [len(x) for x in alone]
         begin = np.zeros(len(starts), np.int64)
@@ -139,32 +151,29 @@ class ChunkEncoder:
             return np.full(docs, end, np.uint32), np.arange(docs + 1)
         begins, finishes = blank_edges(data)
         cut = np.zeros(n, bool)
-        at = np.flatnonzero(data[1:-1] == 32) + 1
+        at = np.flatnonzero(self.breaks[data[1:-1]]) + 1
         cut[at[~finishes[at - 1] & ~begins[at + 1]]] = True
         edges = offsets[(offsets > 0) & (offsets < n)]
         cut[edges], cut[edges - 1] = False, False  # the spaces at a text's ends
         heads = np.unique(offsets[:-1][np.diff(offsets) > 0])
         plain = cut.copy()
         cut[heads] = True
+        at = np.flatnonzero(self.stops[data[1:]]) + 1
+        behind = data[at - 1]
+        latin = (behind >= 0x80) & (data[at - 2] == self.LATIN) & ~self.SIGNS[behind]
+        cut[at[self.word[behind] | latin]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
-        joins = ~plain[starts] | finishes[ends - 1]
-        hashes, shown, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
-        hit = self.known[place] == hashes if len(self.known) else np.zeros(len(hashes), bool)
-        new = np.flatnonzero(~hit)
-        ids, sizes = self._unknown(data.tobytes(), starts[shown[new]], ends[shown[new]], joins[shown[new]])
-        begin, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        begin[hit], size[hit] = self.begin[place[hit]], self.size[place[hit]]
-        begin[new], size[new] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
-        flat, to = spread_spans(np.concatenate([self.ids, ids]), begin[which], size[which])
-        bits = (hashes[new] & np.uint64(SEEN - 1)).astype(np.int64)
-        again = self.seen[bits]
-        self.seen[bits] = True
-        kept = np.repeat(again, sizes)
-        self._learn(hashes[new][again], ids[kept], sizes[again])
-        if np.count_nonzero(self.seen[::64]) * 128 > SEEN:
-            self.seen[:] = False
+        hashes = span_hashes(data, starts, ends)
+        slots = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        place = self.place[slots]
+        new = np.flatnonzero(self.known[slots] != hashes)
+        fresh, shown, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+        a, b = starts[new[shown]], ends[new[shown]]
+        place[new] = self._learn(fresh, *self._unknown(data, a, b, ~plain[a] | finishes[b - 1]))[which]
+        flat, to = spread_spans(self.ids, place >> 32, place & 0xFFFFFFFF)
+        if self.count > CACHE_WORDS:
+            self.clear()
         stops = to[np.searchsorted(starts, offsets[1:])]
         return np.insert(flat, stops, np.uint32(end)), np.concatenate([[0], stops + np.arange(1, docs + 1)])
 

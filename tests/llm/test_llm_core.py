@@ -694,6 +694,31 @@ def test_chunk_encoder_equals_the_library(monkeypatch):
     assert len(encoder.known) and encoder.encode([])[1].tolist() == [0] and encoder.encode(["", None])[0].tolist() == [0, 0]
 
 
+def test_chunk_encoder_knows_words_before_any_stop():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    encoder, given = tokenfiles.ChunkEncoder(tokenizer), []
+    unknown = encoder._unknown
+    encoder._unknown = lambda data, starts, ends, joins: given.extend(data[a:b] for a, b in zip(starts, ends, strict=True)) or unknown(data, starts, ends, joins)
+    words = ["".join(RNG.choice("abcdeéß") for _ in range(8)) + "z" for _ in range(200)]
+    encoder.encode(["x " + " ".join(words)])
+    assert len(given) == 201
+    given.clear()
+    text = "x " + " ".join(w + RNG.choice(".,!?$&") for w in words)
+    ids, _ = encoder.encode([text])
+    assert [*ids[:-1]] == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(given) <= 6  # the stops alone
+    parts = [" ", "\n", "a", "Z", "7", "é", "×", "÷", "e\u0301", "’", "…", "'s", "'", ".", "!?", "|", "<", "<|endoftext|>", "\r\n", " \n", "\n\n", "東", "\u00a0", "/", "_"]
+    texts = ["".join(RNG.choice(parts) for _ in range(RNG.randint(0, 25))) for _ in range(3000)]
+    for special_as_text in (False, True):
+        tokenizer.encode_special_tokens = special_as_text
+        encoder = tokenfiles.ChunkEncoder(tokenizer)
+        for a in (0, 0, 1500):
+            ids, to = encoder.encode(texts[a:])
+            assert all([*ids[to[k] : to[k + 1] - 1]] == tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts[a:]))
+
+
 @pytest.mark.parametrize("as_text", [False, True])
 def test_token_rows_equal_a_plain_loop(spark, as_text):
     from tokenizers import Tokenizer
