@@ -9,10 +9,10 @@ order of their noise: k distinct paths, sampled without replacement. The noise
 of the best set left, kappa, turns a path's probability p into the chance
 1 - exp(-p exp(-kappa)) that it was included.
 
-No piece goes from a visible character to a following space, nor joins a
-character that stands in no longer piece to another. So lattices fall apart at
-such places, equal parts of a block share one lattice, and all of a block's
-parts are walked at once. The best path of a set draws each piece freely, which
+Lattices fall apart between two characters that stand side by side in no
+piece, as a visible one and a following space do, or a letter and most stops.
+So equal parts share one lattice, that of a part met again stays with the
+worker, and all of a block's parts are walked at once. The best path of a set draws each piece freely, which
 is why whole paths can be drawn in parallel. Random numbers are hashes of the
 row's key, the path's number and the position, so results don't depend on how
 rows are dealt out.
@@ -22,6 +22,7 @@ Decoding joins the bytes of the pieces and drops the space put in front.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -38,6 +39,8 @@ SPACE = 32
 SURE = -200.0
 ALPHA = 0.3
 BLOCK = 1 << 18
+#: Edges that a lattice keeps before it begins anew (24 bytes each), slots of its table of parts, and of that of parts seen before.
+KEPT, SLOTS, SEEN = 1 << 20, 1 << 18, 1 << 22
 #: Vocabularies of this worker by model file.
 _HELD: dict[str, Vocabulary] = {}
 
@@ -83,15 +86,14 @@ class Vocabulary:
         self.log_p[held] = alpha * (self.log_p[held] - np.log(np.exp(self.log_p[held]).sum()))
         self.bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.at = np.concatenate([[0], np.cumsum([len(p) for p in self.pieces])])
-        joined = np.zeros(256, bool)
+        joined = np.zeros(1 << 16, bool)
         edges: dict[tuple[int, int], int] = {}
         self.piece_of = [-1]
         for i in np.flatnonzero(usable):
             piece = self.pieces[i]
             if b" " in piece.lstrip(b" "):
                 raise ValueError("a piece goes on behind a space")
-            if len(piece) > 1:
-                joined[list(piece)] = True
+            joined[[a << 8 | b for a, b in itertools.pairwise(piece)]] = True
             node = 0
             for b in piece:
                 if (node, b) not in edges:
@@ -100,8 +102,7 @@ class Vocabulary:
                 node = edges[node, b]
             self.piece_of[node] = int(i)
         self.piece_of = np.array(self.piece_of)
-        self.alone = ~joined
-        self.alone[128:] = False
+        self.apart = ~joined  # pairs of bytes that are in no piece
         self.bits = 3 + int(np.ceil(np.log2(len(edges) + 1)))
         self.slot_key = np.full(1 << self.bits, -1, np.int64)
         self.slot_node = np.zeros(1 << self.bits, np.int32)
@@ -114,9 +115,10 @@ class Vocabulary:
 
     @classmethod
     def of_worker(cls, model_file: str) -> Vocabulary:
-        """One vocabulary for the life of a Python worker."""
+        """One vocabulary for the life of a Python worker, with its lattice, so tasks find the parts that earlier ones met again."""
         if model_file not in _HELD:
             _HELD[model_file] = cls(model_file)
+            _HELD[model_file].lattice = Lattice(_HELD[model_file])
         return _HELD[model_file]
 
     def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
@@ -134,27 +136,80 @@ class Vocabulary:
 
 
 class Lattice:
-    """Edges of the distinct parts of a block: by start position, target, piece, log chance, running chance.
+    """Edges of distinct parts: target, piece, log chance, running chance, from the first of each position on.
 
     Parts lie one after the other, each followed by a final position. The edges
-    from a position stand in falling order of chance.
+    from a position stand in falling order of chance. Parts that a second block
+    brings stay, found by their hashes in a table of slots; those of one block
+    alone go with the next block, whose edges take their place.
     """
 
-    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        size = ends - starts
-        self.root = np.concatenate([[0], np.cumsum(size + 1)])
-        total = int(self.root[-1])
-        offset = np.arange(total) - np.repeat(self.root[:-1], size + 1)
-        last = np.repeat(self.root[1:] - 1, size + 1)
-        inner = np.arange(total) < last
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.seen = np.zeros(SEEN, bool)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.root = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)
+        self.dst, self.piece, self.log_q, self.running = (np.zeros(0, t) for t in (np.int32, np.int32, float, float))
+        self.first, self.final = np.zeros(1, np.int32), np.zeros(0, bool)
+        self.nodes = self.edges = 0
+
+    def roots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """First position of each part's lattice, until the next call."""
+        if max(self.edges, len(self.dst) // 2) > KEPT:  # or a very long part has taken much room
+            self.clear()
+        hashes = span_hashes(data, starts, ends)
+        slots = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        root = self.root[slots]
+        new = np.flatnonzero(self.known[slots] != hashes)
+        fresh, shown, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+        bits = (fresh & np.uint64(SEEN - 1)).astype(np.int64)
+        again = self.seen[bits]
+        if np.count_nonzero(self.seen[::64]) * 128 > SEEN:
+            self.seen[:] = False
+        self.seen[bits] = True
+        order = np.argsort(~again, kind="stable")
+        some = new[shown[order]]
+        at = self._build(data, starts[some], ends[some])
+        place = np.zeros(len(fresh), np.int64)
+        place[order] = at[:-1]
+        root[new] = place[which]
+        self.nodes = int(at[np.count_nonzero(again)])
+        self.edges = int(self.first[self.nodes])
+        kept = fresh[again]
+        slots = (kept & np.uint64(SLOTS - 1)).astype(np.int64)
+        self.known[slots] = kept
+        first = self.known[slots] == kept  # of two in one slot the one that is there
+        self.root[slots[first]] = place[again][first]
+        return root
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """values into an array from at on, with room made for more."""
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            held = np.concatenate([held[:at], np.zeros(len(values) + max(at // 2, 1 << 18), held.dtype)])
+            setattr(self, name, held)
+        held[at : at + len(values)] = values
+
+    def _build(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Adds the lattices of parts behind what stays; their first positions, and the one behind the last."""
+        vocabulary, size = self.vocabulary, ends - starts
+        root = np.concatenate([[0], np.cumsum(size + 1)])
+        total = int(root[-1])
+        offset = np.arange(total) - np.repeat(root[:-1], size + 1)
+        left = np.repeat(size, size + 1) - offset
+        inner = left > 0
         text = np.zeros(total, np.uint8)
         text[inner] = data[(np.repeat(starts, size + 1) + offset)[inner]]
         head = inner & ((text & 0xC0) != 0x80)
-        where, node, depth = np.flatnonzero(head), None, 0
+        where, depth = np.flatnonzero(head), 0
         node = np.zeros(len(where), np.int32)
-        src, dst, piece = [], [], []
+        width = np.array([1] * 0xC0 + [2] * 0x20 + [3] * 0x10 + [4] * 0x10)[text]
+        count, known = np.zeros(total, np.int64), np.zeros(total, bool)
+        src, dst, piece, rank = [], [], [], []
         while len(where):
-            fits = where + depth < last[where]
+            fits = left[where] > depth
             where, node = where[fits], node[fits]
             node = vocabulary.step(node, text[where + depth])
             fits = node >= 0
@@ -162,36 +217,49 @@ class Lattice:
             depth += 1
             found = vocabulary.piece_of[node]
             full = found >= 0
-            src.append(where[full]), dst.append(where[full] + depth), piece.append(found[full])
-        width = np.select([text < 0x80, text < 0xE0, text < 0xF0], [1, 2, 3], 4)
-        known = np.zeros(total, bool)
-        for s, d in zip(src, dst, strict=True):
-            known[s[d - s == width[s]]] = True
+            at = where[full]
+            src.append(at), dst.append(at + depth), piece.append(found[full]), rank.append(count[at])
+            count[at] += 1
+            known[at[width[at] == depth]] = True
         char = np.maximum.accumulate(np.where(head | ~inner, np.arange(total), 0))
         lone = np.flatnonzero(inner & ~known[char])
-        src, dst, piece = np.concatenate([*src, lone]), np.concatenate([*dst, lone + 1]), np.concatenate([*piece, vocabulary.byte_id[text[lone]]])
-        left = last[src] - src
-        order = np.argsort((left << 40) | (src << 8) | np.minimum(dst - src, 255))
-        src, dst, piece, left = src[order], dst[order], piece[order], left[order]
+        src, dst, piece, rank = (np.concatenate(c) for c in ([*src, lone], [*dst, lone + 1], [*piece, vocabulary.byte_id[text[lone]]], [*rank, count[lone]]))
+        count[lone] += 1
         log_p = vocabulary.log_p[piece]
         mass = np.full(total, -np.inf)
-        mass[self.root[1:] - 1] = 0.0
-        cuts = np.append(np.flatnonzero(np.append(True, left[1:] != left[:-1])), len(left)) if len(left) else np.zeros(1, int)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            value = log_p[a:b] + mass[dst[a:b]]
-            first = np.flatnonzero(np.append(True, src[a + 1 : b] != src[a : b - 1]))
-            mass[src[a:b][first]] = np.logaddexp.reduceat(value, first)
+        mass[root[1:] - 1] = 0.0
+        near = np.flatnonzero(count)  # positions with edges, by how far their part's end is, and their edges together
+        far = left[near]
+        near = near[np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(count[near])])
+        of = np.zeros(total, np.int64)
+        of[near] = begin[:-1]
+        place = of[src] + rank
+        to, log_to = np.zeros(len(src), np.int64), np.zeros(len(src))
+        to[place], log_to[place] = dst, log_p
+        cuts = np.flatnonzero(np.diff(left[near], prepend=0, append=-1))
+        for a, b in itertools.pairwise(cuts.tolist()):
+            x, y = begin[a], begin[b]
+            mass[near[a:b]] = np.logaddexp.reduceat(log_to[x:y] + mass[to[x:y]], begin[a:b] - x)
         log_q = log_p + mass[dst] - mass[src]
-        order = np.argsort((src << 24) | np.minimum(-log_q * 65536, (1 << 24) - 1).astype(np.int64))
-        self.dst, self.piece, self.log_q, src = dst[order], piece[order], log_q[order], src[order]
-        self.first = np.searchsorted(src, np.arange(total + 1))
-        chance = np.exp(self.log_q)
-        sums = np.append(0.0, np.cumsum(chance))
-        self.running = sums[1:] - np.append(sums, 0.0)[self.first[src]]
-        self.final = ~inner
+        order = np.argsort((src << 30) | (np.minimum(-log_q * 65536, (1 << 24) - 1).astype(np.int64) << 6) | np.minimum(rank, 63))
+        log_q = log_q[order]
+        first = np.concatenate([[0], np.cumsum(count)])
+        running = np.exp(log_q)
+        more, k = np.flatnonzero(count > 1), 1
+        while len(more):
+            at = first[more] + k
+            running[at] += running[at - 1]
+            k += 1
+            more = more[count[more] > k]
+        for name, values in (("dst", dst[order] + self.nodes), ("piece", piece[order]), ("log_q", log_q), ("running", running)):
+            self._put(name, self.edges, values)
+        self._put("first", self.nodes, first + self.edges)
+        self._put("final", self.nodes, ~inner)
+        return root + self.nodes
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        edge = self.first[node]
+        edge = self.first[node].astype(np.int64)
         last = self.first[node + 1] - 1
         going = np.flatnonzero((self.running[edge] < u) & (edge < last))
         while len(going):
@@ -207,28 +275,22 @@ def uniform(seed: np.ndarray, path: int, position: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Draws paths for one block."""
+    """Draws paths for one block, before lattice (of its own, or the worker's) is given to the next."""
 
-    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray):
+    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, lattice: Lattice | None = None):
         full = np.flatnonzero(np.diff(offsets))
         self.data = np.insert(data, offsets[:-1][full], SPACE)
         self.offsets = offsets + np.searchsorted(full, np.arange(len(offsets)))
-        self.vocabulary, self.seeds = vocabulary, seeds
+        self.seeds, self.lattice = seeds, lattice or Lattice(vocabulary)
         data = self.data
         n = len(data)
         cut = np.zeros(n, bool)
-        space = data == SPACE
-        cut[1:] = space[1:] & ~space[:-1]
-        alone = vocabulary.alone[data] & ~space
-        cut |= alone
-        cut[1:] |= alone[:-1]
+        cut[1:] = vocabulary.apart[(data[:-1].astype(np.uint16) << 8) | data[1:]] & ((data[1:] & 0xC0) != 0x80)
         cut[self.offsets[:-1][full]] = True
         self.starts = np.flatnonzero(cut)
         ends = np.append(self.starts[1:], n)[: len(self.starts)]
         self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
-        if n:
-            _, shown, self.part = np.unique(span_hashes(data, self.starts, ends), return_index=True, return_inverse=True)
-            self.lattice = Lattice(vocabulary, data, self.starts[shown], ends[shown])
+        self.roots = self.lattice.roots(data, self.starts, ends) if n else np.zeros(0, np.int64)
 
     def walk(self, path: int, places: np.ndarray, nodes: np.ndarray, docs: np.ndarray, out: np.ndarray) -> None:
         """Draw edges from nodes at places on to the end of each part, into out (edge by place)."""
@@ -248,10 +310,9 @@ class Sampler:
         none = np.full(n_docs, -np.inf)
         if not len(self.data):
             return [(np.zeros(0, np.int64), np.zeros(n_docs), none)], none
-        lattice, roots = self.lattice, self.lattice.root[self.part]
         paths, heaps = [], [[] for _ in range(n_docs)]
         edges = np.full(len(self.data), -1, np.int64)
-        self.walk(0, self.starts, roots, self.doc, edges)
+        self.walk(0, self.starts, self.roots, self.doc, edges)
         gumbel = -np.log(-np.log(uniform(self.seeds, 0, np.full(n_docs, 1 << 40))))
         gumbel[np.diff(self.offsets) == 0] = -np.inf
         kappa = none.copy()
@@ -313,7 +374,7 @@ class Sampler:
             a, b = self.offsets[doc], self.offsets[doc + 1]
             edges[a:place] = some[a:place]
             part = np.searchsorted(self.starts, place, "right") - 1
-            node = int(lattice.root[self.part[part]] + place - self.starts[part])
+            node = int(self.roots[part] + place - self.starts[part])
             open_ = [e for e in range(lattice.first[node], lattice.first[node + 1]) if e not in shut and lattice.log_q[e] > -np.inf]
             chance = np.exp(lattice.log_q[open_])
             u = uniform(self.seeds[doc : doc + 1], path + 2000, np.array([place - a]))[0]
@@ -342,7 +403,7 @@ class Sampler:
                 mask[to] -= 1
             later = np.flatnonzero(np.cumsum(mask[:-1]) > 0)
             places = np.concatenate([places, self.starts[later]])
-            nodes = np.concatenate([nodes, lattice.root[self.part[later]]])
+            nodes = np.concatenate([nodes, self.roots[later]])
             docs = np.concatenate([docs, self.doc[later]])
         self.walk(path, places, nodes, docs, edges)
         return edges, gumbel
@@ -386,7 +447,7 @@ def sample_segmentations(docs: DataFrame, model_file: str, k: int = 2, seed: int
             data, offsets = utf8(batch.column("text"))
             keys = batch.column("doc_id")
             seeds = mix(mix(np.asarray(keys.fill_null(-(1 << 62))).astype(np.int64).view(np.uint64)) + np.uint64(seed))
-            sampler = Sampler(vocabulary, data, offsets, seeds)
+            sampler = Sampler(vocabulary, data, offsets, seeds, vocabulary.lattice)
             paths, kappa = sampler.sample(k)
             columns: list[list] = [[] for _ in range(7)]
             there = []

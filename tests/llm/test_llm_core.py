@@ -782,6 +782,53 @@ def test_gumbel_paths_have_their_exact_chances():
     assert abs(estimate.mean() - 1) < 0.03
 
 
+def test_lattices_of_parts_stay_and_give_whole_texts_their_mass(monkeypatch):
+    vocabulary = segment.Vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    single = {p for p in vocabulary.pieces if p}
+    parts = ["on", "The", " ", "  ", ".", ",%%%", "!!", ".\n", "é", "ß", "漢", "\U0001f600", "3", "'s", "▁", "://", "x" * 30, "\x01", "\u0301", "$$$"]
+    texts = [s for s in ("".join(RNG.choice(parts) for _ in range(RNG.randint(1, 9))) for _ in range(300)) if s]
+
+    def log_mass(raw):
+        ways = [-math.inf] * len(raw) + [0.0]
+        for a in range(len(raw) - 1, -1, -1):
+            char = max(k for k in range(a + 1) if raw[k] & 0xC0 != 0x80)
+            letter = raw[char:].decode()[0].encode()
+            edges = [vocabulary.log_p[i] + ways[a + len(p)] for p, i in found(raw, a)] if char == a else []
+            edges += [] if letter in usable else [vocabulary.log_p[vocabulary.byte_id[raw[a]]] + ways[a + 1]]
+            ways[a] = float(np.logaddexp.reduce(edges)) if edges else -math.inf
+        return ways[0]
+
+    usable = {p: i for i, p in enumerate(vocabulary.pieces) if p in single and i not in set(vocabulary.byte_id.tolist()) and vocabulary.log_p[i] > -np.inf}
+    longest = max(map(len, usable))
+    found = lambda raw, a: [(raw[a:b], usable[raw[a:b]]) for b in range(a + 1, min(len(raw), a + longest) + 1) if raw[a:b] in usable]
+    held, built = segment.Lattice(vocabulary), []
+    build = held._build
+    held._build = lambda data, starts, ends: built.append(len(starts)) or build(data, starts, ends)
+    data, offsets = textcore.utf8(pa.array(texts))
+    seeds = textcore.mix(np.arange(len(texts), dtype=np.uint64))
+    drawn = []
+    for lattice in (None, held, held, held):
+        sampler = segment.Sampler(vocabulary, data, offsets, seeds, lattice)
+        paths, _ = sampler.sample(3)
+        drawn.append([[x.tolist() for x in sampler.ids(edges)] for edges, _, _ in paths])
+        for edges, log_p, gumbel in paths:
+            ids, to = sampler.ids(edges)
+            for k in np.flatnonzero(gumbel > -np.inf)[:60]:
+                want = vocabulary.log_p[ids[to[k] : to[k + 1]]].sum() - log_mass(b" " + texts[k].encode())
+                assert abs(log_p[k] - want) < 1e-8
+    assert drawn[0] == drawn[1] == drawn[2] == drawn[3] and built[0] == built[1] > 0 == built[2]
+    held._build = build
+    monkeypatch.setattr(segment, "KEPT", 500)
+    for a in range(0, len(texts), 20):
+        data, offsets = textcore.utf8(pa.array(texts[a : a + 20]))
+        sampler = segment.Sampler(vocabulary, data, offsets, seeds[a : a + 20], held)
+        some = [[x.tolist() for x in sampler.ids(edges)] for edges, _, _ in sampler.sample(3)[0]]
+        assert all(ids == [i for k in range(a, min(a + 20, len(texts))) for i in whole[to[k] : to[k + 1]]] for (ids, _), (whole, to) in zip(some, drawn[0], strict=True))
+    words = [f"{w}{stop}" for stop in (",", ".", "!!") for w in ("onion", "there")]
+    data, offsets = textcore.utf8(pa.array([" ".join(words)]))
+    assert len(np.unique(segment.Sampler(vocabulary, data, offsets, seeds[:1]).roots)) == 5
+
+
 def test_segmentations_decode_and_repeat(spark):
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
     rows = [(1, "  two  spaces\nă▁ 漢字 end "), (2, None), (3, ""), (4, "x" * 3000), (5, "a b " * 500), (1, "  two  spaces\nă▁ 漢字 end ")]
