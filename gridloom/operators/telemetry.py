@@ -59,19 +59,19 @@ def first_duplicates(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def collapse_repeated(df: DataFrame, keys: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with a value, collapsed to one per key (null keys kept), and the keys whose values conflict."""
-    some = F.lit(False)
+def repeats(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows with a value, collapsed to one per key (null keys kept): the greatest values, n_rows, and _clash, whether the key's values conflict."""
+    some, clash = F.lit(False), F.lit(False)
     for c in values:
         some = some | F.col(c).isNotNull()
-    grouped = df.where(some).groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in values], *[F.min(c).alias(f"_{c}") for c in values], F.count("*").alias("n_rows")
-    )
-    clash = F.lit(False)
-    for c in values:
-        clash = clash | (F.col(c) != F.col(f"_{c}"))
-    hidden = [f"_{c}" for c in values]
-    return grouped.where(~F.coalesce(clash, F.lit(False))).drop(*hidden), grouped.where(clash).drop(*hidden)
+        clash = clash | F.coalesce(F.max(c) != F.min(c), F.lit(False))
+    return df.where(some).groupBy(*keys).agg(*[F.max(c).alias(c) for c in values], F.count("*").alias("n_rows"), clash.alias("_clash"))
+
+
+def collapse_repeated(df: DataFrame, keys: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with a value, collapsed to one per key (null keys kept), and the keys whose values conflict."""
+    grouped = repeats(df, keys, values)
+    return grouped.where("not _clash").drop("_clash"), grouped.where("_clash").drop("_clash")
 
 
 def spread_check(df: DataFrame, key: str, values: list[str], limit: float = 1e-9) -> DataFrame:

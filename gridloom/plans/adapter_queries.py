@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import new_folder
 from ..sources import adapters
+from ..sources.sinks import write_lines
 from .registry import READ, query, readings
 
 
@@ -15,8 +16,9 @@ def farm_export(T):
     g = readings(T)
     folder = new_folder(g.sparkSession, "farm")
     stamp = F.date_format(F.timestamp_seconds("step"), "yyyy-MM-dd HH:mm:ss")
-    rows = g.select(F.col("turbine").alias("asset_id"), F.col("turbine").alias("machine"), stamp.alias("time_stamp"), F.col("power").alias("sensor_50"))
-    rows.repartition("machine").write.partitionBy("machine").option("header", True).csv(f"{folder}/Farm/datasets")
+    cells = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col("turbine"), stamp, F.col("power"))]
+    rows = g.select(F.concat(F.lit("machine-"), F.coalesce(F.col("turbine").cast("string"), F.lit("none")), F.lit(".csv")).alias("name"), F.concat_ws(",", *cells).alias("line"))
+    write_lines(rows, f"{folder}/Farm/datasets", "asset_id,time_stamp,sensor_50\n")
     farms = {"A": {"directory": "Farm", "channels": {"power_pu": "sensor_50"}, "scale": {"power_pu": 0.25}}}
     read = adapters.FarmDatasets("export", "site", farms).readings(g.sparkSession, folder)
     machine = F.split("turbine_id", ":")[1]

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normalise_code, strip
 from ..operators import cleaning, telemetry
+from ..operators.tables import written
+from ..operators.text import evaluated
 from .readers import ADAPTERS
 
 HEAD_LINES = 48
@@ -39,14 +41,17 @@ def base_name(path: Column) -> Column:
 def file_heads(spark: SparkSession, path: str, pattern: str = "*", lines: int = HEAD_LINES) -> DataFrame:
     """file, comments (array of lines that start with #) and header (the first other line) of each text file under path."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
-    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
-    first = rows.where("at = 0").groupBy("file").agg(F.min("n").alias("first"))
-    head = rows.where("at = 0").join(first, "file").where(F.col("n") - F.col("first") < lines)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n")).where("at = 0")
     comment = F.col("value").startswith("#")
-    return head.groupBy("file").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(comment, F.struct("n", "value")))), lambda x: x["value"]).alias("comments"),
-        F.min_by("value", F.when(~comment, F.col("n"))).alias("header"),
-    )
+    other = F.when(~comment, F.col("n"))
+    first = rows.groupBy("file").agg(F.min("n").alias("first"), F.min(other).alias("_n"), F.min_by("value", other).alias("_h"), F.count_if(comment).alias("_c"))
+    first = written(first, "heads")  # a row a file; lines are dealt out only where there are comments, and only these
+    header = F.when(F.col("_n") - F.col("first") < lines, F.col("_h")).alias("header")
+    if not first.where("_c > 0").limit(1).count():
+        return first.select("file", F.array().cast("array<string>").alias("comments"), header)
+    said = rows.where(comment).join(first.select("file", "_n", "first"), "file").where(F.col("n") - F.col("first") < lines)
+    said = said.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("comments"))
+    return first.join(said, "file", "left").where(f"comments is not null or _n - first < {lines}").select("file", F.coalesce("comments", F.array().cast("array<string>")).alias("comments"), header)
 
 
 def preamble_value(comments: Column, key: str) -> Column:
@@ -73,19 +78,28 @@ def layout(header: str, comments: Sequence[str], least: int = 3) -> tuple[tuple[
 def read_tables(
     spark: SparkSession, path: str, wanted: Sequence[str] | None = None, pattern: str = "*.csv", heads: DataFrame | None = None, ragged: str | None = None
 ) -> DataFrame:
-    """file and the wanted columns (or all) of every file under path, as text; null where a file lacks one.
+    """file and the wanted columns (or all) of every file under path that fits pattern, as text; null where a file lacks one.
 
     A row with too few fields has nulls for them, one with too many loses the
     last; none is dropped. ragged names a column for the whole line of such a
-    row, null for others. The heads of the files come to the driver: some lines each.
+    row, null for others. heads: those of the files, if they were read before.
+    The different heads come to the driver. Files of one layout are read as a
+    folder; only if there are several, the files' names come to the driver too.
     """
-    found: dict[tuple, list[str]] = {}
-    for row in (heads if heads is not None else file_heads(spark, path, pattern)).collect():
-        found.setdefault(layout(row["header"], row["comments"]), []).append(unquote(row["file"]))  # the names that files are known by are escaped
+    heads = heads if heads is not None else file_heads(spark, path, pattern)
+    told = F.try_element_at("comments", F.lit(-1)).alias("told")
+    kinds = {(r["header"], r["told"]): layout(r["header"], [] if r["told"] is None else [r["told"]]) for r in heads.select("header", told).distinct().collect()}
+    found: dict[tuple, list[str] | str] = {kind: path for kind in kinds.values()}
+    if len(found) > 1:
+        found = {kind: [] for kind in found}
+        for row in heads.select("file", "header", told).collect():
+            found[kinds[row["header"], row["told"]]].append(unquote(row["file"]))  # the names that files are known by are escaped
     out = None
     for (names, delimiter, own), files in sorted(found.items()):
         schema = ", ".join(f"`{n}` string" for n in [*names, *([ragged] if ragged else [])])
         reader = spark.read.schema(schema).options(sep=delimiter, comment="#", header=own, mode="PERMISSIVE", enforceSchema=True)
+        if files == path:
+            reader = reader.options(recursiveFileLookup=True, pathGlobFilter=pattern)
         if ragged:  # whole lines are parsed for it
             reader = reader.options(columnNameOfCorruptRecord=ragged, columnPruning=False)
         keep = [n for n in names if wanted is None or n in wanted] + ([ragged] if ragged else [])
@@ -106,10 +120,10 @@ def ragged_rows(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataF
 
 def collapsed(df: DataFrame, keys: list[str], values: list[str], what: str) -> DataFrame:
     """Rows with a value, one per key; keys with two values are an error."""
-    good, bad = telemetry.collapse_repeated(df, keys, values)
-    if worst := bad.limit(3).collect():
+    rows = written(telemetry.repeats(df, keys, values), "collapsed")  # files are read once, however often the rows are
+    if worst := rows.where("_clash").limit(3).collect():
         raise ValueError(f"{what}: repeated keys disagree, as {[tuple(r[k] for k in keys) for r in worst]}")
-    return good.select(*keys, *values)
+    return rows.select(*keys, *[F.col(f"`{c}`") for c in values])
 
 
 def per_unit(df: DataFrame, channel: str, rated_kw: float | None) -> DataFrame:
@@ -153,14 +167,14 @@ class CommentedExport:
     def readings(self, spark: SparkSession, path: str) -> DataFrame:
         heads = file_heads(spark, path, self.readings_glob)
         columns = list(self.channels.values())
-        table = numbers(read_tables(spark, path, ["Date and time", *columns], heads=heads), columns)
+        table = numbers(read_tables(spark, path, ["Date and time", *columns], self.readings_glob, heads), columns)
         single = collapsed(table, ["file", "Date and time"], columns, self.source).withColumnsRenamed({v: k for k, v in self.channels.items()})
         named = single.join(self._turbine(heads), "file").withColumn("timestamp_utc", cleaning.local_to_utc(F.col("Date and time")))
         return per_unit(placed(named.where("timestamp_utc is not null"), self.source, self.site, list(self.channels)), self.power, self.rated_kw)
 
     def events(self, spark: SparkSession, path: str) -> DataFrame:
         heads = file_heads(spark, path, self.status_glob)
-        table = read_tables(spark, path, heads=heads)
+        table = read_tables(spark, path, pattern=self.status_glob, heads=heads)
         if absent := [c for c in ("Timestamp start", "Code", "Message") if c not in table.columns]:
             raise ValueError(f"{self.source}: status files lack {absent}")
         at = lambda c: cleaning.local_to_utc(F.col(f"`{c}`")) if c in table.columns else F.lit(None)
@@ -196,7 +210,7 @@ class FarmDatasets:
                 raise ValueError(f"{mixed[0]['file']} has {mixed[0]['n']} machines, not one")
             single = single.withColumns({c: F.col(c) * F.lit(float(x)) for c, x in about.get("scale", {}).items() if c in single.columns})
             dataset = F.regexp_replace(base_name(F.col("file")), r"\.csv$", "")
-            named = single.withColumn("turbine_id", self._key(farm, F.col("asset_id"), dataset)).withColumn("timestamp_utc", cleaning.local_to_utc(F.col("time_stamp")))
+            named = evaluated(single.withColumn("turbine_id", self._key(farm, F.col("asset_id"), dataset)), timestamp_utc=cleaning.local_to_utc(F.col("time_stamp")))
             some = placed(named.where("timestamp_utc is not null"), self.source, self.site, names)
             out = some if out is None else out.unionByName(some)
         return out

@@ -178,3 +178,31 @@ def test_ragged_rows_are_kept_and_counted(spark, tmp_path):
     assert counts == {"a.csv": (4, 2, 0), "b.csv": (1, 0, 0)}
     (tmp_path / "none").mkdir()
     assert adapters.ragged_rows(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_files_are_read_once(spark, tmp_path):
+    for k in range(3):
+        write(tmp_path / f"F/datasets/{k}.csv", "time_stamp,asset_id,v\n" + "".join(f"2022-01-01 00:{m:02d}:00,{k},{m}.5\n" for m in range(20)))
+    rows = adapters.FarmDatasets("f", "x", {"a": {"directory": "F", "channels": {"v": "v"}}}).readings(spark, f"file://{tmp_path}")
+    for path in (tmp_path / "F/datasets").iterdir():
+        path.unlink()
+    assert rows.count() == 60 and rows.selectExpr("sum(v)").first()[0] == 3 * 200.0
+
+
+def test_heads_of_files_with_and_without_comments(spark, tmp_path):
+    write(tmp_path / "a.csv", "# one\n# two\nx,y,z\n1,2,3\n# late\n")
+    write(tmp_path / "b.csv", "x,y,z\n4,5,6\n")
+    write(tmp_path / "c.csv", "# only\n")
+    write(tmp_path / "d.csv", "# 1\n# 2\n# 3\n# 4\n# 5\nx,y,z\n")
+    heads = {r["file"][-5:]: (r["comments"], r["header"]) for r in adapters.file_heads(spark, f"file://{tmp_path}", "*.csv", 5).collect()}
+    assert heads == {"a.csv": (["# one", "# two", "# late"], "x,y,z"), "b.csv": ([], "x,y,z"), "c.csv": (["# only"], None), "d.csv": (["# 1", "# 2", "# 3", "# 4", "# 5"], None)}
+
+
+def test_lines_are_written_as_a_file_a_name(spark, tmp_path):
+    from gridloom.sources import sinks
+
+    rows = [(f"{k % 7}.csv", f"{k // 7:03d},é{k}") for k in range(3000)]
+    assert sinks.write_lines(spark.createDataFrame(rows, "name string, line string").repartition(5), f"file://{tmp_path}/out", "a,b\n") == 7
+    want = {f"{n}.csv": "a,b\n" + "".join(f"{line}\n" for name, line in rows if name == f"{n}.csv") for n in range(7)}
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == want
+    assert sinks.write_lines(spark.createDataFrame([], "name string, line string"), f"file://{tmp_path}/none") == 0
